@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .bagminhash import near_duplicates
+from .embedding import EMBEDDING_SQL, near_pairs
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .mixing import mix_sources
+from .toxicity import toxicity
 from .url_filter import url_filter, url_sql
 
 
@@ -15,11 +18,14 @@ def _read(spark, sf_dir, table):
 def queries():
     return {
         "op1_line_dedup": lambda s, d: line_dedup(_read(s, d, "documents")),
+        "op2_toxicity": lambda s, d: toxicity(_read(s, d, "documents"), _read(s, d, "labels")),
         "op3_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents")),
         "op4_exact_dedup": lambda s, d: exact_duplicates(_read(s, d, "documents")),
+        "op5_bagminhash": lambda s, d: near_duplicates(_read(s, d, "documents")),
+        "op6_embedding_pairs": lambda s, d: near_pairs(_read(s, d, "embeddings")),
         "op8_url_filter": lambda s, d: url_filter(_read(s, d, "pages")),
     }
 
 
 def oracle_sql():
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op4_exact_dedup": EXACT_SQL, "op8_url_filter": url_sql()}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op4_exact_dedup": EXACT_SQL, "op6_embedding_pairs": EMBEDDING_SQL, "op8_url_filter": url_sql()}
