@@ -32,7 +32,7 @@ MAX_LABELLED, THRESHOLD = 20_000, 0.5
 #: Public, common insults by language; a parameter of the operator.
 LEXICON: dict[str, tuple[str, ...]] = {
     "insult": ("idiot", "idiots", "moron", "morons", "stupid", "dumb", "dumbass", "clown", "clowns", "loser", "losers", "imbecile", "fool", "fools", "jerk", "creep", "freak", "dimwit", "halfwit"),
-    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "filth", "filthy", "vermin", "vile", "useless", "repulsive", "despicable", "ugly", "hate", "shit", "crap", "bastard", "bitch", "fuck", "fucking", "asshole"),
+    "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "filth", "filthy", "vermin", "useless", "repulsive", "despicable", "ugly", "hate", "shit", "crap", "bastard", "bitch", "fuck", "fucking", "asshole"),
     "other": ("idiote", "imbécile", "crétin", "connard", "connasse", "salaud", "salope", "débile", "ordure", "merde", "dummkopf", "arschloch", "trottel", "schwachkopf", "abschaum", "wichser", "hurensohn", "scheiße", "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "mierda", "cabrón", "pendejo", "gilipollas", "patético"),
 }
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "youre", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "vous", "votre", "tú", "ti", "tus", "usted", "vosotros")
