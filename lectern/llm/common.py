@@ -7,15 +7,16 @@ ASCII and the Latin-1 letters. Words are known by a 64-bit hash.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import file_system, scratch_dir
+
 #: Text is worked on in pieces of about so many bytes; a longer document is one piece.
 PIECE = 1 << 20
 
@@ -23,15 +24,6 @@ U64 = np.uint64
 _K1, _K2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts its lineage and outlives executors.
 
@@ -40,9 +32,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     out = spark.read.schema(schema).parquet(path)
     out._staged_at = path  # for discard()
     return out
@@ -52,9 +43,8 @@ def discard(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     path = getattr(df, "_staged_at", None)
     if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = file_system(df.sparkSession, path)
+        fs.delete(p, True)
 
 
 def row_hash(text: str) -> F.Column:
