@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import mix, need, pieces, row_hash, staged, text_buffer
 
 ORDER, BITS, SYMBOLS = 5, 12, 4096
-QUANTILE, MARGIN, LEAST = 0.995, 1.05, 50
+QUANTILE, MARGIN, LEAST = 0.995, 1.1, 50
 BROADCAST_NGRAMS = 8_000_000
 _PAD = ORDER - 1
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .bagminhash import near_duplicates
+from .bpe import encode_decode
 from .embedding import EMBEDDING_SQL, near_pairs
 from .exact_dedup import EXACT_SQL, exact_duplicates
+from .kneser_ney import quality
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .mixing import mix_sources
 from .toxicity import toxicity
@@ -24,6 +26,8 @@ def queries():
         "op5_bagminhash": lambda s, d: near_duplicates(_read(s, d, "documents")),
         "op6_embedding_pairs": lambda s, d: near_pairs(_read(s, d, "embeddings")),
         "op8_url_filter": lambda s, d: url_filter(_read(s, d, "pages")),
+        "op9_kneser_ney": lambda s, d: quality(_read(s, d, "documents"), _read(s, d, "labels")),
+        "op10_bpe": lambda s, d: encode_decode(_read(s, d, "documents")),
     }
 
 
