@@ -8,6 +8,7 @@ from .embedding import EMBEDDING_SQL, near_pairs
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .kneser_ney import quality
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
+from .masked_lm import pseudo_likelihood
 from .mixing import mix_sources
 from .toxicity import toxicity
 from .url_filter import url_filter, url_sql
@@ -25,6 +26,7 @@ def queries():
         "op4_exact_dedup": lambda s, d: exact_duplicates(_read(s, d, "documents")),
         "op5_bagminhash": lambda s, d: near_duplicates(_read(s, d, "documents")),
         "op6_embedding_pairs": lambda s, d: near_pairs(_read(s, d, "embeddings")),
+        "op7_masked_lm": lambda s, d: pseudo_likelihood(_read(s, d, "documents")),
         "op8_url_filter": lambda s, d: url_filter(_read(s, d, "pages")),
         "op9_kneser_ney": lambda s, d: quality(_read(s, d, "documents"), _read(s, d, "labels")),
         "op10_bpe": lambda s, d: encode_decode(_read(s, d, "documents")),
