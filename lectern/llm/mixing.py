@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, need, row_hash
 
-ALPHA, BLOCK_DOCS, SHARD_BLOCKS, SEED = 0.7, 16, 256, 20_231
+ALPHA, BLOCK_DOCS, SHARD_BLOCKS, SEED = 0.7, 4, 1024, 20_231
+#: The draws take fewer than 10^9 blocks; blocks of larger corpora hold more documents.
+MOST_BLOCKS = 900_000_000
 
 
 def quotas(blocks: Mapping, weights: Mapping) -> dict:
@@ -93,6 +95,7 @@ def _placed(docs: DataFrame, weights, alpha, block_docs, shard_blocks, seed, id_
     found = docs.groupBy(F.col(source_col).alias("s")).count().collect()  # one row a source
     sizes = {r.s: r["count"] for r in found}
     names = sorted(sizes, key=lambda s: (s is not None, str(s)))
+    block_docs = max(block_docs, math.ceil(sum(sizes.values()) / MOST_BLOCKS))
     blocks = {s: max(1, round(sizes[s] / block_docs)) for s in names}
     quota = quotas(blocks, {s: sizes[s] ** alpha for s in names} if weights is None else weights)
     total = sum(quota.values())
