@@ -229,9 +229,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = _features(batch.column(2), tables)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    rows = texts.select(F.xxhash64("zi").alias("k"), "zy", "zt").mapInArrow(run, "k bigint, y int, x array<double>").toPandas().sort_values(["k"], kind="stable")
-    x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
-    return Model(x, rows["y"].to_numpy(float), rows["k"].to_numpy(np.int64) % 3 == 0)
+    rows = texts.select(F.xxhash64("zi").alias("k"), "zy", "zt").mapInArrow(run, "k bigint, y int, x array<double>").toArrow().sort_by("k")
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+    return Model(x, rows.column("y").to_numpy().astype(float), rows.column("k").to_numpy() % 3 == 0)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, lexicon=None, second=SECOND_PERSON, **fit) -> DataFrame:
