@@ -40,6 +40,8 @@ from .common import mix, need, pieces, row_hash, staged, text_buffer
 ORDER, BITS, SYMBOLS = 5, 12, 4096
 QUANTILE, MARGIN, LEAST = 0.995, 1.1, 50
 BROADCAST_NGRAMS = 8_000_000
+#: So many trusted ids, 8 bytes each, are broadcast at most to pick their documents.
+BROADCAST_IDS = 4_000_000
 _PAD = ORDER - 1
 
 
@@ -124,9 +126,16 @@ def train(text: DataFrame) -> tuple[DataFrame, float]:
 
 
 class Table:
-    """Open-addressing table of a model that is small enough to broadcast."""
+    """Open-addressing table of a model that is small enough to broadcast; it is sent as its rows and built where it is used."""
 
     def __init__(self, k: np.ndarray, d: np.ndarray, b: np.ndarray):
+        self.rows, self.bits = (k, d, b), 0
+
+    def __reduce__(self):
+        return Table, self.rows
+
+    def _build(self) -> None:
+        k, d, b = self.rows
         self.bits = max(4, math.ceil(math.log2(max(len(k), 1) * 3)))
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros((1 << self.bits, 2), np.float32)
@@ -147,6 +156,8 @@ class Table:
         return (x >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def get(self, k: np.ndarray) -> np.ndarray:
+        if not self.bits:
+            self._build()
         slot = self._slot(k)
         found = self.keys[slot]
         out = self.values[slot]
@@ -187,7 +198,6 @@ def log_probabilities(column, table: Table, base: float) -> tuple[np.ndarray, np
         keys, real, begin = _grams(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
         if not len(real):
             continue
-        v = table.get(keys[0]).astype(np.float64)
         at = np.zeros(len(real))
         for n in range(ORDER):
             v = table.get(keys[n])
@@ -231,8 +241,8 @@ class Classifier:
         self.model, self.base, self.trained = model, base, trained
         self.shared = None
         if model.count() <= broadcast_ngrams:
-            rows = model.toPandas()
-            self.shared = model.sparkSession.sparkContext.broadcast(Table(rows["k"].to_numpy(np.int64), rows["d"].to_numpy(), rows["b"].to_numpy()))
+            rows = model.select("k", F.col("d").cast("float"), F.col("b").cast("float")).toArrow()
+            self.shared = model.sparkSession.sparkContext.broadcast(Table(*(rows.column(c).to_numpy() for c in "kdb")))
         self.limits: dict = {}
         self.default = math.inf
 
@@ -274,6 +284,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     need(labels, id_col, label_col)
     known = labels.select(F.col(id_col).alias("zi"), (F.col(label_col) == good).alias("zg")).where("zi is not null and zg is not null")
     trusted = known.groupBy("zi").agg(F.min("zg").alias("zg")).where("zg").select("zi")
+    trusted = staged(trusted, "trusted")
+    trusted = F.broadcast(trusted) if trusted.count() <= BROADCAST_IDS else trusted
     rows = docs.select(F.col(id_col).alias("zi"), F.col(text_col).alias("zt"), F.col(lang_col).alias("zl")).join(trusted, "zi", "left_semi")
     held = F.pmod(F.xxhash64("zi"), F.lit(10)) == 0
     model, base = train(rows.where(~held).select("zt"))
