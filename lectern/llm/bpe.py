@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import tiktoken
 import zstandard
 from pyspark.sql import DataFrame
@@ -37,8 +38,9 @@ from .common import need, pieces, span_hashes, text_buffer
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Bytes of text in a block.
-BLOCK = 1 << 24
+#: Bytes of text in a block, and tokens that a worker expands at a time.
+BLOCK = 1 << 23
+EXPAND = 1 << 20
 
 _L, _N, _S, _O = 1, 2, 3, 0
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -224,9 +226,13 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         local[~short] = _planes(row["rest"])
         if len(local) and local.max() >= len(sizes):
             raise RuntimeError("a block's words have no ids: the documents changed between two readings of them")
-        n = sizes[local]
-        cum = np.cumsum(n)
-        flat = tokens[np.repeat(first[local] - cum + n, n) + np.arange(int(n.sum()))]
+        cum = np.cumsum(sizes[local])
+        flat = np.empty(int(cum[-1]) if len(cum) else 0, np.int32)
+        for a in range(0, len(local), EXPAND):
+            x = local[a : a + EXPAND]
+            n, to = sizes[x], cum[a : a + EXPAND]
+            lo = int(to[0] - n[0])
+            flat[lo : int(to[-1])] = tokens[np.repeat(first[x] - (to - n - lo), n) + np.arange(int(to[-1]) - lo)]
         count = _unpack(row["counts"], np.int32)
         by = np.concatenate([[0], np.cumsum(np.maximum(count, 0))])
         offs = np.concatenate([[0], cum])[by].astype(np.int32)
@@ -255,29 +261,26 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "token_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table, at = vocabulary(path)
-        for batch in batches:
-            column = batch.column(k)
-            offs = column.offsets.to_numpy().astype(np.int64)
-            ids = column.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].astype(np.int64)
-            if len(ids) and (ids.min() < 0 or ids.max() >= len(at) - 1):
-                raise ValueError("a token id isn't in the table")
-            by = np.zeros(len(ids) + 1, np.int64)
-            np.cumsum(at[ids + 1] - at[ids], out=by[1:])
-            parts, limit = [], 1 << 22
-            for i, j in pieces(by, limit):
-                x, n = ids[i:j], np.diff(by[i : j + 1])
-                parts.append(table[np.repeat(at[x] - (by[i:j] - by[i]), n) + np.arange(int(n.sum()))])
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-            ends = by[offs - offs[0]]
-            null = column.is_null().to_numpy(zero_copy_only=False)
-            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(flat.tobytes())])
-            try:
-                text = raw.cast(pa.large_string()).cast(pa.string())
-            except pa.ArrowInvalid:
-                text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
-            if null.any():
-                text = pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), text)
-            yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in place), text], [*keep, out_col])
+        for whole in batches:
+            offs = whole.column(k).offsets.to_numpy().astype(np.int64)
+            for i, j in pieces(offs - offs[0], EXPAND):
+                batch = whole.slice(i, j - i)
+                column = batch.column(k)
+                ids = column.values.to_numpy(zero_copy_only=False)[offs[i] : offs[j]]
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(at) - 1):
+                    raise ValueError("a token id isn't in the table")
+                n = at[ids + 1] - at[ids]
+                ends = np.concatenate([[0], np.cumsum(n)])
+                flat = table[np.repeat(at[ids] - ends[:-1], n) + np.arange(ends[-1])]
+                rows = ends[offs[i : j + 1] - offs[i]]
+                raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(rows.tobytes()), pa.py_buffer(flat.tobytes())])
+                try:
+                    text = raw.cast(pa.large_string()).cast(pa.string())
+                except pa.ArrowInvalid:
+                    text = pa.array([b.decode("utf-8", "replace") for b in raw.to_pylist()], pa.string())
+                if column.null_count:
+                    text = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.string()), text)
+                yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in place), text], [*keep, out_col])
 
     schema = encoded.select(*[f"`{x}`" for x in keep]).schema.add(out_col, "string")
     return encoded.mapInArrow(run, schema)
