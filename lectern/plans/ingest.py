@@ -96,10 +96,12 @@ def ingest(spark: SparkSession, targets: DataFrame, load, corpus: str, mode: str
     facts = docs.select("target_id", "doi", "version", "degraded", "retrieved_from", F.col("license.spdx_id").alias("license"))
     rows = todo.select("target_id").join(facts, "target_id", "left").join(counts, "target_id", "left")
     rows = rows.select("target_id", "doi", "version", status.alias("status"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "license", F.col("retrieved_from").alias("source"))
+    rows = rows.persist()
+    report = report_of(rows, skipped)  # before the write, after which these targets are no longer pending
     rows.write.mode("append").format(fmt).save(manifest)
+    rows.unpersist()
     docs.unpersist()
-    written = read_table(spark, manifest, MANIFEST, fmt).join(todo.select("target_id"), "target_id", "left_semi")
-    return report_of(written, skipped)
+    return report
 
 
 def to_parquet(spark: SparkSession, json_corpus: str, out: str) -> bool:

@@ -29,8 +29,13 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
+#: Bytes of rows that go to a Python worker at a time; its kernels need a few times as much.
+BATCH_BYTES = 16 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on the Python workers, once an application."""
+    """Make this package importable on the Python workers, once an application, and bound what they get at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
