@@ -48,8 +48,9 @@ def read_table(spark: SparkSession, path: str, schema, fmt: str = "parquet") ->
         return spark.createDataFrame([], schema)
     if fmt == "json":
         with_bad = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-        rows = spark.read.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-        return rows.where("_corrupt is null").drop("_corrupt")
+        lines = spark.read.text(path).where("trim(value) != ''")
+        rows = lines.select(F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+        return rows.select("r.*").where("_corrupt is null").drop("_corrupt")
     return spark.read.schema(schema).parquet(path)
 
 
