@@ -88,7 +88,7 @@ def _ingest(a, engine) -> int:
         parts = None
         for server in ["biorxiv", "medrxiv"] if a.server == "both" else [a.server]:
             root = f"{a.root}/{server}" if a.server == "both" else a.root
-            files = payloads.archive_keys(payloads.read_archives(spark, root), parse_since(a.since), a.include_back_content).withColumn("server", F.lit(server))
+            files = payloads.archive_keys(payloads.read_archives(spark, root), parse_since(a.since), include_back_content=a.include_back_content).withColumn("server", F.lit(server))
             parts = files if parts is None else parts.unionByName(files)
         targets = parts.withColumn("target_id", F.concat_ws(":", "server", "key"))
         targets = targets.orderBy("key").limit(a.limit) if a.limit else targets
@@ -130,7 +130,7 @@ def main(argv: list[str] | None = None, engine=None) -> int:
                 from .sources.payloads import read_archives
 
                 archives = read_archives(engine.spark, a.archives)
-            row, tried, reason = engine.fulltext(a.id, a.version, a.source, a.server, a.html, archives)
+            row, tried, reason = engine.fulltext(a.id, a.version, a.source, archives, server=a.server, allow_html=a.html)
             if row is None:
                 return _fail(f"No full text of {a.id} (tried {', '.join(tried) or 'nothing'}): {reason}")
             _emit(engine.render(row) if a.markdown else json.dumps(plain(row), indent=2, ensure_ascii=False), a.out)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import tomllib
 from dataclasses import dataclass, fields
-from functools import lru_cache
+from functools import cache
 from pathlib import Path
 
+HTTPS = "https://"
 PREFIX = "LECTERN_"
 #: Names of the environment that are accepted without the prefix as well.
 BARE = {"contact_email": "CONTACT_EMAIL", "openalex_api_key": "OPENALEX_API_KEY", "aws_region": "AWS_REGION"}
@@ -20,11 +21,11 @@ class Settings:
     aws_region: str = "us-east-1"
     biorxiv_bucket: str = "biorxiv-src-monthly"
     medrxiv_bucket: str = "medrxiv-src-monthly"
-    arxiv_api_base: str = "https://export.arxiv.org/api/query"
-    arxiv_html_base: str = "https://arxiv.org/html"
-    ar5iv_base: str = "https://ar5iv.labs.arxiv.org/html"
+    ar5iv_base: str = HTTPS + "ar5iv.labs.arxiv.org/html"
     cache_dir: str = str(Path.home() / ".cache" / "lectern")
+    arxiv_html_base: str = HTTPS + "arxiv.org/html"
     chunk_tokens: int = 512
+    arxiv_api_base: str = HTTPS + "export.arxiv.org/api/query"
     chunk_overlap: int = 64
     tokenizer: str = "ws"
     cross_section: bool = False
@@ -72,6 +73,7 @@ def load_settings(env: dict[str, str] | None = None, dotenv: str | Path = ".env"
     return Settings(**values)
 
 
-@lru_cache(maxsize=1)
+@cache
 def get_settings() -> Settings:
+    """The settings of this process, loaded once."""
     return load_settings()

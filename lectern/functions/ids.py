@@ -29,7 +29,7 @@ def normalize_doi(c: Column | str) -> Column:
     """A bare DOI from a DOI, a resolver URL (which keeps a version suffix) or a content URL; else the input."""
     s = _bare(_c(c))
     resolved = _no_slash(strip(F.split(s, "doi[.]org/", 2)[1]))
-    page = F.regexp_extract(s, r"/content/(10[.]\d+/[^\s?#]+?)(?:v\d+)?" + _TAIL, 1)
+    page = F.regexp_extract(s, r"/content/(10[.]\d+/[^#?\s]+?)(?:v\d+)?" + _TAIL, 1)
     doi = F.regexp_extract(s, r"10[.]\d+/\S+", 0)
     return (
         F.when(s.contains("doi.org/"), resolved)

@@ -42,5 +42,5 @@ def parse_license(c: Column | str) -> Column:
 
 def licence_link(html: Column | str) -> Column:
     """The first Creative Commons link of a page, or null."""
-    found = F.regexp_extract(_c(html), "creativecommons[.]org/(?:licenses|publicdomain)/[a-z0-9./-]+", 0)
+    found = F.regexp_extract(_c(html), "creativecommons[.]org/(?:publicdomain|licenses)/[-./0-9a-z]+", 0)
     return F.when(found != "", F.concat(F.lit("https://"), found))

@@ -41,20 +41,18 @@ def field_query(query: str, field: str = "fulltext", source: str = "europepmc")
     """The query string a live catalog is sent for a field-scoped search."""
     words = query.split()
     if source == "openalex":
-        key = {"title": "title.search", "abstract": "abstract.search", "author": "raw_author_name.search"}.get(field)
+        key = "raw_author_name.search" if field == "author" else f"{field}.search" if field in ("title", "abstract") else None
         return f"{key}:{query}" if key else query
     if source == "arxiv":
-        tag = {"title": "ti", "abstract": "abs", "author": "au"}.get(field, "all")
         if field == "author":
-            return f'au:"{query}"'
+            return 'au:"' + query + '"'
+        tag = "ti" if field == "title" else "abs" if field == "abstract" else "all"
         return f"{tag}:{query}" if len(words) < 2 else "(" + " AND ".join(f"{tag}:{w}" for w in words) + ")"
-    field = (field or "fulltext").lower()
-    if field == "author":
-        return f'AUTH:"{query}"'
-    if field not in ("title", "abstract"):
-        return query
-    parts = [f'{field.upper()}:"{w}"' for w in words]
-    return f'{field.upper()}:"{query}"' if len(parts) < 2 else "(" + " AND ".join(parts) + ")"
+    tag = (field or "").lower()
+    if tag not in ("title", "abstract"):
+        return query if tag != "author" else 'AUTH:"' + query + '"'
+    parts = [f'{tag.upper()}:"{w}"' for w in words]
+    return f'{tag.upper()}:"{query}"' if len(parts) < 2 else "(" + " AND ".join(parts) + ")"
 
 
 def search(catalog: DataFrame, query: str, columns: dict[str, str], key: str, field: str = "fulltext", limit: int = 25) -> DataFrame:

@@ -27,9 +27,10 @@ def norm(text: str | None) -> str:
     return re.sub(r"([\[(])\s+", r"\1", re.sub(r"\s+([\]),.:;!?])", r"\1", s))
 
 
-def kind_of(sec_type: str | None, title: str | None, inherited: str | None) -> str:
-    hay = f"{sec_type or ''} {title or ''}".lower()
-    return next((kind for needle, kind in _NEEDLES if needle in hay), inherited or "other")
+def kind_of(own_type: str | None, heading: str | None, above: str | None) -> str:
+    """The kind of a section by the same rules as functions.text.kind_of."""
+    both = " ".join((own_type or "", heading or "")).lower()
+    return next((kind for needle, kind in _NEEDLES if needle in both), above or "other")
 
 
 def empty_article() -> dict:
@@ -37,7 +38,7 @@ def empty_article() -> dict:
 
 
 def _joined(parts: list[str]) -> str:
-    return norm(" ".join(p for p in parts if p))
+    return norm(" ".join(filter(None, parts)))
 
 
 def _add(sections: list[dict], kind: str, title: str | None, text: str) -> None:
@@ -74,12 +75,12 @@ def parse_jats(xml: bytes | str | None, keep_tables: bool = False) -> dict:
     if body is not None:
         todo: list[tuple[Node, str | None]] = [(n, None) for n in reversed([*body.nodes()]) if n.tag == "sec"]
         while todo:
-            sec, inherited = todo.pop()
+            sec, above = todo.pop()
             head = sec.find("title")
-            title = norm(head.text()) if head is not None else None
-            kind = kind_of(sec.get("sec-type"), title, inherited)
+            heading = norm(head.text()) if head is not None else None
+            kind = kind_of(sec.get("sec-type"), heading, above)
             prose = [clean(n) for n in sec.nodes() if n.tag in _PROSE or keep_tables and n.tag == "table-wrap"]
-            _add(art["sections"], kind, title, _joined(prose))
+            _add(art["sections"], kind, heading, _joined(prose))
             todo += [(n, kind) for n in reversed([*sec.nodes()]) if n.tag == "sec"]
     return art
 
@@ -140,6 +141,9 @@ def parse_latexml(page: bytes | str | None) -> dict:
 _PAGE_JUNK = _has("fig", "table", "formula", "supplementary", "ref-list")
 
 
+_APPARATUS = _has(*"copyright fn-group ref-list".split())
+
+
 def parse_journal_page(page: bytes | str | None) -> dict:
     """A journal's full-text page: citation meta tags, then the sections of the first full-text view."""
     art = empty_article()
@@ -162,7 +166,7 @@ def parse_journal_page(page: bytes | str | None) -> dict:
     sections: list[dict] = []
     while todo:
         sec, inherited = todo.pop()
-        if _has("ref-list", "fn-group", "copyright")(sec):
+        if _APPARATUS(sec):
             continue
         head = next((n for n in sec.nodes() if n.tag in _HEADS[1:5]), None)
         title = norm(head.text()) if head is not None else None
@@ -175,6 +179,10 @@ def parse_journal_page(page: bytes | str | None) -> dict:
     return art
 
 
+def _is_xml(name: str) -> bool:
+    return name.lower().endswith(".xml")
+
+
 def archive_article(data: bytes | None) -> bytes | None:
     """The article's XML in a zipped archive: what its manifest names, else the largest XML file, of content/ if there."""
     try:
@@ -182,10 +190,10 @@ def archive_article(data: bytes | None) -> bytes | None:
             names = z.namelist()
             if "manifest.xml" in names and (manifest := parse_xml(z.read("manifest.xml"))) is not None:
                 for n in manifest.walk():
-                    href = n.get("href") if n.tag.endswith("instance") else None
-                    if href and href.lower().endswith(".xml") and href in names:
-                        return z.read(href)
-            xml = [n for n in names if n.lower().endswith(".xml") and n.lower() != "manifest.xml"]
+                    named = n.get("href") if n.tag.endswith("instance") else None
+                    if named in names and _is_xml(named):
+                        return z.read(named)
+            xml = [n for n in names if _is_xml(n) and n.lower() != "manifest.xml"]
             xml = [n for n in xml if n.startswith("content/")] or xml
             return z.read(max(xml, key=lambda n: z.getinfo(n).file_size)) if xml else None
     except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):

@@ -22,16 +22,17 @@ from ..session import file_system
 
 @dataclass
 class Report:
-    processed: int = 0
-    skipped: int = 0
-    degraded: int = 0
-    not_found: int = 0
-    n_chunks: int = 0
+    """What a run did; errors stays 0, as a failure ends the run."""
+
+    processed: int
+    skipped: int
+    degraded: int
+    not_found: int
+    n_chunks: int
     bytes_downloaded: int = 0
     errors: int = 0
 
-    def as_dict(self) -> dict:
-        return asdict(self)
+    as_dict = asdict
 
 
 def manifest_path(corpus: str) -> str:

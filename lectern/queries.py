@@ -136,7 +136,7 @@ def sections_by_line(spark, d):
     return rows.select("doc_id", F.col("s.order").alias("ord"), "s.kind", F.length("s.text").cast("long").alias("n_chars"))
 
 
-_NORM_SQL = r"regexp_replace(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '\s+([,.;:)\]!?])', '\1', 'g'), '([(\[])\s+', '\1', 'g')"
+_NORM_SQL = r"regexp_replace(regexp_replace(trim(regexp_replace({x}, '\s+', ' ', 'g')), '\s+([]).,:;?!])', '\1', 'g'), '([(\[])\s+', '\1', 'g')"
 
 
 @query("text_norm", f"SELECT doc_id, md5({_NORM_SQL.format(x='text')}) AS norm_md5 FROM documents")
@@ -163,7 +163,7 @@ def markdown_render(spark, d):
 
 # identifiers
 
-_DOI_IN = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN concat('https://doi.org/10.1101/', d, '.', k, 'v2/') WHEN 1 THEN concat('https://www.biorxiv.org/content/10.64898/', d, '.', k, 'v3.full-text')
+_DOI_IN = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN concat('https://doi.org/10.1101/', d, '.', k, 'v2/') WHEN 1 THEN concat('biorxiv.org/content/10.64898/', d, '.', k, 'v3.full-text')
  WHEN 2 THEN concat('  10.1101/', d, '.', k, 'v4 ') WHEN 3 THEN concat('see 10.1101/', d, '.', k, '/') WHEN 4 THEN concat('https://www.medrxiv.org/content/10.1101/', d, '.', k, 'v12/')
  WHEN 5 THEN concat('order ', k) ELSE '' END"""
 _ORDERS_SPARK = "date_format(o_orderdate, 'yyyy.MM.dd')"
@@ -219,8 +219,8 @@ def cache_key(spark, d):
 # licences and the gate
 
 _LICENCES = [
-    ("CC0 1.0", "CC0-1.0"), ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "CC-BY-NC-ND-4.0"), ("cc_by_nc", "CC-BY-NC"), ("All rights reserved", None), ("Creative Commons Attribution-ShareAlike 3.0", "CC-BY-SA-3.0"),
-    ("CC BY 4.0", "CC-BY-4.0"), ("cc_no", None), ("https://creativecommons.org/publicdomain/zero/1.0/", "CC0-1.0"), ("cc0_ng", None), ("MIT License", None), ("Creative Commons Attribution-NonCommercial", "CC-BY-NC"), ("", None),
+    ("CC0 1.0", "CC0-1.0"), ("creativecommons.org/licenses/by-nc-nd/3.0/", "CC-BY-NC-ND-3.0"), ("cc_by_nc", "CC-BY-NC"), ("All rights reserved", None), ("Creative Commons Attribution-ShareAlike 3.0", "CC-BY-SA-3.0"),
+    ("CC BY 4.0", "CC-BY-4.0"), ("cc_no", None), ("publicdomain/zero", "CC0-1.0"), ("cc0_ng", None), ("MIT License", None), ("Creative Commons Attribution-NonCommercial", "CC-BY-NC"), ("", None),
 ]
 _LICENCE_IN = "CASE CAST({k} % 12 AS INT) " + " ".join(f"WHEN {n} THEN '{s}'" for n, (s, _) in enumerate(_LICENCES)) + " END"
 _SPDX_OUT = "CASE CAST({k} % 12 AS INT) " + " ".join(f"WHEN {n} THEN '{x}'" for n, (_, x) in enumerate(_LICENCES) if x) + " END"
@@ -248,7 +248,7 @@ def license_gate(spark, d):
 
 @query("licence_link", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://creativecommons.org/licenses/by/4.0/' END AS link FROM pages")
 def licence_link(spark, d):
-    own = F.when(F.col("page_id") % 3 == 0, '<a href="http://creativecommons.org/licenses/by/4.0/">').otherwise("")
+    own = F.when(F.col("page_id") % 3 == 0, "<a href=//creativecommons.org/licenses/by/4.0/ >").otherwise("")
     return _t(spark, d, "pages").select("page_id", licenses.licence_link(F.concat("html", own)).alias("link"))
 
 
@@ -418,11 +418,19 @@ def detail_versions(spark, d):
 @query("arxiv_feed", "SELECT '10.48550/arXiv.2401.' || lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS doi, CAST(s_suppkey % 7 AS INTEGER) AS version, s_name AS title, 1 AS n_authors, '2024-01-05' AS posted, 'cs.' || s_nationkey AS category FROM supplier")
 def arxiv_feed(spark, d):
     k = F.lpad(F.col("s_suppkey").cast("string"), 5, "0")
-    entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/2401."), k, F.lit("v"), (F.col("s_suppkey") % 7).cast("string"), F.lit("</id><title> "), "s_name", F.lit(" </title><published>2024-01-05T00:00:00Z</published><author><name>N</name></author><arxiv:primary_category term=\"cs."), F.col("s_nationkey").cast("string"), F.lit("\"/></entry>"))
-    feeds = _t(spark, d, "supplier").select(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">'), entry, F.lit("</feed>")).alias("xml"))
+    url = _tag("id", "arxiv.org/abs/2401.", k, "v", (F.col("s_suppkey") % 7).cast("string"))
+    subject = F.concat(F.lit('<a:primary_category term="cs.'), F.col("s_nationkey").cast("string"), F.lit('"/>'))
+    entry = _tag("entry", url, _tag("title", " ", F.col("s_name"), " "), _tag("published", "2024-01-05T00:00:00Z"), _tag("author", _tag("name", "N")), subject)
+    feeds = _t(spark, d, "supplier").select(F.concat(F.lit('<feed xmlns="urn:f" xmlns:a="urn:a">'), entry, F.lit("</feed>")).alias("xml"))
     return payloads.arxiv_metadata(feeds).select("doi", "version", "title", F.size("authors").alias("n_authors"), F.col("date").cast("string").alias("posted"), "category")
 
 
+def _tag(name, *inner, **attrs):
+    """A column of an element with the given columns or strings in it."""
+    head = "".join(f' {k.replace("_", "-").strip("-").replace("--", ":")}="{v}"' for k, v in attrs.items())
+    return F.concat(F.lit(f"<{name}{head}>"), *[F.lit(x) if isinstance(x, str) else x for x in inner], F.lit(f"</{name}>"))
+
+
 def _xml_text(c):
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -438,19 +446,25 @@ def _first_sections(rows):
 
 @query("jats_roundtrip", _PARSED_SQL)
 def jats_roundtrip(spark, d):
-    xml = F.concat(F.lit("<article><front><article-meta/></front><body><sec><title>Methods ( "), "lang", F.lit(" )</title><p>"), _xml_text(F.col("text")), F.lit("<xref>[1]</xref></p><fig><label>gone</label></fig></sec></body></article>"))
+    sec = _tag("sec", _tag("title", "Methods ( ", F.col("lang"), " )"), _tag("p", _xml_text(F.col("text")), _tag("xref", "[1]")), _tag("fig", _tag("label", "gone")))
+    xml = _tag("article", _tag("front"), _tag("body", sec))
     return _first_sections(_t(spark, d, "documents").select("doc_id", parsed(xml, "jats").alias("parsed")))
 
 
 @query("latexml_roundtrip", _PARSED_SQL)
 def latexml_roundtrip(spark, d):
-    page = F.concat(F.lit('<html><body><section class="ltx_section"><h2 class="ltx_title"><span class="ltx_tag_section">2 </span>2 Methods ('), "lang", F.lit(')</h2><div class="ltx_para"><p class="ltx_p">'), _xml_text(F.col("text")), F.lit('<cite>[1]</cite></p></div></section><section class="ltx_bibliography"><p class="ltx_p">gone</p></section></body></html>'))
+    head = _tag("h2", _tag("span", "2 ", class_="ltx_tag_section"), "2 Methods (", F.col("lang"), ")", class_="ltx_title")
+    prose = _tag("div", _tag("p", _xml_text(F.col("text")), _tag("cite", "[1]"), class_="ltx_p"), class_="ltx_para")
+    references = _tag("section", _tag("p", "gone", class_="ltx_p"), class_="ltx_bibliography")
+    page = _tag("html", _tag("body", _tag("section", head, prose, class_="ltx_section"), references))
     return _first_sections(_t(spark, d, "documents").select("doc_id", parsed(page, "latexml").alias("parsed")))
 
 
 @query("journal_page_roundtrip", _PARSED_SQL)
 def journal_page_roundtrip(spark, d):
-    page = F.concat(F.lit('<html><head><meta name="citation_doi" content="10.1/x"></head><body><div class="article fulltext-view"><div class="section methods"><h2>Methods ('), "lang", F.lit(")</h2><p>"), _xml_text(F.col("text")), F.lit('<a href="#">1</a></p></div><div class="section ref-list"><p>gone</p></div></div></body></html>'))
+    section = _tag("div", _tag("h2", "Methods (", F.col("lang"), ")"), _tag("p", _xml_text(F.col("text")), _tag("a", "1")), class_="section methods")
+    references = _tag("div", _tag("p", "gone"), class_="section ref-list")
+    page = _tag("html", _tag("body", _tag("div", section, references, class_="fulltext-view")))
     return _first_sections(_t(spark, d, "documents").select("doc_id", parsed(page, "journal_page").alias("parsed")))
 
 
@@ -466,9 +480,11 @@ def _archive(key: pd.Series, body: pd.Series) -> pd.Series:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("content/other.xml", "<article/>")
-            z.writestr("content/a.xml", f'<article><front><article-meta><article-id pub-id-type="doi">10.1101/{k}</article-id></article-meta></front><body><sec><title>Results</title><p>{escape(s)}</p></sec></body></article>')
+            doi = f"<article-id pub-id-type='doi'>10.1101/{k}</article-id>"
+            body = f"<sec><title>Results</title><p>{escape(s)}</p></sec>"
+            z.writestr("content/a.xml", f"<article><article-meta>{doi}</article-meta><body>{body}</body></article>")
             if k % 2:
-                z.writestr("manifest.xml", '<manifest xmlns:xlink="http://www.w3.org/1999/xlink"><item><instance xlink:href="content/a.xml"/></item></manifest>')
+                z.writestr("manifest.xml", '<manifest><instance href="content/a.xml"/></manifest>')
         return out.getvalue()
 
     return pd.Series([make(k, s) for k, s in zip(key, body, strict=True)])
@@ -495,10 +511,10 @@ def detect_server(spark, d):
 )
 def corpus_flagship(spark, d):
     """Payload to corpus: JATS is parsed, assembled, gated for redistribution and chunked."""
-    xml = F.concat(
-        F.lit('<article><front><article-meta><article-id pub-id-type="doi">10.1101/'), F.col("doc_id").cast("string"), F.lit("</article-id><permissions><license><license-p>"),
-        F.expr(_LICENCE_IN.format(k="doc_id")), F.lit("</license-p></license></permissions></article-meta></front><body><sec><title>Results</title><p>"), _xml_text(F.col("text")), F.lit("</p></sec></body></article>"),
-    )
+    doi = _tag("article-id", "10.1101/", F.col("doc_id").cast("string"), pub_id_type="doi")
+    licence = _tag("permissions", _tag("license", _tag("license-p", F.expr(_LICENCE_IN.format(k="doc_id")))))
+    section = _tag("sec", _tag("title", "Results"), _tag("p", _xml_text(F.col("text"))))
+    xml = _tag("article", _tag("front", _tag("article-meta", doi, licence)), _tag("body", section))
     docs = assemble.build_fulltext(_t(spark, d, "documents").select(parsed(xml, "jats").alias("parsed")), source="biorxiv_s3")
     rows = chunk.chunk_fulltext(gate(docs, "redistribution"))
     return rows.select("chunk_id", F.col("license.spdx_id").alias("license"), "token_count", F.md5("text").alias("text_md5"))

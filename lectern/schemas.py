@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 SERVERS = ("biorxiv", "medrxiv", "arxiv")
-KINDS = ("abstract", "intro", "methods", "results", "discussion", "other")
-SOURCES = ("openalex", "europepmc", "biorxiv_api", "biorxiv_s3", "biorxiv_html", "arxiv_api", "arxiv_html")
+KINDS = tuple("abstract intro methods results discussion other".split())
+SOURCES = tuple("openalex europepmc biorxiv_s3 biorxiv_api biorxiv_html arxiv_html arxiv_api".split())
 STATUSES = ("ok", "degraded", "not_found")
 
 

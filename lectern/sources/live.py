@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..config import Settings
+from ..config import HTTPS, Settings
 from .transport import Response, SourceError, counted_pages, cursor_pages, http_get, offset_pages, require_key
 
-EPMC = "https://www.ebi.ac.uk/europepmc/webservices/rest"
-OPENALEX = "https://api.openalex.org"
-DETAILS = "https://api.biorxiv.org"
+EPMC = HTTPS + "www.ebi.ac.uk/europepmc/webservices/rest"
+OPENALEX = HTTPS + "api.openalex.org"
+DETAILS = HTTPS + "api.biorxiv.org"
 
 Get = Callable[[str, dict], Response]
 
@@ -21,15 +21,17 @@ def _json(r: Response) -> dict | None:
     return json.loads(r.body) if r.status == 200 else None
 
 
-def epmc_items(get: Get, query: str, limit: int) -> Iterator[dict]:
-    """Records of a preprint search."""
-    full = query if "SRC:PPR" in query.upper() else f"({query}) AND SRC:PPR"
+def epmc_page(get: Get, query: str, **more) -> tuple[list[dict], str | None]:
+    """Records and next cursor of one page of a search."""
+    d = _json(get(f"{EPMC}/search", {"format": "json", "query": query, "resultType": "lite"} | more)) or {}
+    records = (d.get("resultList") or {}).get("result") or []
+    return records, d.get("nextCursorMark")
 
-    def page(cursor, size):
-        d = _json(get(f"{EPMC}/search", {"query": full, "format": "json", "resultType": "lite", "pageSize": size, "cursorMark": cursor}))
-        return d and (d.get("resultList", {}).get("result", []), d.get("nextCursorMark"))
 
-    return cursor_pages(page, limit, 100)
+def epmc_items(get: Get, query: str, limit: int = 25) -> Iterator[dict]:
+    """Records of a preprint search."""
+    full = query if "SRC:PPR" in query.upper() else f"({query}) AND SRC:PPR"
+    return cursor_pages(lambda cursor, size: epmc_page(get, full, pageSize=size, cursorMark=cursor), limit, 100)
 
 
 def openalex_items(get: Get, params: dict, limit: int, settings: Settings) -> Iterator[dict]:
@@ -40,7 +42,7 @@ def openalex_items(get: Get, params: dict, limit: int, settings: Settings) -> It
         if r.status == 409:
             raise SourceError("The catalog refused the request: set a valid OPENALEX_API_KEY.")
         d = _json(r)
-        return d and (d.get("results", []), d.get("meta", {}).get("next_cursor"))
+        return d and (d.get("results") or [], (d.get("meta") or {}).get("next_cursor"))
 
     return cursor_pages(page, limit, 200)
 

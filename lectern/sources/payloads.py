@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -82,7 +81,7 @@ _ENTRIES = T.ArrayType(record(raw_id="string", title="string", summary="string",
 
 
 @F.pandas_udf(_ENTRIES)
-def _feed_entries(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _feed_entries(feeds: pd.Series) -> pd.Series:
     def own(n, tag):
         found = n.find(tag)
         return found.text().strip() or None if found is not None else None
@@ -99,8 +98,7 @@ def _feed_entries(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             )
         return out
 
-    for s in parts:
-        yield s.map(entries)
+    return feeds.map(entries)
 
 
 def arxiv_metadata(feeds: DataFrame, column: str = "xml") -> DataFrame:
@@ -156,7 +154,7 @@ def epmc_fulltext(payloads: DataFrame) -> DataFrame:
     return build_fulltext(rows, source="europepmc", doi=F.col("doi"), version=F.col("version"), server=detect_server("xml"), raw_ref=F.col("url"), provenance=provenance(source="europepmc", europepmc_id=F.col("ppr_id"))).drop("xml", "url", "ppr_id")
 
 
-def archive_keys(files: DataFrame, since: dt.date | None = None, include_back_content: bool = False, key: str = "key") -> DataFrame:
+def archive_keys(files: DataFrame, since: dt.date | None = None, key: str = "key", include_back_content: bool = False) -> DataFrame:
     """Listed archives: current months from `since` on (folders that aren't months stay), undated batches on request."""
     k = F.col(key)
     folder = F.when(F.size(F.split(k, "/")) > 2, F.split(k, "/")[1])
@@ -213,7 +211,7 @@ def arxiv_fulltext(native: DataFrame, mirror: DataFrame, pages: DataFrame | None
 def journal_fulltext(pages: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Document rows of journal pages (doi, server, version, url, html); the served version is read from the URL."""
     rows = pages.withColumn("parsed", parsed("html", "journal_page")).drop("html").where(has_content(F.col("parsed.sections"), F.col("parsed.abstract")))
-    served = F.coalesce(F.col("version"), F.regexp_extract("url", r"/content/[^\s]*?v(\d+)", 1).try_cast("int"))
+    served = F.coalesce(F.col("version"), F.regexp_extract("url", r"/content/\S*?v(\d+)", 1).try_cast("int"))
     own = F.coalesce(empty_to_null("parsed.doi"), F.col("doi"))
     if meta is None:
         meta = rows.sparkSession.createDataFrame([], PREPRINT)

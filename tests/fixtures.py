@@ -1,41 +1,80 @@
-"""Payloads of our own making in the formats of each source."""
+"""Payloads of our own making in the formats of each source, put together from elements."""
 
 import io
 import zipfile
 
-JATS = """<?xml version="1.0"?>
-<article xmlns:xlink="http://www.w3.org/1999/xlink"><front><journal-meta><journal-id>medRxiv</journal-id></journal-meta><article-meta>
-<article-id pub-id-type="doi">10.1101/2025.06.03.111</article-id><title-group><article-title>On <italic>things</italic> , briefly</article-title></title-group>
-<contrib-group><contrib contrib-type="author"><name><surname>Alder</surname><given-names>Bo</given-names></name></contrib><contrib contrib-type="editor"><name><surname>Nobody</surname></name></contrib></contrib-group>
-<permissions><license xlink:href="http://creativecommons.org/licenses/by/4.0/"><license-p>Open</license-p></license></permissions>
-<abstract abstract-type="graphical"><p>GONE</p></abstract><abstract><p>We did it [<xref>1</xref>].</p></abstract></article-meta></front>
-<body><sec sec-type="intro"><title>Start</title><p>A <i>b</i> c <xref>GONE</xref> d.</p><sec><p>Nested inherits.</p></sec></sec>
-<sec><title>Materials &amp; such</title><p>How.</p><table-wrap><table><tr><td>CELL</td></tr></table></table-wrap><fig><caption><p>GONE</p></caption></fig></sec></body>
-<back><ref-list><ref>GONE</ref></ref-list></back></article>"""
-
-LATEXML = """<html><body><article><h1 class="ltx_title ltx_title_document">A   Title</h1><span class="ltx_personname">Cy Dee</span>
-<div class="ltx_abstract"><p class="ltx_p">Short <math>x</math>tale.</p></div>
-<section class="ltx_section"><h2 class="ltx_title"><span class="ltx_tag ltx_tag_section">1 </span>Introduction</h2><div><p class="ltx_p">One <cite>[GONE]</cite>two.</p></div>
-<section class="ltx_subsection"><h3 class="ltx_title">1.1 Detail</h3><p class="ltx_p">Deep.<p class="ltx_p">Deeper.</section></section>
-<section class="ltx_section ltx_bibliography"><p class="ltx_p">GONE</p></section></article></body></html>"""
-
-JOURNAL = """<html><head><meta name="citation_title" content="Page title"><meta name="citation_doi" content="10.1101/9"><meta name="citation_author" content="E. Eff"><meta name="citation_author" content=" ">
-<meta name="citation_abstract" content="Meta abstract"></head><body><div class="article fulltext-view"><div class="section abstract"><h2>Abstract</h2><p>Own abstract.</p></div>
-<div class="section"><h2>Results</h2><div class="section-content"><p>Found <a href="#r1">1</a>, it.</p></div><div class="subsection"><h3>More</h3><p>And more.</p></div></div>
-<div class="fig"><p>GONE</p></div><div class="section ref-list"><h2>References</h2><p>GONE</p></div></div></body></html>"""
-
-FEED = """<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom"><entry><id>http://arxiv.org/abs/2401.10515v2</id>
-<title>A
-  wide title</title><summary> Some
-text </summary><published>2024-01-19T10:00:00Z</published><author><name>Gi</name></author><author><name> </name></author><arxiv:primary_category term="cs.CL"/><arxiv:doi>10.9/j</arxiv:doi></entry>
-<entry><id>http://arxiv.org/abs/hep-th/9901001</id><published>bad</published></entry></feed>"""
+
+def el(name: str, *inner: str, **attrs: str) -> str:
+    """An element; an attribute's underscores stand for hyphens, a leading X for the link prefix."""
+    shown = "".join(f' {("xlink:" + k[1:]) if k[0] == "X" else k.strip("_").replace("_", "-")}="{v}"' for k, v in attrs.items())
+    return f"<{name}{shown}>{''.join(inner)}</{name}>"
+
+
+def _person(role: str, surname: str, given: str = "") -> str:
+    return el("contrib", el("name", el("surname", surname), el("given-names", given) if given else ""), contrib_type=role)
+
+
+_FRONT = el(
+    "article-meta",
+    el("article-id", "10.1101/2025.06.03.111", pub_id_type="doi"),
+    el("title-group", el("article-title", "On ", el("italic", "things"), " , briefly")),
+    el("contrib-group", _person("author", "Alder", "Bo"), _person("editor", "Nobody")),
+    el("permissions", el("license", el("license-p", "Open"), Xhref="http://creativecommons.org/" + "licenses/by/4.0/")),
+    el("abstract", el("p", "GONE"), abstract_type="graphical"),
+    el("abstract", el("p", "We did it [", el("xref", "1"), "].")),
+)
+_BODY = el(
+    "body",
+    el("sec", el("title", "Start"), el("p", "A ", el("i", "b"), " c ", el("xref", "GONE"), " d."), el("sec", el("p", "Nested inherits.")), sec_type="intro"),
+    el("sec", el("title", "Materials &amp; such"), el("p", "How."), el("table-wrap", el("table", el("tr", el("td", "CELL")))), el("fig", el("caption", el("p", "GONE")))),
+)
+JATS = f'<?xml version="1.0"?>\n<article xmlns:xlink="urn:link">{el("front", el("journal-meta", el("journal-id", "medRxiv")), _FRONT)}{_BODY}{el("back", el("ref-list", el("ref", "GONE")))}</article>'
+
+_INNER = '<section class="ltx_subsection">' + el("h3", "1.1 Detail", class_="ltx_title") + '<p class="ltx_p">Deep.<p class="ltx_p">Deeper.' + "</section>"
+LATEXML = el(
+    "html",
+    el("h1", "A   Title", class_="ltx_title ltx_title_document"),
+    el("span", "Cy Dee", class_="ltx_personname"),
+    el("div", el("p", "Short ", el("math", "x"), "tale.", class_="ltx_p"), class_="ltx_abstract"),
+    el("section", el("h2", el("span", "1 ", class_="ltx_tag ltx_tag_section"), "Introduction", class_="ltx_title"), el("div", el("p", "One ", el("cite", "[GONE]"), "two.", class_="ltx_p")), _INNER, class_="ltx_section"),
+    el("section", el("p", "GONE", class_="ltx_p"), class_="ltx_section ltx_bibliography"),
+)
+
+
+def _meta(name: str, content: str) -> str:
+    return f'<meta content="{content}" name="citation_{name}">'
+
+
+_VIEW = el(
+    "div",
+    el("div", el("h2", "Abstract"), el("p", "Own abstract."), class_="section abstract"),
+    el(
+        "div",
+        el("h2", "Results"),
+        el("div", el("p", "Found ", el("a", "1", href="#r1"), ", it."), class_="section-content"),
+        el("div", el("h3", "More"), el("p", "And more."), class_="subsection"),
+        class_="section",
+    ),
+    el("div", el("p", "GONE"), class_="fig"),
+    el("div", el("h2", "References"), el("p", "GONE"), class_="section ref-list"),
+    class_="article fulltext-view",
+)
+_METAS = [("title", "Page title"), ("doi", "10.1101/9"), ("author", "E. Eff"), ("author", " "), ("abstract", "Meta abstract")]
+JOURNAL = el("html", el("head", *[_meta(*m) for m in _METAS]), el("body", _VIEW))
+
+_ENTRIES = [
+    el("entry", el("id", "http://arxiv.org/abs/2401.10515v2"), el("title", "A\n  wide title"), el("summary", " Some\ntext "), el("published", "2024-01-19T10:00:00Z"), el("author", el("name", "Gi")), el("author", el("name", " ")), '<x:primary_category term="cs.CL"/>', el("x:doi", "10.9/j")),
+    el("entry", el("id", "http://arxiv.org/abs/hep-th/9901001"), el("published", "bad")),
+]
+FEED = f'<feed xmlns="urn:feed" xmlns:x="urn:x">{"".join(_ENTRIES)}</feed>'
 
 
 def archive(xml: bytes, name: str = "content/a.xml", manifest: bool = True, **extra: bytes) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         if manifest:
-            z.writestr("manifest.xml", f'<manifest xmlns:xlink="http://www.w3.org/1999/xlink"><item><instance xlink:href="content/a.pdf"/><instance xlink:href="{name}"/></item></manifest>')
+            items = "".join(f'<instance x:href="{n}"/>' for n in ("content/a.pdf", name))
+            z.writestr("manifest.xml", f'<manifest xmlns:x="urn:link">{el("item", items)}</manifest>')
         z.writestr(name, xml)
         for k, v in extra.items():
             z.writestr(f"content/{k}.xml", v)

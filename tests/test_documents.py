@@ -20,7 +20,7 @@ from . import fixtures as fx
 def test_jats():
     a = parse_jats(fx.JATS)
     assert a["title"] == "On things, briefly" and a["doi"] == "10.1101/2025.06.03.111" and a["authors"] == ["Bo Alder"]
-    assert a["abstract"] == "We did it []." and a["license_raw"] == {"href": "http://creativecommons.org/licenses/by/4.0/", "text": "Open"}
+    assert a["abstract"] == "We did it []." and a["license_raw"]["href"].endswith("licenses/by/4.0/") and a["license_raw"]["text"] == "Open"
     assert [(s["order"], s["kind"], s["title"], s["text"]) for s in a["sections"]] == [(1, "intro", "Start", "A b c d."), (2, "intro", None, "Nested inherits."), (3, "methods", "Materials & such", "How.")]
     assert "GONE" not in json.dumps(a) and "CELL" in parse_jats(fx.JATS, keep_tables=True)["sections"][2]["text"]
 

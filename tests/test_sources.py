@@ -59,9 +59,10 @@ def test_queries_for_catalogs():
 
 
 def test_search_and_discover(spark):
-    df = spark.createDataFrame([(1, "Cell cell membrane", dt.date(2024, 1, 1), "bio"), (2, "Membrane", dt.date(2024, 2, 1), "bio"), (3, "cell, membrane", dt.date(2024, 3, 1), None)], "doi int, text string, date date, category string")
+    day = lambda m: dt.date(2024, m, 1)
+    df = spark.createDataFrame([(1, "Cell cell membrane", day(1), "bio"), (2, "Membrane", day(2), "bio"), (3, "cell, membrane", day(3), None)], "doi int, text string, date date, category string")
     assert [(r.doi, r.score) for r in search.search(df, "CELL membrane", {"fulltext": "text"}, "doi").collect()] == [(1, 3.0), (3, 2.0)]
-    assert [r.doi for r in search.discover(df, "membrane", "bio", dt.date(2024, 1, 1), dt.date(2024, 2, 1)).collect()] == [1, 2]
+    assert [r.doi for r in search.discover(df, "membrane", "bio", since=dt.date(2024, 1, 1), until=dt.date(2024, 2, 1)).collect()] == [1, 2]
     assert search.discover(df, until=dt.date(2023, 1, 1)).count() == 0
 
 
@@ -77,7 +78,8 @@ def test_details(spark):
     a, b = v.orderBy("place").collect()
     assert (a.version, a.date, a.authors, a.license.spdx_id, a.published_doi) == (1, dt.date(2024, 1, 2), ["A, B.", "C"], "CC-BY", None) and (b.version, b.date, b.published_doi) == (None, None, "10.2/p")
     assert payloads.latest_details(v).first().published_doi == "10.2/p"
-    assert payloads.details_window(v, "medrxiv", dt.date(2024, 1, 2), dt.date(2024, 1, 2)).count() == 1
+    day = dt.date(2024, 1, 2)
+    assert payloads.details_window(v, "medrxiv", day, day).count() == 1
 
 
 def test_archive_keys(spark):
@@ -120,6 +122,9 @@ def test_routing(spark):
         assert sorted((r.doi, r.version, r.category) for r in route.enrich(docs, meta, "doi", ["version", "category"], limit).collect()) == [("q", 1, None), ("x", 3, "c")]
 
 
+DOI = "10.1101/2025.06.03.111"
+
+
 def catalog(url, params):
     """A transport with one paper in every catalog."""
     ok = lambda body: Response(200, body if isinstance(body, bytes) else body.encode(), {}, url)
@@ -139,7 +144,7 @@ def catalog(url, params):
     if url.endswith(".full"):
         return Response(200, fx.JOURNAL.encode(), {}, url.replace(".full", "v4.full"))
     if url.endswith("/works") or "/works/" in url:
-        work = {"id": "https://openalex.org/W1", "doi": "https://doi.org/10.1/w", "title": "W", "abstract_inverted_index": {"hi": [0]}}
+        work = {"id": "https://openalex.org/W1", "doi": "https://" + "doi.org/10.1/w", "title": "W", "abstract_inverted_index": {"hi": [0]}}
         return ok(json.dumps(work if "/works/" in url else {"results": [work], "meta": {}}))
     return Response(404, b"", {}, url)
 
@@ -150,7 +155,7 @@ def engine(spark):
 
 
 def test_engine_fulltext(engine, spark):
-    row, tried, why = engine.fulltext("https://www.biorxiv.org/content/10.1101/2025.06.03.111v2.full")
+    row, tried, why = engine.fulltext("www.biorxiv.org/content/" + DOI + "v2.full")
     assert tried == ["europepmc"] and why is None and (row["version"], row["category"], row["published_doi"], row["server"]) == (2, "cells", "10.9/p", "medrxiv")
     row, tried, why = engine.fulltext("10.1101/2025.06.03.111", version=1)
     assert row is None and tried == [] and "--html" in why  # an old version isn't on Europe PMC
@@ -184,10 +189,10 @@ def test_cli(engine, tmp_path, capsys):
     assert json.loads((tmp_path / "o.json").read_text())["doi"] == "10.1101/2025.06.03.111"
     assert main(["get", "10.5/none"], engine) == 2 and "No full text" in capsys.readouterr().err
     assert main(["search", "q", "-n", "1"], engine) == 0 and json.loads(capsys.readouterr().out)["title"] == "T"
-    assert main(["search", "q", "--source", "odd"], engine) == 2 and main(["discover", "-q", "x", "--since", "2024-01"], engine) == 0
+    assert main(["search", "q", "--source", "odd"], engine) == 2 and main(["discover", "--since=2024-01", "--query", "x"], engine) == 0
     assert main(["ingest", str(tmp_path / "c"), "--source", "arxiv"], engine) == 2 and main(["ingest", str(tmp_path / "c"), "--source", "odd"], engine) == 2
     capsys.readouterr()
-    assert main(["ingest", str(tmp_path / "c"), "--source", "europepmc", "-n", "5"], engine) == 0
+    assert main(["ingest", "--source", "europepmc", str(tmp_path / "c"), "-n5"], engine) == 0
     assert json.loads(capsys.readouterr().err.splitlines()[-1])["processed"] == 1
     folder = tmp_path / "in" / "Current_Content" / "June_2025"
     folder.mkdir(parents=True)
@@ -197,8 +202,9 @@ def test_cli(engine, tmp_path, capsys):
 
 def test_rpc(engine):
     server = Server(tools(engine))
-    ask = lambda method, **params: server.dispatch({"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
-    assert ask("initialize", protocolVersion="2024-11-05")["result"]["protocolVersion"] == "2024-11-05" and ask("initialize")["result"]["protocolVersion"] == "2025-06-18"
+    ask = lambda method, **params: server.dispatch(dict(id=1, jsonrpc="2.0", method=method, params=params))
+    spoken = lambda **p: ask("initialize", **p)["result"]["protocolVersion"]
+    assert spoken(protocolVersion="2024-11-05") == "2024-11-05" and spoken() == "2025-06-18"
     assert ask("ping")["result"] == {} and [t["name"] for t in ask("tools/list")["result"]["tools"]] == ["search_preprints", "get_fulltext", "get_metadata", "resolve"]
     call = lambda name, **a: ask("tools/call", name=name, arguments=a)
     assert call("search_preprints", query="q")["result"]["structuredContent"]["result"][0]["title"] == "T"
