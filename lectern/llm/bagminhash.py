@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, bags, mix, need, owners, pieces, row_hash, shingles, staged, text_buffer, words
+from .common import U64, bags, mix, need, owners, pieces, row_hash, shingles, staged, text_buffer, tidy, words
 from .components import components
 
 M, ROWS, SHINGLE, THRESHOLD = 128, 4, 2, 0.55
@@ -174,7 +174,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, br
     right = texts.select(F.col("n").alias("b"), F.col("t").alias("tb"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     node = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(check, f"a {node}, b {node}, same boolean")
+    return joined.mapInArrow(tidy(check), f"a {node}, b {node}, same boolean")
 
 
 def duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = M, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
@@ -184,7 +184,7 @@ def duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("m must be a multiple of rows")
     base = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("th"), F.col(text_col).alias("t"))
     texts = base.select(F.struct("id", "th").alias("n"), "t")
-    signed = staged(base.mapInArrow(_sign(m, rows, size), "id bigint, th bigint, f1 bigint, f2 bigint, bands array<bigint>").select(F.struct("id", "th").alias("n"), "f1", "f2", "bands"), "signed")
+    signed = staged(base.mapInArrow(tidy(_sign(m, rows, size)), "id bigint, th bigint, f1 bigint, f2 bigint, bands array<bigint>").select(F.struct("id", "th").alias("n"), "f1", "f2", "bands"), "signed")
     reps = signed.groupBy("f1", "f2").agg(F.min("n").alias("r"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("k"))
     reps = staged(reps, "reps")
     copies = signed.select("n", "f1", "f2").join(reps.where("k > 1").select("f1", "f2", "r"), ["f1", "f2"]).where("n != r").select(F.col("n").alias("a"), F.col("r").alias("b"))

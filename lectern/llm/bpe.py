@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, pieces, span_hashes, text_buffer
+from .common import need, pieces, release, span_hashes, text_buffer, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -202,6 +202,7 @@ def _encode_shard(path: str):
             cum = np.cumsum(n)
             out_n.append(_pack(n.astype(np.int32)))
             out_ids.append(_pack(np.ascontiguousarray(flat_ids[np.repeat(first[w] - cum + n, n) + np.arange(int(n.sum()))].view(np.uint8).reshape(-1, 4).T)))
+        release()
         return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array(out_n, pa.binary()), pa.array(out_ids, pa.binary())], ["block", "shard", "sizes", "tokens"])
 
     return run
@@ -238,6 +239,7 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         offs = np.concatenate([[0], cum])[by].astype(np.int32)
         lists.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(flat), mask=pa.array(count < 0)))
         ids.append(pa.array(row["ids"], pa.int64()))
+    release()
     return pa.Table.from_arrays([pa.chunked_array(ids, pa.int64()), pa.chunked_array(lists, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
 
@@ -246,9 +248,9 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
     need(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = rows.mapInArrow(_words_of(shards), "shard int, block bigint, lens binary, bytes binary")
+    words = rows.mapInArrow(tidy(_words_of(shards)), "shard int, block bigint, lens binary, bytes binary")
     answers = words.groupBy("shard").applyInArrow(_encode_shard(path), "block bigint, shard int, sizes binary, tokens binary")
-    blocks = rows.mapInArrow(_sequences, "block bigint, ids array<bigint>, counts binary, top binary, code binary, rest binary")
+    blocks = rows.mapInArrow(tidy(_sequences), "block bigint, ids array<bigint>, counts binary, top binary, code binary, rest binary")
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, "doc_id bigint, token_ids array<int>")
 
 
@@ -283,7 +285,7 @@ def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "token_ids
                 yield pa.RecordBatch.from_arrays([*(batch.column(p) for p in place), text], [*keep, out_col])
 
     schema = encoded.select(*[f"`{x}`" for x in keep]).schema.add(out_col, "string")
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(tidy(run), schema)
 
 
 def encode_decode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,8 +7,9 @@ ASCII and the Latin-1 letters. Words are known by a 64-bit hash.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,31 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns {missing}; the table has {df.columns}")
 
 
-# ---------------------------------------------------------------------------------------------
+# memory of the Python workers
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The function of an Arrow map, releasing memory now and then and at its end."""
+
+    def tidied(batches):
+        for k, out in enumerate(run(batches)):
+            yield out
+            if k % 16 == 15:
+                release()
+        release()
+
+    return tidied
+
+
 # numpy kernels
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, staged
+from .common import need, release, staged
 
 THRESHOLD, TILE = 0.95, 4096
 _SLACK = 1e-5  # covers the float32 arithmetic of scales and norms; the int8 products are exact
@@ -84,6 +84,7 @@ def _tiles(threshold: float):
                 a_out.append(ia[x])
                 b_out.append(ib[y])
         cat = lambda p: pa.array(np.concatenate(p) if p else np.zeros(0, np.int64))
+        release()
         return pa.Table.from_arrays([cat(a_out), cat(b_out)], ["a", "b"])
 
     return run

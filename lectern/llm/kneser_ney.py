@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, need, pieces, row_hash, staged, text_buffer
+from .common import mix, need, pieces, row_hash, staged, text_buffer, tidy
 
 ORDER, BITS, SYMBOLS = 5, 12, 4096
 QUANTILE, MARGIN, LEAST = 0.995, 1.1, 50
@@ -68,19 +68,31 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out, begin
 
 
+def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Keys with summed counts of sorted (keys, counts) parts."""
+    g, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    order = np.argsort(g, kind="stable")
+    g, c = g[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    return g[first], np.add.reduceat(c, first)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = text_buffer(batch.column(0))
-        for i, j in pieces(offs, 1 << 23):
+        parts = []
+        for i, j in pieces(offs):
             s, begin = symbols(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-            if not len(s):
-                continue
+            real = np.ones(len(s), bool)
+            real[(begin[:-1, None] + np.arange(_PAD)).ravel()] = False
             key = s[_PAD:].copy()
             for k in range(1, ORDER):
                 key |= s[_PAD - k : len(s) - k] << (BITS * k)
-            real = np.ones(len(s), bool)
-            real[(begin[:-1, None] + np.arange(_PAD)).ravel()] = False
-            g, c = np.unique(key[real[_PAD:]], return_counts=True)
+            key = key[real[_PAD:]]
+            if len(key):
+                parts.append(np.unique(key, return_counts=True))
+        if parts:
+            g, c = _merged(parts)
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c.astype(np.int64))], ["g", "c"])
 
 
@@ -95,7 +107,7 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 
 def train(text: DataFrame) -> tuple[DataFrame, float]:
     """(model, base): staged rows (k, d, b), the key tagged with its order, what it adds as an n-gram and as a context; the log-probability of an unseen character."""
-    counts = {ORDER: staged(text.mapInArrow(_count, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "counts")}
+    counts = {ORDER: staged(text.mapInArrow(tidy(_count), "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c")), "counts")}
     for n in range(ORDER - 1, 0, -1):
         counts[n] = staged(counts[n + 1].groupBy(F.col("g").bitwiseAND((1 << BITS * n) - 1).alias("g")).agg(F.count(F.lit(1)).alias("c")), "counts")
     lower, base, parts = None, math.log(1 / SYMBOLS), []
@@ -135,7 +147,7 @@ class Table:
         return Table, self.rows
 
     def _build(self) -> None:
-        k, d, b = self.rows
+        (k, d, b), self.rows = self.rows, None
         self.bits = max(4, math.ceil(math.log2(max(len(k), 1) * 3)))
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros((1 << self.bits, 2), np.float32)
@@ -246,23 +258,22 @@ class Classifier:
         self.limits: dict = {}
         self.default = math.inf
 
-    def scored(self, docs: DataFrame, columns: list, text_col: str) -> DataFrame:
-        """The given columns and zp, the perplexity, of every row."""
+    def scored(self, docs: DataFrame, columns: list, text_col: str, keep_text: bool = False) -> DataFrame:
+        """The given columns, the text as zt if it is to be kept, and zp, the perplexity, of every row."""
         rows = docs.select(*columns, F.col(text_col).alias("zt"))
-        names = [c for c in rows.columns if c != "zt"]
+        names = rows.columns if keep_text else rows.columns[:-1]
         if self.shared is not None:
             shared, base = self.shared, self.base
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
                     p = _perplexity(*log_probabilities(batch.column(batch.num_columns - 1), shared.value, base))
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], p], [*names, "zp"])
+                    yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], p], [*names, "zp"])
 
-            out = rows.select(*names, "zt").schema[: len(names)]
-            return rows.mapInArrow(run, out.add("zp", "double"))
+            return rows.mapInArrow(tidy(run), rows.select(*names).schema.add("zp", "double"))
         rows = staged(rows.withColumn("zu", row_hash("zt")), "scored")  # equal texts have equal scores
         texts = rows.select("zu", "zt").where("zt is not null").dropDuplicates(["zu"])
-        asked = texts.mapInArrow(_requests, "uid bigint, k bigint, nd bigint, nb bigint")
+        asked = texts.mapInArrow(tidy(_requests), "uid bigint, k bigint, nd bigint, nb bigint")
         order = F.shiftright("k", 60)
         ctx = F.when(order < ORDER, F.col("nb")).otherwise(0)
         joined = asked.join(self.model, "k", "left")
@@ -311,6 +322,9 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The documents that quality() keeps, all columns."""
     fitted = fit_quality(docs, labels, id_col, text_col, lang_col, **options)
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("zr")
-    rows = fitted.scored(docs, [whole], text_col)
-    return rows.where(fitted.keep(F.col("zp"), F.col(f"zr.`{lang_col}`"))).select("zr.*")
+    rest = [c for c in docs.columns if c != text_col]
+    names = [f"z{k}" for k in range(len(rest))]
+    rows = fitted.scored(docs, [F.col(f"`{c}`").alias(n) for c, n in zip(rest, names, strict=True)], text_col, keep_text=True)
+    kept = rows.where(fitted.keep(F.col("zp"), F.col(names[rest.index(lang_col)])))
+    back = dict(zip(rest, names, strict=True)) | {text_col: "zt"}
+    return kept.select(*[F.col(back[c]).alias(c) for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import need, row_hash, staged
+from .common import need, row_hash, staged, tidy
 
 _FLAGS = "doc bigint, th bigint, pos int, keep boolean, part int, edge string, h1 bigint, h2 bigint"
 
@@ -79,7 +79,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     key = ["h1", "h2", "doc", "th", "pos"]
     ordered = lines.repartitionByRange(*key).sortWithinPartitions(*key)
-    flags = staged(ordered.select("doc", "th", "pos", "h1", "h2").mapInArrow(_first_occurrences, _FLAGS), "lines")
+    flags = staged(ordered.select("doc", "th", "pos", "h1", "h2").mapInArrow(tidy(_first_occurrences), _FLAGS), "lines")
     edges = flags.where("edge is not null").select("part", "edge", "h1", "h2").collect()  # two rows a partition
     heads = {r.part: (r.h1, r.h2) for r in edges if r.edge == "head"}
     tails = {r.part: (r.h1, r.h2) for r in edges if r.edge == "tail"}

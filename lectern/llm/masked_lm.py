@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, need, owners, pieces, text_buffer, words
+from .common import mix, need, owners, pieces, text_buffer, tidy, words
 
 CLASSES = 32
 SHAPES = 48
@@ -252,14 +252,14 @@ def fit(docs: DataFrame, text_col: str = "text", window: int = WINDOW, dim: int
     """Count the words of all documents and train the network over all partitions of them."""
     need(docs, text_col)
     text = docs.select(F.col(text_col).alias("t"))
-    counts = text.mapInArrow(_word_counts, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
+    counts = text.mapInArrow(tidy(_word_counts), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     top = counts.orderBy(F.desc("c"), "h").limit(VOCAB - SHAPES).collect()  # the vocabulary, a fixed number of words
     hashes = np.array([r.h for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     table, ids = hashes[order], order.astype(np.int64)
     flat = Network(dim, window, seed).flat()
     for part in range(rounds):
-        local = text.mapInArrow(_local_training(table, ids, flat, dim, window, rate, part, rounds, seed), "block int, n bigint, v binary")
+        local = text.mapInArrow(tidy(_local_training(table, ids, flat, dim, window, rate, part, rounds, seed)), "block int, n bigint, v binary")
         mean = {r.block: np.frombuffer(r.v, np.float32) for r in local.groupBy("block").applyInArrow(_sum_blocks, "block int, v binary").collect()}
         if mean:
             flat = np.concatenate([mean[k] for k in range(_BLOCKS)])
@@ -277,4 +277,4 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             n, total = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")

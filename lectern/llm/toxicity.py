@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, pieces, text_buffer, word_hash, words
+from .common import need, pieces, text_buffer, tidy, word_hash, words
 
 MAX_LABELLED, THRESHOLD = 20_000, 0.5
 
@@ -229,7 +229,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             x = _features(batch.column(2), tables)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "x"])
 
-    rows = texts.select(F.xxhash64("zi").alias("k"), "zy", "zt").mapInArrow(run, "k bigint, y int, x array<double>").toArrow().sort_by("k")
+    rows = texts.select(F.xxhash64("zi").alias("k"), "zy", "zt").mapInArrow(tidy(run), "k bigint, y int, x array<double>").toArrow().sort_by("k")
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return Model(x, rows.column("y").to_numpy().astype(float), rows.column("k").to_numpy() % 3 == 0)
 
@@ -245,4 +245,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], ["doc_id", "toxicity", "toxic"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, toxicity double, toxic boolean")
+    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, toxicity double, toxic boolean")

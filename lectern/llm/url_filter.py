@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import need
+from .common import need, tidy
 
 BROADCAST_RULES = 1_000_000
 
@@ -120,7 +120,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] | None = None, id_
             )
 
     kind = dict(rows.dtypes)["page_id"]
-    return rows.mapInArrow(decide, f"page_id {kind}, url string, allowed boolean, matched_rule string")
+    return rows.mapInArrow(tidy(decide), f"page_id {kind}, url string, allowed boolean, matched_rule string")
 
 
 def _joined(rows: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:

@@ -143,8 +143,9 @@ def test_quality_cases(spark, limit):
 def test_model_table_finds_every_key():
     rng = np.random.default_rng(2)
     k = np.unique(rng.integers(0, 1 << 62, 50_000))
-    t = kneser_ney.Table(k, rng.random(len(k), np.float32), rng.random(len(k), np.float32))
-    assert np.array_equal(t.get(k)[:, 0], t.rows[1]) and np.array_equal(t.get(k)[:, 1], t.rows[2])
+    d, b = rng.random(len(k), np.float32), rng.random(len(k), np.float32)
+    t = kneser_ney.Table(k, d, b)
+    assert np.array_equal(t.get(k)[:, 0], d) and np.array_equal(t.get(k)[:, 1], b)
     assert not t.get(np.setdiff1d(rng.integers(0, 1 << 62, 1000), k)).any()
 
 
