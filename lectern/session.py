@@ -30,7 +30,7 @@ def file_system(spark: SparkSession, path: str):
 
 
 #: Bytes of rows that go to a Python worker at a time; its kernels need a few times as much.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
