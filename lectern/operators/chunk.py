@@ -1,8 +1,8 @@
 """Overlapping token windows over sections, or over whole documents across sections.
 
 Windows begin every max(1, size - overlap) tokens and stop with the first that reaches the end, so a
-text of n tokens has 1 + ceil(max(0, n - size) / step). Only window numbers are exploded, and each
-window slices its own tokens; nothing is shuffled.
+text of n tokens has 1 + ceil(max(0, n - size) / step). Each window slices its own tokens from its
+text's; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -26,22 +26,23 @@ def windows(df: DataFrame, text: str = "text", size: int = 512, overlap: int = 6
     keep = df.columns
     with_pieces = df.withColumn("_p", pieces(text, tokenizer)).withColumn("_n", F.size("_p"))
     count = window_count(F.col("_n"), size, overlap)
+    numbers = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)))
     # the lengths of the strides between window starts give every start by a sum over few numbers
-    strides = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.length(F.array_join(F.slice("_p", i * step + 1, F.lit(step)), "")))
-    rows = with_pieces.withColumn("_k", count).where("_k > 0").withColumn("_s", strides)
-    rows = rows.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    start = F.aggregate(F.slice("_s", F.lit(1), F.col("idx")), F.lit(0), lambda a, x: a + x)
-    body = F.array_join(F.slice("_p", F.col("idx") * step + 1, F.lit(size)), "")
-    rows = rows.withColumn("char_start", start.cast("int")).withColumn("chunk_text", body)
-    return rows.select(
-        *keep,
-        "idx",
-        "chunk_text",
-        F.least(F.lit(size), F.col("_n") - F.col("idx") * step).cast("int").alias("token_count"),
-        "char_start",
-        (F.col("char_start") + F.length("chunk_text")).cast("int").alias("char_end"),
+    strides = F.transform(numbers, lambda i: F.length(F.array_join(F.slice("_p", i * step + 1, F.lit(step)), "")))
+    rows = with_pieces.withColumn("_s", strides)
+    made = F.transform(
+        numbers,
+        lambda i: F.struct(
+            i.alias("idx"),
+            F.array_join(F.slice("_p", i * step + 1, F.lit(size)), "").alias("chunk_text"),
+            F.least(F.lit(size), F.col("_n") - i * step).cast("int").alias("token_count"),
+            F.aggregate(F.slice("_s", F.lit(1), i), F.lit(0), lambda a, x: a + x).cast("int").alias("char_start"),
+        ),
     )
-
+    # windows are cut before they are exploded, so that no row carries the tokens of its whole text
+    # (a filter on the tokens would be pushed below them and cut the text twice)
+    out = rows.select(*keep, F.explode(F.when(F.col("_n") > 0, made)).alias("_w")).select(*keep, "_w.*")
+    return out.withColumn("char_end", (F.col("char_start") + F.length("chunk_text")).cast("int"))
 
 
 def _license() -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import clean_doi, identify, short_id
 from ..functions.text import strip
+from ..session import written
 
 #: So many rows of a lookup table are broadcast at most; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -46,12 +47,12 @@ def first_source(candidates: list[tuple[str, DataFrame]], key: str) -> DataFrame
 def staged_route(requests: DataFrame, sources: list[tuple[str, callable]], key: str = "doi") -> DataFrame:
     """Ask each source in turn for the keys still open, so that later ones only parse what earlier ones lack.
 
-    A source is a function of the open requests that returns rows with the key. Keys that none has come
-    back with null fields."""
+    A source is a function of the open requests that returns rows with the key; what it returns is
+    written to the shared folder, so that it is asked once. Keys that none has come back with null fields."""
     open_, found, names = requests, None, []
     for name, fetch in sources:
         names.append(name)
-        got = fetch(open_).withColumns({"retrieved": F.lit(name), "tried": F.array(*map(F.lit, names))})
+        got = written(fetch(open_).withColumns({"retrieved": F.lit(name), "tried": F.array(*map(F.lit, names))}), "source")
         found = got if found is None else found.unionByName(got, allowMissingColumns=True)
         open_ = open_.join(got.select(key), key, "left_anti")
     missing = open_.select(key).withColumn("tried", F.array(*map(F.lit, names)))

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 
@@ -29,6 +29,16 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once into the shared folder and read back: its lineage is cut and survives executors."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 #: Bytes of rows that go to a Python worker at a time; its kernels need a few times as much.
 BATCH_BYTES = 8 << 20
 
