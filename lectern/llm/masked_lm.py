@@ -1,16 +1,18 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 The network predicts a word from `window` words on either side: a hidden layer of the context words'
-embeddings, scaled by position, then a two-level softmax (class of the word, word in its class). The
-vocabulary is the most frequent words by their counts over all documents; every other word counts as
-one of a fixed number of shapes (length, capitals, digits, non-ASCII). A document's score is the sum
-of the log-probabilities of all its words, each given both its sides.
+embeddings, scaled by position, then a two-level softmax (class of the unit, unit in its class). Units
+are words, parts of words and bytes. A word that is frequent by its counts over all documents is one
+unit; every other word is spelled, case-folded, without loss: in parts of `PART` bytes that are units if
+frequent, and else by their bytes; a part or byte that begins a word differs from one inside. The count
+that makes a unit is `SHARE` * sqrt(words of the corpus), so units, classes and parameters grow with the
+corpus. A document's score is the sum of the log-probabilities of all its units, each given both its sides.
 
 Training is data-parallel: every partition of the whole corpus goes over its own documents from the
 same start, at each document's positions drawn by hash at `rate`, and the partitions' parameters are
 averaged, weighted by the positions they saw; `rounds` such rounds follow each other on successive
-parts of the positions. So what is gathered grows with the corpus: counts of its words, and a set of
-parameters from each partition, which are averaged in the cluster before the result comes back.
+parts of the positions. So what is gathered grows with the corpus: counts of its words and their parts,
+and a set of parameters from each partition, averaged in the cluster before the result comes back.
 
 Defined cases
 - A document without words (null, empty, only signs) has n_words 0, log_likelihood 0 and a null mean.
@@ -30,45 +32,76 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, need, owners, pieces, text_buffer, tidy, words
+from .common import discard, folded, mix, need, owners, pieces, staged, text_buffer, tidy, words
 
 CLASSES = 32
-SHAPES = 48
-VOCAB = CLASSES * CLASSES
+VOCAB = CLASSES * CLASSES  # at least; classes grow with the units
+BYTES, FIRST, PART, SHARE = 512, 976, 3, 0.2  # units of single bytes; words that are units at any count
 WINDOW, DIM, RATE, ROUNDS, STEP, BATCH, SEED = 3, 32, 0.125, 2, 0.15, 1024, 20_231
 
-_KINDS = np.zeros(256, np.int64)  # counts of ASCII capitals, digits and non-ASCII bytes, 20 bits each
-_KINDS[65:91], _KINDS[48:58], _KINDS[128:] = 1, 1 << 20, 1 << 40
 
+def _part_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A hash of each part of at most PART bytes, of another stream than the words'."""
+    key = np.where(first, 1 << 62, 1 << 61)
+    for k in range(PART):
+        at = start + k
+        key += np.where(at < end, b[np.minimum(at, len(b) - 1)].astype(np.int64) + 1, 0) << (9 * k)
+    return mix(key.astype(np.uint64))
 
-def _tokens(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word numbers, word offsets by row): known words by their hash, the others by shape."""
+
+def _parts(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, start, end, begins its word) of the parts of words."""
+    n = -(-(end - start) // PART)
+    word = np.repeat(np.arange(len(n)), n)
+    j = np.arange(len(word)) - (np.cumsum(n) - n)[word]
+    at = start[word] + j * PART
+    return word, at, np.minimum(at + PART, end[word]), j == 0
+
+
+def _find(h: np.ndarray, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The unit of each hash, -1 if there is none."""
+    if not len(table) or not len(h):
+        return np.full(len(h), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
+    return np.where(table[at] == h, ids[at], -1)
+
+
+def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(units, unit offsets by row, words by row): frequent words by their hash, the others spelled."""
     h, start, end, wo = words(data, offs)
-    out = np.zeros(len(h), np.int64)
-    known = np.zeros(len(h), bool)
-    if len(table) and len(h):
-        at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-        known = table[at] == h
-        out[known] = ids[at[known]]
-    rest = np.flatnonzero(~known)
-    if len(rest):
-        s, e = start[rest], end[rest]
-        c = np.concatenate([[0], np.cumsum(_KINDS[data])])
-        kinds = c[e] - c[s]
-        upper, digit, high = kinds & 0xFFFFF, kinds >> 20 & 0xFFFFF, kinds >> 40
-        size = np.minimum(np.log2(e - s).astype(np.int64), 3)
-        caps = np.where(upper == 0, 0, np.where(upper == 1, 1, 2))
-        out[rest] = VOCAB - SHAPES + size * 12 + caps * 4 + (digit > 0) * 2 + (high > 0)
-    return out, wo
+    word = _find(h, table, ids)
+    rest = np.flatnonzero(word < 0)
+    width = np.ones(len(h), np.int64)
+    if not len(rest):
+        return word, wo, np.diff(wo)
+    b = folded(data)
+    owner, ps, pe, first = _parts(start[rest], end[rest])
+    part = _find(_part_hashes(b, ps, pe, first), table, ids)
+    size = np.where(part < 0, pe - ps, 1)
+    width[rest] = np.bincount(owner, weights=size).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(width)])
+    out = np.empty(at[-1], np.int64)
+    out[at[:-1]] = word
+    spell = np.repeat(np.arange(len(part)), size)  # the part of every unit of a spelled word
+    k = np.arange(len(spell)) - (np.cumsum(size) - size)[spell]
+    inner = ~(first[spell] & (k == 0))
+    begin = np.cumsum(width[rest]) - width[rest]
+    out[np.arange(len(spell)) + (at[rest] - begin)[owner[spell]]] = np.where(part[spell] >= 0, part[spell], b[ps[spell] + np.where(part[spell] >= 0, 0, k)] + 256 * inner)
+    return out, at[wo], np.diff(wo)
+
+
+def _tokens(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(units, unit offsets by row)."""
+    return _units(data, offs, table, ids)[:2]
 
 
 class Network:
     """Parameters and their gradients; float32 throughout."""
 
-    def __init__(self, dim: int = DIM, window: int = WINDOW, seed: int = SEED, start: np.ndarray | None = None):
-        self.dim, self.window, self.seed = dim, window, seed
+    def __init__(self, dim: int = DIM, window: int = WINDOW, seed: int = SEED, start: np.ndarray | None = None, classes: int = CLASSES):
+        self.dim, self.window, self.seed, self.classes, self.vocab = dim, window, seed, classes, classes * classes
         rng = np.random.default_rng(seed)
-        shapes = [(VOCAB + 1, dim), (2 * window, dim), (dim,), (dim, CLASSES), (CLASSES,), (CLASSES, dim, CLASSES), (CLASSES, CLASSES)]
+        shapes = [(self.vocab + 1, dim), (2 * window, dim), (dim,), (dim, classes), (classes,), (classes, dim, classes), (classes, classes)]
         scales = [0.3, 0.0, 0.0, 0.1, 0.0, 0.1, 0.0]
         self.p = [rng.normal(0, s, x).astype(np.float32) if s else np.zeros(x, np.float32) for x, s in zip(shapes, scales, strict=True)]
         self.p[1] += 0.5
@@ -90,7 +123,7 @@ class Network:
         lo, hi = offs[:-1][row], offs[1:][row]
         for k, step in enumerate([*range(-self.window, 0), *range(1, self.window + 1)]):
             j = at + step
-            out[:, k] = np.where((j >= lo) & (j < hi), tokens[np.clip(j, 0, len(tokens) - 1)], VOCAB)
+            out[:, k] = np.where((j >= lo) & (j < hi), tokens[np.clip(j, 0, len(tokens) - 1)], self.vocab)
         return out
 
     def _hidden(self, ctx: np.ndarray) -> np.ndarray:
@@ -109,11 +142,11 @@ class Network:
         """Log-probabilities of the targets in their contexts."""
         _, _, _, wc, bc, ww, bw = self.p
         h = self._hidden(ctx)
-        c, w = target // CLASSES, target % CLASSES
+        c, w = target // self.classes, target % self.classes
         z = h @ wc + bc
         out = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(axis=1))
         order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(cut)):
             sel = order[cut[k] : cut[k + 1]]
             y = h[sel] @ ww[k] + bw[k]
@@ -125,62 +158,73 @@ class Network:
         e, pos, b, wc, bc, ww, bw = self.p
         n = len(ctx)
         h = self._hidden(ctx)
-        c, w = target // CLASSES, target % CLASSES
+        c, w = target // self.classes, target % self.classes
         pc = np.exp(self._log_softmax(h @ wc + bc))
         pc[np.arange(n), c] -= 1
         pc /= n
         dh = pc @ wc.T
-        grads = [None, None, None, h.T @ pc, pc.sum(axis=0), np.zeros_like(ww), np.zeros_like(bw)]
+        dense = {3: h.T @ pc, 4: pc.sum(axis=0)}
+
+        def descend(k: int, at, g: np.ndarray) -> None:
+            """The step of parameters p[k][at]; those without a gradient stay as they are."""
+            squares[k][at] += g * g
+            self.p[k][at] -= (step * g / (np.sqrt(squares[k][at]) + 1e-5)).astype(np.float32)
+
         order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
+        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
         for k in np.flatnonzero(np.diff(cut)):
             sel = order[cut[k] : cut[k + 1]]
             hs = h[sel]
             y = np.exp(self._log_softmax(hs @ ww[k] + bw[k]))
             y[np.arange(len(sel)), w[sel]] -= 1
             y /= n
-            grads[5][k], grads[6][k] = hs.T @ y, y.sum(axis=0)
             dh[sel] += y @ ww[k].T
+            descend(5, k, hs.T @ y)
+            descend(6, k, y.sum(axis=0))
         dz = dh * (1 - h * h)
-        grads[2] = dz.sum(axis=0)
-        gp, ge = np.zeros_like(pos), np.zeros_like(e)
-        for k in range(ctx.shape[1]):
-            gp[k] = (e[ctx[:, k]] * dz).sum(axis=0)
-            ids = ctx[:, k]
-            by = np.argsort(ids, kind="stable")
-            u, first = np.unique(ids[by], return_index=True)
-            ge[u] += np.add.reduceat(dz[by] * pos[k], first, axis=0)
-        grads[0], grads[1] = ge, gp
-        for k, g in enumerate(grads):
-            squares[k] += g * g
-            self.p[k] = self.p[k] - (step * g / (np.sqrt(squares[k]) + 1e-5)).astype(np.float32)
-
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dense |= {1: np.stack([(e[ctx[:, k]] * dz).sum(axis=0) for k in range(ctx.shape[1])]), 2: dz.sum(axis=0)}
+        ids = ctx.T.ravel()
+        by = np.argsort(ids, kind="stable")
+        u, first = np.unique(ids[by], return_index=True)
+        ge = np.add.reduceat((dz[None] * pos[:, None]).reshape(-1, self.dim)[by], first, axis=0)
+        descend(0, u, ge)
+        for k, g in dense.items():
+            descend(k, slice(None), g)
+
+
+def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes and the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, c = h[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.add.reduceat(c, first).astype(np.int64) if len(first) else c
+
+
+def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words (part false) and of their parts (part true)."""
     for batch in batches:
         data, offs = text_buffer(batch.column(0))
         found = []
         for i, j in pieces(offs, 1 << 22):
-            h = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])[0]
-            found.append(np.unique(h, return_counts=True))
-        if not found:
-            continue
-        h, c = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        order = np.argsort(h, kind="stable")
-        h, c = h[order], c[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        if len(first):
-            yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(c, first).astype(np.int64))], ["h", "c"])
+            own = data[offs[i] : offs[j]]
+            h, start, end, _ = words(own, offs[i : j + 1] - offs[i])
+            h, at, c = np.unique(h, return_index=True, return_counts=True)
+            word, ps, pe, first = _parts(start[at], end[at])
+            found.append((h, c, *(_summed(_part_hashes(folded(own), ps, pe, first), c[word]) if len(word) else (h, c))))
+        for part in (0, 1) if found else ():
+            h, c = _summed(np.concatenate([f[2 * part] for f in found]), np.concatenate([f[2 * part + 1] for f in found]))
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array([bool(part)] * len(h)), pa.array(h.view(np.int64)), pa.array(c)], ["part", "h", "c"])
 
 
-_BLOCKS = 16
+_BLOCK = 4096  # parameters that are averaged together
 
 
-def _local_training(table, ids, start, dim, window, rate, part, rounds, seed):
+def _local_training(table, ids, classes, start, dim, window, rate, part, rounds, seed):
     """Each partition trains from `start` on its part of the drawn positions and yields weighted parameters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(dim, window, seed, start)
+        net = Network(dim, window, seed, start, classes)
         squares = [np.full(x.shape, 1e-6, np.float32) for x in net.p]
         seen, ctx_left, target_left = 0, [], []
 
@@ -215,9 +259,8 @@ def _local_training(table, ids, start, dim, window, rate, part, rounds, seed):
         flush(True)
         if seen:
             flat = net.flat().astype(np.float64) * seen
-            size = math.ceil(len(flat) / _BLOCKS)
-            values = [flat[k * size : (k + 1) * size].astype(np.float32) for k in range(_BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([seen] * _BLOCKS, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["block", "n", "v"])
+            values = [flat[k : k + _BLOCK].astype(np.float32) for k in range(0, len(flat), _BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([seen] * len(values), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["block", "n", "v"])
 
     return run
 
@@ -238,32 +281,36 @@ class Model:
         data, offs = text_buffer(column)
         n, total = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1)
         for i, j in pieces(offs):
-            tokens, wo = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], self.table, self.ids)
+            tokens, wo, n[i:j] = _units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], self.table, self.ids)
             row, lp = owners(wo), np.zeros(len(tokens))
             for k in range(0, len(tokens), 1 << 15):
                 at = np.arange(k, min(k + (1 << 15), len(tokens)))
                 lp[at] = self.net.log_p(self.net.contexts(tokens, wo, at, row[at]), tokens[at])
-            n[i:j] = np.diff(wo)
             total[i:j] = np.bincount(row, weights=lp, minlength=j - i)
         return n, total
 
 
 def fit(docs: DataFrame, text_col: str = "text", window: int = WINDOW, dim: int = DIM, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """Count the words of all documents and train the network over all partitions of them."""
+    """Count the words and parts of all documents and train the network over all partitions of them."""
     need(docs, text_col)
     text = docs.select(F.col(text_col).alias("t"))
-    counts = text.mapInArrow(tidy(_word_counts), "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counts.orderBy(F.desc("c"), "h").limit(VOCAB - SHAPES).collect()  # the vocabulary, a fixed number of words
-    hashes = np.array([r.h for r in top], np.int64).view(np.uint64)
+    counts = staged(text.mapInArrow(tidy(_unit_counts), "part boolean, h bigint, c bigint").groupBy("part", "h").agg(F.sum("c").alias("c")), "unit-counts")
+    found = counts.where("not part").agg(F.sum("c")).first()[0] or 0
+    frequent = counts.where(F.col("c") >= max(2, SHARE * math.sqrt(found))).select("h", "c").collect()
+    first = counts.where("not part").orderBy(F.desc("c"), "h").limit(FIRST).select("h", "c").collect()
+    discard(counts)
+    top = sorted({(-r.c, r.h) for r in [*frequent, *first]})
+    hashes = np.array([h for _, h in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    table, ids = hashes[order], order.astype(np.int64)
-    flat = Network(dim, window, seed).flat()
+    table, ids = hashes[order], order.astype(np.int64) + BYTES
+    classes = max(CLASSES, math.ceil(math.sqrt(BYTES + len(ids))))
+    flat = Network(dim, window, seed, classes=classes).flat()
     for part in range(rounds):
-        local = text.mapInArrow(tidy(_local_training(table, ids, flat, dim, window, rate, part, rounds, seed)), "block int, n bigint, v binary")
+        local = text.mapInArrow(tidy(_local_training(table, ids, classes, flat, dim, window, rate, part, rounds, seed)), "block int, n bigint, v binary")
         mean = {r.block: np.frombuffer(r.v, np.float32) for r in local.groupBy("block").applyInArrow(_sum_blocks, "block int, v binary").collect()}
         if mean:
-            flat = np.concatenate([mean[k] for k in range(_BLOCKS)])
-    return Model(table, ids, Network(dim, window, seed, flat))
+            flat = np.concatenate([mean[k] for k in range(len(mean))])
+    return Model(table, ids, Network(dim, window, seed, flat, classes))
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

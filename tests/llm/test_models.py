@@ -209,3 +209,27 @@ def test_masked_lm_brute_force_and_cases(spark):
     n, total = model.score(pa.array([text, None]))
     assert n.tolist() == [6, 0] and total[0] == pytest.approx(want, rel=1e-5)
     assert masked_lm.pseudo_likelihood(docs_of(spark, [])).count() == 0
+
+
+def test_every_word_is_predicted_as_itself(spark):
+    rng = random.Random(11)
+    vocabulary = list({prose(rng, 1) + str(k) for k in range(3000)})
+    rows = [(i, " ".join(rng.choices(vocabulary, k=200)), "en", "s") for i in range(150)]
+    model = masked_lm.fit(docs_of(spark, rows), rounds=1)
+
+    def units(text):
+        return masked_lm._tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), model.table, model.ids)[0].tolist()
+
+    words = vocabulary + [w[::-1] for w in vocabulary] + ["日本", "日木", "élan", "elan", "x" * 5000, "x" * 5001, "never", "nevre"]
+    assert len({tuple(units(w)) for w in words}) == len(set(words))  # not two words alike, also none of the corpus
+    some = rng.sample(words, 60)
+    assert units(" ".join(some)) == [u for w in some for u in units(w)] and max(map(max, map(units, words))) < model.net.vocab
+    got = masked_lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), masked_lm.Network())
+    assert masked_lm._tokens(np.frombuffer(b"Ab c", np.uint8), np.array([0, 4]), got.table, got.ids)[0].tolist() == [97, 256 + 98, 99]
+
+
+def test_units_grow_with_the_corpus(spark):
+    rng = random.Random(12)
+    vocabulary = [f"{prose(rng, 1)}{k}" for k in range(1500)]
+    sizes = [len(masked_lm.fit(docs_of(spark, [(i, " ".join(vocabulary), "en", "s") for i in range(n)]), rounds=1).table) for n in (1, 100)]
+    assert 976 <= sizes[0] < 1500 <= sizes[1]
