@@ -9,9 +9,9 @@ that makes a unit is `SHARE` * sqrt(words of the corpus), so units, classes and
 corpus. A document's score is the sum of the log-probabilities of all its units, each given both its sides.
 
 Training is data-parallel: every partition of the whole corpus goes over its own documents from the
-same start, at each document's positions drawn by hash at `rate`, and the partitions' parameters are
-averaged, weighted by the positions they saw; `rounds` such rounds follow each other on successive
-parts of the positions. So what is gathered grows with the corpus: counts of its words and their parts,
+same start, and the partitions' parameters are averaged, weighted by the positions they saw; `rounds`
+such rounds follow each other on successive parts of the positions, drawn by hash. Together they take
+every position once; a `rate` below 1 leaves out the others. So what is gathered grows with the corpus: counts of its words and their parts,
 and a set of parameters from each partition, averaged in the cluster before the result comes back.
 
 Defined cases
@@ -37,7 +37,7 @@ from .common import discard, folded, mix, need, owners, pieces, staged, text_buf
 CLASSES = 32
 VOCAB = CLASSES * CLASSES  # at least; classes grow with the units
 BYTES, FIRST, PART, SHARE = 512, 976, 3, 0.2  # units of single bytes; words that are units at any count
-WINDOW, DIM, RATE, ROUNDS, STEP, BATCH, SEED = 3, 32, 0.125, 2, 0.15, 1024, 20_231
+WINDOW, DIM, RATE, ROUNDS, STEP, BATCH, SEED = 3, 32, 1.0, 2, 0.15, 1024, 20_231
 
 
 def _part_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -254,8 +254,8 @@ def _local_training(table, ids, classes, start, dim, window, rate, part, rounds,
                 if len(at):
                     ctx_left.append(net.contexts(tokens, wo, at, row[at]))
                     target_left.append(tokens[at])
-            if sum(map(len, target_left)) >= 1 << 17:
-                flush(False)
+                if sum(map(len, target_left)) >= 1 << 17:
+                    flush(False)
         flush(True)
         if seen:
             flat = net.flat().astype(np.float64) * seen

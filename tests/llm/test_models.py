@@ -233,3 +233,15 @@ def test_units_grow_with_the_corpus(spark):
     vocabulary = [f"{prose(rng, 1)}{k}" for k in range(1500)]
     sizes = [len(masked_lm.fit(docs_of(spark, [(i, " ".join(vocabulary), "en", "s") for i in range(n)]), rounds=1).table) for n in (1, 100)]
     assert 976 <= sizes[0] < 1500 <= sizes[1]
+
+
+def test_every_position_is_trained_on():
+    rng = random.Random(13)
+    texts = [prose(rng, n) for n in (1, 2, 3, 50, 2000)] + ["one two"] * 20 + ["", None]
+    batch, none = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), np.zeros(0, np.int64)
+    total = sum(len(t.replace(" ", "")) for t in texts if t)  # all are spelled
+    seen = []
+    for part in range(masked_lm.ROUNDS):
+        run = masked_lm._local_training(none.view(np.uint64), none, masked_lm.CLASSES, None, 4, 2, masked_lm.RATE, part, masked_lm.ROUNDS, masked_lm.SEED)
+        seen += [out.column("n")[0].as_py() for out in run(iter([batch]))]
+    assert len(seen) == masked_lm.ROUNDS and sum(seen) == total
