@@ -194,7 +194,7 @@ SELECT o_orderkey, CASE WHEN c IN (0, 1, 2, 4, 7) THEN 'arxiv' WHEN c = 5 THEN '
  CASE c WHEN 0 THEN '2401.' || lpad(k, 5, '1') WHEN 1 THEN 'hep-th/' || lpad(k, 7, '9') WHEN 2 THEN '2312.' || lpad(k, 5, '0') WHEN 4 THEN s WHEN 7 THEN 'bar/' || lpad(k, 7, '4') ELSE s END AS id,
  CASE c WHEN 0 THEN 3 WHEN 1 THEN 2 END AS version FROM i""")
 def arxiv_identify(spark, d):
-    rows = _dois(spark, d, _ARXIV_IN).where("o_orderkey < 100000").withColumn("x", ids.identify("s"))
+    rows = _dois(spark, d, _ARXIV_IN).withColumn("x", ids.identify("s"))
     return rows.select("o_orderkey", "x.kind", "x.id", "x.version")
 
 
