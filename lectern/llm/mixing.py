@@ -13,7 +13,8 @@ and documents aren't shuffled before they go to their shard. Only counts by sour
 
 Defined cases
 - weights: by source; a source without one gets 0 and isn't drawn; a negative, non-finite or all-zero
-  set is an error. Without weights, they are (documents of the source) ** alpha.
+  set is an error. Without weights, they are (documents of the source) ** alpha. WHOLE as weights takes
+  every source whole: the weights are its blocks, so nothing is lost whatever the sizes.
 - A null source is a source of its own, named None in weights. A null id or text is an ordinary row.
 - Rows that repeat id and text fall in one block and stay together, in any order.
 - A source that has rows has one block at least. Columns of other names are kept by mixed(), whatever
@@ -35,6 +36,8 @@ from .common import mix, need, row_hash
 ALPHA, BLOCK_DOCS, SHARD_BLOCKS, SEED = 0.7, 4, 1024, 20_231
 #: The draws take fewer than 10^9 blocks; blocks of larger corpora hold more documents.
 MOST_BLOCKS = 900_000_000
+#: Weights that take every document.
+WHOLE = "whole"
 
 
 def quotas(blocks: Mapping, weights: Mapping) -> dict:
@@ -97,7 +100,7 @@ def _placed(docs: DataFrame, weights, alpha, block_docs, shard_blocks, seed, id_
     names = sorted(sizes, key=lambda s: (s is not None, str(s)))
     block_docs = max(block_docs, math.ceil(sum(sizes.values()) / MOST_BLOCKS))
     blocks = {s: max(1, round(sizes[s] / block_docs)) for s in names}
-    quota = quotas(blocks, {s: sizes[s] ** alpha for s in names} if weights is None else weights)
+    quota = quotas(blocks, {s: sizes[s] ** alpha for s in names} if weights is None else blocks if isinstance(weights, str) and weights == WHOLE else weights)
     total = sum(quota.values())
     shards = max(1, math.ceil(total / shard_blocks))
     q, nb = tuple(quota[s] for s in names), np.array([blocks[s] for s in names] or [1], np.int64)

@@ -9,7 +9,7 @@ from .exact_dedup import EXACT_SQL, exact_duplicates
 from .kneser_ney import quality
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
 from .masked_lm import pseudo_likelihood
-from .mixing import mix_sources
+from .mixing import WHOLE, mix_sources
 from .toxicity import toxicity
 from .url_filter import url_filter, url_sql
 
@@ -22,7 +22,7 @@ def queries():
     return {
         "op1_line_dedup": lambda s, d: line_dedup(_read(s, d, "documents")),
         "op2_toxicity": lambda s, d: toxicity(_read(s, d, "documents"), _read(s, d, "labels")),
-        "op3_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents")),
+        "op3_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents"), WHOLE),
         "op4_exact_dedup": lambda s, d: exact_duplicates(_read(s, d, "documents")),
         "op5_bagminhash": lambda s, d: near_duplicates(_read(s, d, "documents")),
         "op6_embedding_pairs": lambda s, d: near_pairs(_read(s, d, "embeddings")),
