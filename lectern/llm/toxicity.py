@@ -7,7 +7,17 @@ computed by numpy on the text's bytes. The trees (logistic loss, histogram split
 most `max_labelled` labelled documents, those least by a hash of the id; a third of them, by the same
 hash, is held out of the trees and used for the isotonic calibration.
 
+There are two lexicons. One is built in and small. The other is learned from the labels, by language:
+words, and beginnings of words of PREFIX bytes, that are in at least LEAST_TOXIC toxic documents and
+RATIO times as frequent among them as among the others, each with its smoothed log-odds. It is
+cross-fitted: the features with which a document enters the fit come from a lexicon of the other folds
+only, so its own label doesn't feed them; new documents get the lexicon of all folds. A language with
+fewer than LEAST_DOCS labelled documents of either class has no learned lexicon; its documents, and
+those without a known language, are scored by trees on the built-in features alone.
+
 Defined cases
+- A document's language is that of its row; null is a language of its own; without a language column
+  all documents share one.
 - Labels: a row without id or label, or whose document doesn't exist, is ignored; an id labelled more
   than once is toxic if any of its labels says so. Without labels of both classes every score is the
   share of toxic labels (0 without any).
@@ -25,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, pieces, text_buffer, tidy, word_hash, words
+from .common import discard, folded, mix, need, owners, pieces, staged, text_buffer, tidy, word_hash, words
 
 MAX_LABELLED, THRESHOLD = 20_000, 0.5
 
@@ -35,6 +45,8 @@ LEXICON: dict[str, tuple[str, ...]] = {
     "contempt": ("trash", "scum", "worthless", "pathetic", "disgusting", "garbage", "filth", "filthy", "vermin", "useless", "repulsive", "despicable", "ugly", "hate", "shit", "crap", "bastard", "bitch", "fuck", "fucking", "asshole"),
     "other": ("idiote", "imbécile", "crétin", "connard", "connasse", "salaud", "salope", "débile", "ordure", "merde", "dummkopf", "arschloch", "trottel", "schwachkopf", "abschaum", "wichser", "hurensohn", "scheiße", "idiota", "imbécil", "estúpido", "estúpida", "basura", "escoria", "mierda", "cabrón", "pendejo", "gilipollas", "patético"),
 }
+#: The learned lexicon: folds of the cross-fit, bytes of a word's beginning, and what a word must have.
+FOLDS, PREFIX, LEAST_TOXIC, RATIO, LEAST_DOCS = 5, 5, 3, 5.0, 10
 SECOND_PERSON = ("you", "your", "yours", "yourself", "u", "ur", "youre", "du", "dich", "dir", "dein", "deine", "ihr", "euch", "tu", "te", "toi", "ton", "vous", "votre", "tú", "ti", "tus", "usted", "vosotros")
 NEAR = 5
 
@@ -42,6 +54,8 @@ FEATURES = (
     "insult", "contempt", "other", "hits", "near_you", "near_share", "second_person", "obfuscated", "obfuscated_hits",
     "capitals", "capital_words", "punctuation", "exclamation", "signs", "digits", "log_words",
 )
+#: Features of the learned lexicon, of words and then of their beginnings.
+LEARNED = tuple(f"{kind}_{x}" for kind in ("word", "begin") for x in ("density", "most", "hits", "near_you"))
 
 
 def _class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -79,6 +93,92 @@ def _tables(lexicon, second):
     return [hashed(ws) for ws in lexicon.values()], hashed(second)
 
 
+def _near(at: np.ndarray, you: np.ndarray, wo: np.ndarray, n: int) -> np.ndarray:
+    """Which of the n words are among `at` and at most NEAR words from one of `you` in their row."""
+    near = np.zeros(n, bool)
+    if len(at) and len(you):
+        row_of = lambda x: np.searchsorted(wo, x, side="right")
+        k = np.searchsorted(you, at)
+        for c in (np.minimum(k, len(you) - 1), np.maximum(k - 1, 0)):
+            near[at] |= (np.abs(you[c] - at) <= NEAR) & (row_of(you[c]) == row_of(at))
+    return near
+
+
+def _stems(h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the first PREFIX bytes of each word, of another stream than the words'."""
+    b = folded(data)
+    key = np.full(len(h), 1 << 60, np.int64)
+    for k in range(PREFIX):
+        at = start + k
+        key += np.where(at < end, b[np.minimum(at, len(b) - 1)].astype(np.int64) + 1, 0) << (9 * k)
+    return mix(key.astype(np.uint64))
+
+
+class Lexicon:
+    """Log-odds of words and of their beginnings by language, as sorted keys with their weights."""
+
+    def __init__(self, langs: np.ndarray, keys: list[np.ndarray], weights: list[np.ndarray]):
+        self.langs, self.keys, self.weights = langs, keys, weights
+
+    def known(self, lang: np.ndarray) -> np.ndarray:
+        return np.isin(lang, self.langs)
+
+    def weigh(self, kind: int, h: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """The log-odds of each item in its language; 0 if it isn't in the lexicon."""
+        keys = self.keys[kind]
+        if not len(keys) or not len(h):
+            return np.zeros(len(h))
+        k = _in_language(h, lang)
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where(keys[at] == k, self.weights[kind][at], 0.0)
+
+
+def _in_language(h: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    return mix(h ^ mix(lang.astype(np.int64).view(np.uint64)))
+
+
+def learn(lang: np.ndarray, kind: np.ndarray, h: np.ndarray, toxic: np.ndarray, docs: np.ndarray, totals: dict[int, tuple[int, int]]) -> Lexicon:
+    """The lexicon of items (lang, kind, h) in `toxic` of the toxic and `docs` of all documents; totals: (toxic, all) documents by language."""
+    langs = np.array(sorted(k for k, (t, n) in totals.items() if t >= LEAST_DOCS and n - t >= LEAST_DOCS), np.int64)
+    use = np.isin(lang, langs) & (toxic >= LEAST_TOXIC)
+    lang, kind, h, toxic, clean = lang[use], kind[use], h[use], toxic[use], (docs - toxic)[use]
+    t, n = (np.array([totals[int(k)][c] for k in langs], float)[np.searchsorted(langs, lang)] if len(lang) else np.zeros(0) for c in (0, 1))
+    odds = np.log((toxic + 0.5) / (t + 1)) - np.log((clean + 0.5) / (n - t + 1))
+    keys, weights = [], []
+    for k in (0, 1):
+        at = np.flatnonzero((kind == k) & (odds > np.log(RATIO)))
+        key = _in_language(h[at].view(np.uint64), lang[at])
+        order = np.argsort(key)
+        keys.append(key[order])
+        weights.append(odds[at][order])
+    return Lexicon(langs, keys, weights)
+
+
+def _learned(column, lang: np.ndarray, fold: np.ndarray, lexicons: list[Lexicon], second: np.ndarray) -> np.ndarray:
+    """The features LEARNED of each text, by the lexicon of its fold."""
+    data, offs = text_buffer(column)
+    out = np.zeros((len(offs) - 1, len(LEARNED)))
+    for i, j in pieces(offs):
+        d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+        h, start, end, wo = words(d, o)
+        if not len(h):
+            continue
+        row = owners(wo)
+        n = np.maximum(np.diff(wo), 1).astype(np.float64)
+        you = np.flatnonzero(_member(h, second))
+        for kind, items in enumerate((h, _stems(h, d, start, end))):
+            w = np.zeros(len(h))
+            for f in np.unique(fold[i:j]):
+                at = np.flatnonzero(fold[i:j][row] == f)
+                w[at] = lexicons[f].weigh(kind, items[at], lang[i:j][row[at]])
+            hit = np.flatnonzero(w)
+            most = np.zeros(j - i)
+            np.maximum.at(most, row[hit], w[hit])
+            near = _near(hit, you, wo, len(h))
+            out[i:j, 4 * kind : 4 * kind + 4] = np.stack([_by_row(w, wo) / n, most, np.log1p(_by_row(w > 0, wo)), _by_row(near * w, wo) / n], axis=1)
+    return out
+
+
 def _features(column, tables) -> np.ndarray:
     lists, second = tables
     data, offs = text_buffer(column)
@@ -94,13 +194,7 @@ def _features(column, tables) -> np.ndarray:
         hits = _by_row(hit, wo)
         you = np.flatnonzero(_member(h, second))
         at = np.flatnonzero(hit)
-        near = np.zeros(len(h), bool)
-        if len(at) and len(you):
-            row_of = lambda x: np.searchsorted(wo, x, side="right")
-            k = np.searchsorted(you, at)
-            for c in (np.minimum(k, len(you) - 1), np.maximum(k - 1, 0)):
-                near[at] |= (np.abs(you[c] - at) <= NEAR) & (row_of(you[c]) == row_of(at))
-        close = _by_row(near, wo)
+        close = _by_row(_near(at, you, wo, len(h)), wo)
         letters_up, letters = _by_row(_UPPER[d], o), _by_row(_UPPER[d] + _LOWER[d], o)
         caps = np.concatenate([[0], np.cumsum(_UPPER[d])])
         whole = (caps[end] - caps[start] == end - start) & (end - start > 1)
@@ -197,8 +291,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xs[k] for k, _ in ends]), np.array([v for _, v in ends])
 
 
-class Model:
-    """Fitted trees and calibration; plain numpy, small enough to send to every worker."""
+class Scorer:
+    """Trees and their calibration on some features."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, held: np.ndarray):
         self.prior = float(y.mean()) if len(y) else 0.0
@@ -211,38 +305,106 @@ class Model:
             self.knots = isotonic(self.trees.score(x[cal]), y[cal])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        p = np.full(len(x), self.prior) if self.trees is None else np.interp(self.trees.score(x), *self.knots)
+        return np.full(len(x), self.prior) if self.trees is None else np.interp(self.trees.score(x), *self.knots)
+
+
+class Model:
+    """The learned lexicon and two scorers, with and without it; plain numpy, small enough to send to every worker."""
+
+    def __init__(self, lexicon: Lexicon, tables, plain: Scorer, full: Scorer):
+        self.lexicon, self.tables, self.plain, self.full = lexicon, tables, plain, full
+
+    def predict(self, column, lang: np.ndarray) -> np.ndarray:
+        x = _features(column, self.tables)
+        p = self.plain.predict(x)
+        known = np.flatnonzero(self.lexicon.known(lang))
+        if len(known):
+            fold = np.zeros(len(known), np.int64)
+            more = _learned(column.take(pa.array(known)), lang[known], fold, [self.lexicon], self.tables[1])
+            p[known] = self.full.predict(np.concatenate([x[known], more], axis=1))
         return np.where(x[:, -1] < 0, 0.0, p)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, lexicon=None, second=SECOND_PERSON) -> Model:
-    """The model fitted on a bounded sample of the labelled documents; only its features reach the driver."""
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, fold, kind, h, toxic documents, documents) of the words and beginnings of words, counted once a document."""
+    for batch in batches:
+        data, offs = text_buffer(batch.column(3))
+        lang, fold, y = (batch.column(k).to_numpy() for k in (1, 0, 2))
+        for i, j in pieces(offs):
+            d, o = data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            h, start, end, wo = words(d, o)
+            row = owners(wo)
+            for kind, items in enumerate((h, _stems(h, d, start, end)) if len(h) else ()):
+                order = np.lexsort((items, row))
+                r, it = row[order] + i, items[order]
+                once = np.concatenate([[True], (r[1:] != r[:-1]) | (it[1:] != it[:-1])])
+                r, it = r[once], it[once].view(np.int64)
+                l, f = lang[r], fold[r]
+                order = np.lexsort((l, f, it))
+                l, f, it, t = l[order], f[order], it[order], y[r[order]].astype(np.int64)
+                new = np.flatnonzero(np.concatenate([[True], (l[1:] != l[:-1]) | (f[1:] != f[:-1]) | (it[1:] != it[:-1])]))
+                n = np.diff(np.append(new, len(it)))
+                yield pa.RecordBatch.from_arrays([pa.array(l[new]), pa.array(f[new]), pa.array([kind] * len(new), pa.int32()), pa.array(it[new]), pa.array(np.add.reduceat(t, new)), pa.array(n)], ["lang", "fold", "kind", "h", "t", "n"])
+
+
+def _lexicons(counts: DataFrame, totals: dict[tuple[int, int], tuple[int, int]]) -> list[Lexicon]:
+    """The lexicon without each fold, and last the one of all folds."""
+    per = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for c in "tn" for f in range(FOLDS)]
+    some = counts.groupBy("lang", "kind", "h").agg(F.sum("t").alias("t"), *per).where(F.col("t") >= LEAST_TOXIC).toArrow()
+    at = {c: some.column(c).to_numpy() for c in some.column_names}
+    out = []
+    for left in range(FOLDS + 1):
+        folds = [f for f in range(FOLDS) if f != left]
+        t, n = (sum(at[f"{c}{f}"] for f in folds) for c in "tn")
+        sums: dict[int, tuple[int, int]] = {}
+        for (lang, fold), (a, b) in totals.items():
+            if fold != left:
+                x = sums.get(lang, (0, 0))
+                sums[lang] = x[0] + a, x[1] + b
+        out.append(learn(at["lang"], at["kind"], at["h"], t, n, sums))
+    return out
+
+
+def _language(df: DataFrame, lang_col: str) -> F.Column:
+    return F.xxhash64(F.coalesce(F.col(lang_col).cast("string"), F.lit("\0"))) if lang_col in df.columns else F.lit(0).cast("long")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang", max_labelled: int = MAX_LABELLED, lexicon=None, second=SECOND_PERSON) -> Model:
+    """The model fitted on a bounded sample of the labelled documents; only counts of its words and its features reach the driver."""
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
     tables = _tables(lexicon or LEXICON, second)
     known = labels.select(F.col(id_col).alias("zi"), F.col(label_col).cast("int").alias("zy")).where("zi is not null and zy is not null")
     sample = known.groupBy("zi").agg(F.max("zy").alias("zy")).orderBy(F.xxhash64("zi"), "zi").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("zi"), F.col(text_col).alias("zt")).join(F.broadcast(sample), "zi")
+    texts = docs.select(F.col(id_col).alias("zi"), _language(docs, lang_col).alias("zl"), F.col(text_col).alias("zt")).join(F.broadcast(sample), "zi")
+    k = F.xxhash64("zi")
+    fold = F.pmod(F.shiftright(k, 7), F.lit(FOLDS)).cast("int")
+    texts = staged(texts.select(k.alias("k"), fold.alias("f"), "zl", F.when(F.col("zy") > 0, 1).otherwise(0).alias("zy"), "zt"), "labelled")
+    totals = {(r.zl, r.f): (r.t, r.n) for r in texts.groupBy("zl", "f").agg(F.sum("zy").alias("t"), F.count(F.lit(1)).alias("n")).collect()}
+    lexicons = _lexicons(texts.select("f", "zl", "zy", "zt").mapInArrow(tidy(_occurrences), "lang bigint, fold int, kind int, h bigint, t bigint, n bigint"), totals)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _features(batch.column(2), tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["k", "y", "x"])
+            f, lang = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            x = np.concatenate([_features(batch.column(4), tables), _learned(batch.column(4), lang, f, lexicons, tables[1])], axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lexicons[-1].known(lang)), batch.column(3), pa.array(list(x), pa.list_(pa.float64()))], ["k", "l", "y", "x"])
 
-    rows = texts.select(F.xxhash64("zi").alias("k"), "zy", "zt").mapInArrow(tidy(run), "k bigint, y int, x array<double>").toArrow().sort_by("k")
-    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-    return Model(x, rows.column("y").to_numpy().astype(float), rows.column("k").to_numpy() % 3 == 0)
+    rows = texts.mapInArrow(tidy(run), "k bigint, l boolean, y int, x array<double>").toArrow().sort_by("k")
+    discard(texts)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES) + len(LEARNED))
+    y, held = rows.column("y").to_numpy().astype(float), rows.column("k").to_numpy() % 3 == 0
+    with_lexicon = rows.column("l").to_numpy(zero_copy_only=False).astype(bool)
+    return Model(lexicons[-1], tables, Scorer(x[:, : len(FEATURES)], y, held), Scorer(x[with_lexicon], y[with_lexicon], held[with_lexicon]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, lexicon=None, second=SECOND_PERSON, **fit) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", threshold: float = THRESHOLD, lexicon=None, second=SECOND_PERSON, **fit) -> DataFrame:
     """(doc_id, toxicity, toxic) of every row; the cases are defined above."""
-    model = fit_toxicity(docs, labels, id_col, text_col, lexicon=lexicon, second=second, **fit)
-    tables = _tables(lexicon or LEXICON, second)
+    model = fit_toxicity(docs, labels, id_col, text_col, lang_col=lang_col, lexicon=lexicon, second=second, **fit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = model.predict(_features(batch.column(1), tables))
+            p = model.predict(batch.column(2), batch.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= threshold)], ["doc_id", "toxicity", "toxic"])
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _language(docs, lang_col).alias("lang"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, toxicity double, toxic boolean")

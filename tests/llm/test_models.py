@@ -10,7 +10,7 @@ import pytest
 
 from lectern.llm import kneser_ney, masked_lm, toxicity
 
-from .helpers import AWKWARD, docs_of, prose
+from .helpers import AWKWARD, docs_of, prose, words_of
 
 
 def labels_of(spark, rows):
@@ -62,6 +62,105 @@ def test_features_are_counts():
     assert y[0, name["obfuscated_hits"]] == pytest.approx(math.log(3))
 
 
+def invented_rows(n=900, seed=21):
+    """Documents of an invented language; insults are words of it that no list has."""
+    rng, rows, labels = random.Random(seed), [], []
+    for i in range(n):
+        w = prose(rng, rng.randint(20, 80)).split()
+        bad = i % 6 == 0
+        if bad:
+            for _ in range(rng.randint(1, 3)):
+                w.insert(rng.randrange(len(w)), rng.choice(["zorgu", "zorgulan", "vekkip", "ÜMLOK"]))
+        rows.append((i, " ".join(w), "xx" if i % 4 else None, "s"))
+        labels.append((i, 1, int(bad)))
+    return rows, labels
+
+
+def test_insults_of_an_unlisted_language_are_learned(spark):
+    rows, labels = invented_rows()
+    got = {r.doc_id: r for r in toxicity.toxicity(docs_of(spark, rows), labels_of(spark, labels[:600])).collect()}
+    held = [(got[i].toxic, bool(t)) for i, _, t in labels[600:]]
+    assert np.mean([a for a, b in held if b]) >= 0.9 and np.mean([not a for a, b in held if not b]) >= 0.98
+    plain = toxicity.toxicity(docs_of(spark, rows).drop("lang"), labels_of(spark, labels[:600])).collect()
+    assert len(plain) == len(rows) and np.mean([r.toxic == (r.doc_id % 6 == 0) for r in plain if r.doc_id >= 600]) >= 0.95
+
+
+def test_a_language_without_labels_falls_back_on_the_lists(spark):
+    rows, labels = toxic_rows(500)
+    other = [(1000 + i, t, "yy", "s") for i, t, *_ in rows[:200]]
+    got = {r.doc_id: r.toxic for r in toxicity.toxicity(docs_of(spark, rows + other), labels_of(spark, labels)).collect()}
+    assert np.mean([got[1000 + i] == bool(t) for i, _, t in labels[:200]]) > 0.95
+
+
+def test_learned_lexicon_against_dictionaries(spark):
+    rows, labels = invented_rows(300)
+    model = toxicity.fit_toxicity(docs_of(spark, rows), labels_of(spark, labels))
+    for lang, code in (("xx", None), (None, None)):
+        code = spark.sql(f"SELECT xxhash64('{lang}') AS h" if lang else "SELECT xxhash64('\\0') AS h").first().h
+        own = [(set(words_of(t)), labels[i][2]) for i, t, g, _ in rows if g == lang]
+        t, n = sum(y for _, y in own), len(own)
+        for kind, cut in ((0, lambda w: w.encode()), (1, lambda w: w.encode()[: toxicity.PREFIX])):
+            toxic, every = Counter(), Counter()
+            for ws, y in own:
+                items = {cut(w) for w in ws}
+                every.update(items)
+                toxic.update(items if y else ())
+            for w in sorted({w for ws, _ in own for w in ws}):
+                a, c = toxic[cut(w)], every[cut(w)] - toxic[cut(w)]
+                odds = math.log((a + 0.5) / (t + 1)) - math.log((c + 0.5) / (n - t + 1))
+                want = odds if a >= toxicity.LEAST_TOXIC and odds > math.log(toxicity.RATIO) else 0
+                d = np.frombuffer(w.encode(), np.uint8)
+                h, start, end, _ = toxicity.words(d, np.array([0, len(d)]))
+                item = h if kind == 0 else toxicity._stems(h, d, start, end)
+                assert model.lexicon.weigh(kind, item, np.array([code])).tolist() == pytest.approx([want]), (w, kind)
+    # the features of the lexicon, from the words one by one
+    text = "You ZORGU, be vekkip " + "an " * 9 + "ümlok"
+    code = spark.sql("SELECT xxhash64('xx') AS h").first().h
+    got = toxicity._learned(pa.array([text, None, ""]), np.full(3, code), np.zeros(3, np.int64), [model.lexicon], model.tables[1])
+    w = []
+    for x in words_of(text):
+        d = np.frombuffer(x.encode(), np.uint8)
+        w.append(model.lexicon.weigh(0, toxicity.words(d, np.array([0, len(d)]))[0], np.array([code]))[0])
+    assert sum(x > 0 for x in w) == 3
+    near = sum(x for k, x in enumerate(w) if 0 < abs(k) <= toxicity.NEAR)
+    assert got[0, :4].tolist() == pytest.approx([sum(w) / len(w), max(w), math.log1p(3), near / len(w)]) and not got[1:].any()
+
+
+def test_a_document_enters_the_fit_with_the_lexicon_of_the_other_folds(spark):
+    """Words that are in toxic documents of one fold only never count for that fold."""
+    lang, y = np.zeros(60, np.int64), np.array([1] * 30 + [0] * 30)
+    fold = np.array([0] * 15 + [1] * 15 + [0] * 15 + [1] * 15, np.int32)
+    texts = ["mark one"] * 15 + ["other two"] * 15 + ["none"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(fold), pa.array(lang), pa.array(y.astype(np.int32)), pa.array(texts)], ["f", "zl", "zy", "zt"])
+    counts = spark.createDataFrame(pa.Table.from_batches(toxicity._occurrences(iter([batch]))).to_pandas())
+    lexicons = toxicity._lexicons(counts, {(0, 0): (15, 30), (0, 1): (15, 30)})
+    h = toxicity.word_hash("mark")
+    weight = lambda k: lexicons[k].weigh(0, np.array([h], np.uint64), np.zeros(1, np.int64))[0]
+    assert weight(0) == 0 and weight(1) > 0 and weight(toxicity.FOLDS) > 0
+
+
+def test_a_boosting_round_against_all_splits():
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((400, 3)), 2)
+    y = ((x[:, 1] > 0.6) ^ (rng.random(400) < 0.1)).astype(float)
+    t = toxicity.Trees(rounds=1, depth=1, rate=1.0).fit(x, y)
+    p, best = y.mean(), (-1.0, None, None)
+    g, h = p - y, np.full(400, p * (1 - p))
+    for k in range(3):
+        for c in t.cuts[k]:
+            left = x[:, k] <= c
+            if min(left.sum(), (~left).sum()) < t.least:
+                continue
+            gain = sum(g[m].sum() ** 2 / (h[m].sum() + t.ridge) for m in (left, ~left)) - g.sum() ** 2 / (h.sum() + t.ridge)
+            if gain > best[0] + 1e-9:
+                best = gain, k, c
+    feature, cut, value = t.trees[0]
+    assert (feature[0], cut[0]) == best[1:]
+    left = x[:, best[1]] <= best[2]
+    want = np.where(left, *(-g[m].sum() / (h[m].sum() + t.ridge) for m in (left, ~left)))
+    assert np.allclose(t.score(x) - t.start, want)
+
+
 def test_isotonic():
     rng = np.random.default_rng(0)
     s = rng.normal(size=500).round(1)
