@@ -1,25 +1,28 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network trained in numpy.
 
 The network predicts a word from `window` words on either side: a hidden layer of the context words'
-embeddings, scaled by position, then a two-level softmax (class of the unit, unit in its class). Units
-are words, parts of words and bytes. A word that is frequent by its counts over all documents is one
+embeddings, scaled by position, then a two-level softmax (class of the unit, unit in its class), with
+(1 + y / 256)^256 for exp(y), which costs numpy eight products. Units are words, parts of words and bytes. A word that is frequent by its counts over all documents is one
 unit; every other word is spelled, case-folded, without loss: in parts of `PART` bytes that are units if
 frequent, and else by their bytes; a part or byte that begins a word differs from one inside. The count
-that makes a unit is `SHARE` * sqrt(words of the corpus), so units, classes and parameters grow with the
+that makes a unit is `SHARE` * (words of the corpus)^(2/3), so units, classes and parameters grow with the
 corpus. A document's score is the sum of the log-probabilities of all its units, each given both its sides.
 
-Training is data-parallel: every partition of the whole corpus goes over its own documents from the
-same start, and the partitions' parameters are averaged, weighted by the positions they saw; `rounds`
-such rounds follow each other on successive parts of the positions, drawn by hash. Together they take
-every position once; a `rate` below 1 leaves out the others. So what is gathered grows with the corpus: counts of its words and their parts,
-and a set of parameters from each partition, averaged in the cluster before the result comes back.
+Training is data-parallel. Every document is turned into its units once, in a staged table, and belongs
+to one of `parts` parts, by a hash of its id and text; the number of parts is that of the corpus's units,
+in millions, to the power 2/3. The parts start alike, each goes over its documents in the order of their
+hashes by Adagrad steps, and their parameters are averaged, weighted by the positions they saw. This is
+done in `rounds` rounds, each on its own share of the documents, so every position is trained on once.
+Neither parts nor order depend on how the table is partitioned, so the scores don't either. What is
+gathered grows with the corpus: counts of its words and their parts, and a set of parameters from each
+part, averaged in the cluster before the result comes back.
 
 Defined cases
 - A document without words (null, empty, only signs) has n_words 0, log_likelihood 0 and a null mean.
 - Positions outside the document count as one boundary word.
-- Every row gets a row, also repeated ones and such without id; extra columns are ignored; an empty
-  table gives an empty result (and a network left at its start).
-- Training is deterministic for the same partitions; partitions of other extent give other scores.
+- Rows that repeat id and text are one document in training, however many there are. Every row gets a
+  row of the result, also repeated ones and such without id; extra columns are ignored; an empty table
+  gives an empty result (and a network left at its start).
 """
 
 from __future__ import annotations
@@ -32,12 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, folded, mix, need, owners, pieces, staged, text_buffer, tidy, words
+from .common import discard, folded, mix, need, pieces, row_hash, staged, text_buffer, tidy, words
 
 CLASSES = 32
 VOCAB = CLASSES * CLASSES  # at least; classes grow with the units
-BYTES, FIRST, PART, SHARE = 512, 976, 3, 0.2  # units of single bytes; words that are units at any count
-WINDOW, DIM, RATE, ROUNDS, STEP, BATCH, SEED = 3, 32, 1.0, 2, 0.15, 1024, 20_231
+BYTES, FIRST, PART, SHARE = 512, 976, 3, 0.002  # units of single bytes; words that are units at any count
+WINDOW, DIM, ROUNDS, STEP, SEED = 3, 24, 2, 0.4, 20_231
+#: Positions in a training step, at first and at last; positions that are shuffled together, in segments.
+BATCH, LARGE, SHUFFLED, SEGMENT = 512, 8192, 1 << 18, 64
+#: Units of one part of a corpus of a million units.
+PART_UNITS = 1_000_000
 
 
 def _part_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -90,13 +97,8 @@ def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarra
     return out, at[wo], np.diff(wo)
 
 
-def _tokens(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(units, unit offsets by row)."""
-    return _units(data, offs, table, ids)[:2]
-
-
 class Network:
-    """Parameters and their gradients; float32 throughout."""
+    """Parameters, their running squares, and the steps on them; float32 throughout."""
 
     def __init__(self, dim: int = DIM, window: int = WINDOW, seed: int = SEED, start: np.ndarray | None = None, classes: int = CLASSES):
         self.dim, self.window, self.seed, self.classes, self.vocab = dim, window, seed, classes, classes * classes
@@ -105,91 +107,128 @@ class Network:
         scales = [0.3, 0.0, 0.0, 0.1, 0.0, 0.1, 0.0]
         self.p = [rng.normal(0, s, x).astype(np.float32) if s else np.zeros(x, np.float32) for x, s in zip(shapes, scales, strict=True)]
         self.p[1] += 0.5
+        # embeddings and output vectors have one running square each, the others one for every entry
+        self.squares = [np.full(x, 1e-3, np.float32) for x in [(self.vocab + 1, 1), (2 * window, dim), (dim,), (1, classes), (classes,), (classes, 1, classes), (classes, classes)]]
         if start is not None:
             self.load(start)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p])
+        return np.concatenate([x.ravel() for x in (*self.p, *self.squares)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for k, x in enumerate(self.p):
-            self.p[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-            at += x.size
-
-    def contexts(self, tokens: np.ndarray, offs: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Context words [positions, 2 * window] of the positions `at` of rows `row`."""
-        out = np.empty((len(at), 2 * self.window), np.int64)
-        lo, hi = offs[:-1][row], offs[1:][row]
-        for k, step in enumerate([*range(-self.window, 0), *range(1, self.window + 1)]):
-            j = at + step
-            out[:, k] = np.where((j >= lo) & (j < hi), tokens[np.clip(j, 0, len(tokens) - 1)], self.vocab)
-        return out
-
-    def _hidden(self, ctx: np.ndarray) -> np.ndarray:
-        e, pos, b = self.p[0], self.p[1], self.p[2]
-        z = np.broadcast_to(b, (len(ctx), self.dim)).copy()
-        for k in range(ctx.shape[1]):
-            z += e[ctx[:, k]] * pos[k]
-        return np.tanh(z)
+        for held in (self.p, self.squares):
+            for k, x in enumerate(held):
+                held[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
+
+    def _around(self) -> list[int]:
+        """Where the words of a context begin in a row that has `window` words more on either side."""
+        return [k for k in range(2 * self.window + 1) if k != self.window]
+
+    def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(embeddings, sums, hidden layer) for all positions of rows [n, size + 2 * window] but the outer ones."""
+        x = np.take(self.p[0], rows, axis=0)
+        size = rows.shape[1] - 2 * self.window
+        z = np.empty((len(rows), size, self.dim), np.float32)
+        z[:] = self.p[2]
+        for j, k in enumerate(self._around()):
+            z += x[:, k : k + size] * self.p[1][j]
+        return x, z, z / (1 + np.abs(z))
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-
-    def log_p(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Log-probabilities of the targets in their contexts."""
-        _, _, _, wc, bc, ww, bw = self.p
-        h = self._hidden(ctx)
-        c, w = target // self.classes, target % self.classes
-        z = h @ wc + bc
-        out = z[np.arange(len(c)), c] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            sel = order[cut[k] : cut[k + 1]]
-            y = h[sel] @ ww[k] + bw[k]
-            out[sel] += y[np.arange(len(sel)), w[sel]] - np.log(np.exp(y).sum(axis=1))
-        return out
-
-    def train(self, ctx: np.ndarray, target: np.ndarray, squares: list[np.ndarray], step: float = STEP) -> None:
-        """One Adagrad step on a batch; `squares` holds the running squares of the gradients."""
-        e, pos, b, wc, bc, ww, bw = self.p
-        n = len(ctx)
-        h = self._hidden(ctx)
-        c, w = target // self.classes, target % self.classes
-        pc = np.exp(self._log_softmax(h @ wc + bc))
-        pc[np.arange(n), c] -= 1
-        pc /= n
-        dh = pc @ wc.T
-        dense = {3: h.T @ pc, 4: pc.sum(axis=0)}
-
-        def descend(k: int, at, g: np.ndarray) -> None:
-            """The step of parameters p[k][at]; those without a gradient stay as they are."""
-            squares[k][at] += g * g
-            self.p[k][at] -= (step * g / (np.sqrt(squares[k][at]) + 1e-5)).astype(np.float32)
-
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(cut)):
-            sel = order[cut[k] : cut[k + 1]]
-            hs = h[sel]
-            y = np.exp(self._log_softmax(hs @ ww[k] + bw[k]))
-            y[np.arange(len(sel)), w[sel]] -= 1
-            y /= n
-            dh[sel] += y @ ww[k].T
-            descend(5, k, hs.T @ y)
-            descend(6, k, y.sum(axis=0))
-        dz = dh * (1 - h * h)
-        dense |= {1: np.stack([(e[ctx[:, k]] * dz).sum(axis=0) for k in range(ctx.shape[1])]), 2: dz.sum(axis=0)}
-        ids = ctx.T.ravel()
-        by = np.argsort(ids, kind="stable")
-        u, first = np.unique(ids[by], return_index=True)
-        ge = np.add.reduceat((dz[None] * pos[:, None]).reshape(-1, self.dim)[by], first, axis=0)
-        descend(0, u, ge)
-        for k, g in dense.items():
-            descend(k, slice(None), g)
+    def _weights(y: np.ndarray) -> np.ndarray:
+        """From 1 + y / 256 the softmax's numerators (1 + y / 256)^256, in place; their sums by row."""
+        np.maximum(y, 0, out=y)
+        for _ in range(8):
+            np.multiply(y, y, out=y)
+        return y @ np.ones(y.shape[1], np.float32)
+
+    def _outputs(self, h: np.ndarray, c: np.ndarray, cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numerators of the classes, sums, numerators in the class, sums) for hidden rows sorted by class."""
+        wc, bc, ww, bw = self.p[3:]
+        y = h @ (wc / 256)
+        y += 1 + bc / 256
+        u = np.take(1 + bw / 256, c, axis=0)
+        for k, i, j in cuts:
+            u[i:j] += h[i:j] @ (ww[k] / 256)
+        return y, self._weights(y), u, self._weights(u)
+
+    def _by_class(self, target: np.ndarray):
+        """(order of the targets by class, classes in that order, places in their class, (class, from, to) of each class that occurs)."""
+        c, w = np.divmod(target, self.classes)
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        c, w = c[order], w[order]
+        cut = np.searchsorted(c, np.arange(self.classes + 1))
+        return order, c, w, [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+
+    def log_p(self, rows: np.ndarray) -> np.ndarray:
+        """Log-probabilities of all positions of rows but the outer ones; 0 where the boundary word stands."""
+        target = rows[:, self.window : rows.shape[1] - self.window].ravel()
+        out = np.zeros(len(target))
+        real = np.flatnonzero(target < self.vocab)
+        order, c, w, cuts = self._by_class(target[real])
+        h = self.hidden(rows)[2].reshape(-1, self.dim)[real[order]]
+        y, ys, u, us = self._outputs(h, c, cuts)
+        n = np.arange(len(c))
+        log = lambda x: np.log(np.maximum(x, 1e-37).astype(np.float64))
+        out[real[order]] = log(y[n, c]) - log(ys) + log(u[n, w]) - log(us)
+        return out.reshape(len(rows), -1)
+
+    def train(self, rows: np.ndarray, step: float | None = None) -> int:
+        """One Adagrad step on all positions of rows but the outer ones; the number of them that hold a unit."""
+        pos, wc, ww = self.p[1], self.p[3], self.p[5]
+        x, z, hidden = self.hidden(rows)
+        size = z.shape[1]
+        target = rows[:, self.window : self.window + size].ravel()
+        real = np.flatnonzero(target < self.vocab)
+        if not len(real):
+            return 0
+        order, c, w, cuts = self._by_class(target[real])
+        at = real[order]
+        h = hidden.reshape(-1, self.dim)[at]
+        scale = np.float32(1 / math.sqrt(len(at)))
+        n = np.arange(len(at))
+        y, ys, u, us = self._outputs(h, c, cuts)
+        for numerators, total, place in ((y, ys, c), (u, us, w)):
+            numerators *= (scale / total)[:, None]
+            numerators[n, place] -= scale
+        dh = y @ wc.T
+        used = np.array([k for k, _, _ in cuts])
+        inner = np.empty((len(used), self.dim, self.classes), np.float32)
+        for place, (k, i, j) in enumerate(cuts):
+            np.matmul(h[i:j].T, u[i:j], out=inner[place])
+            dh[i:j] += u[i:j] @ ww[k].T
+        dz = np.zeros((len(rows) * size, self.dim), np.float32)
+        dz[at] = dh
+        dz = dz.reshape(z.shape)
+        dz /= (1 + np.abs(z)) ** 2
+        g = np.zeros_like(x)
+        dpos = np.empty_like(pos)
+        for j, k in enumerate(self._around()):
+            g[:, k : k + size] += dz * pos[j]
+            dpos[j] = np.einsum("nsd,nsd->d", dz, x[:, k : k + size])
+        ids = rows.ravel()
+        by = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
+        ids = ids[by]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        step = STEP if step is None else step
+        self._descend(0, ids[first], np.add.reduceat(g.reshape(-1, self.dim)[by], first, axis=0), step)
+        self._descend(1, slice(None), dpos, step)
+        self._descend(2, slice(None), dz.sum(axis=(0, 1)), step)
+        self._descend(3, slice(None), h.T @ y, step)
+        self._descend(4, slice(None), y.sum(axis=0), step)
+        self._descend(5, used, inner, step)
+        self._descend(6, used, np.add.reduceat(u, [i for _, i, _ in cuts], axis=0), step)
+        return len(at)
+
+    def _descend(self, k: int, where, grad: np.ndarray, step: float) -> None:
+        """The step of parameters p[k][where]; those without a gradient stay as they are."""
+        axis = {0: 1, 3: 0, 5: 1}.get(k)  # embeddings and output vectors share a running square
+        square = grad * grad if axis is None else np.einsum({0: "vd,vd->v", 3: "dc,dc->c", 5: "kdc,kdc->kc"}[k], grad, grad)[{0: np.s_[:, None], 3: np.s_[None], 5: np.s_[:, None]}[k]] / self.dim
+        held = self.squares[k][where] + square
+        self.squares[k][where] = held
+        self.p[k][where] -= grad * (np.float32(step) / (np.sqrt(held) + np.float32(1e-5)))
 
 
 def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -217,111 +256,217 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([bool(part)] * len(h)), pa.array(h.view(np.int64)), pa.array(c)], ["part", "h", "c"])
 
 
+def _sequences(table, ids, vocab: int):
+    """Rows (doc_id, key, once, n_words, n_units, units): the units of every text; once is true for the first of equal keys in a partition."""
+
+    kind = np.uint16 if vocab < 1 << 16 else np.int32
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, offs = text_buffer(batch.column(2))
+            for i, j in pieces(offs):
+                units, uo, n = _units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], table, ids)
+                keys = batch.column(1).slice(i, j - i)
+                once = []
+                for k in keys.to_pylist():
+                    once.append(k not in seen)
+                    seen.add(k)
+                flat, size = units.astype(kind).tobytes(), np.dtype(kind).itemsize
+                packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((uo * size).astype(np.int64).tobytes()), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), keys, pa.array(once), pa.array(n), pa.array(np.diff(uo)), packed.cast(pa.binary())], ["doc_id", "key", "once", "n_words", "n_units", "units"])
+
+    return run
+
+
+def _bounded(packed: list[bytes], vocab: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(units, where each document begins): documents one after another, with `window` boundary words before, between and after them."""
+    kind = np.uint16 if vocab < 1 << 16 else np.int32
+    each = [np.frombuffer(b, kind) for b in packed]
+    begin = np.cumsum([window] + [len(x) + window for x in each])
+    out = np.full(begin[-1], vocab, np.int64)
+    for x, at in zip(each, begin, strict=False):
+        out[at : at + len(x)] = x
+    return out, begin
+
+
+def _segments(units: np.ndarray, vocab: int, window: int) -> np.ndarray:
+    """Rows of SEGMENT positions with `window` more on either side, which together hold each position once."""
+    n = len(units) - 2 * window
+    rows = -(-n // SEGMENT)
+    padded = np.concatenate([units, np.full(rows * SEGMENT - n, vocab, np.int64)])
+    return padded[np.arange(rows)[:, None] * SEGMENT + np.arange(SEGMENT + 2 * window)]
+
+
+class Training:
+    """The steps of one part over its documents, in the order in which they come."""
+
+    def __init__(self, net: Network):
+        self.net, self.seen, self.waiting, self.size = net, 0, [], 0
+
+    def add(self, packed: bytes) -> None:
+        self.waiting.append(packed)
+        self.size += len(packed)
+        if self.size >= 2 * SHUFFLED:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.waiting:
+            return
+        net = self.net
+        units, _ = _bounded(self.waiting, net.vocab, net.window)
+        rows = _segments(units, net.vocab, net.window)
+        rows = rows[np.random.default_rng([net.seed, self.seen]).permutation(len(rows))]
+        at = 0
+        while at < len(rows):
+            n = min(max(self.seen // 16, BATCH), LARGE) // SEGMENT
+            self.seen += net.train(rows[at : at + n])
+            at += n
+        self.waiting, self.size = [], 0
+
+
 _BLOCK = 4096  # parameters that are averaged together
 
 
-def _local_training(table, ids, classes, start, dim, window, rate, part, rounds, seed):
-    """Each partition trains from `start` on its part of the drawn positions and yields weighted parameters."""
+def _local_training(start, classes: int, dim: int, window: int, seed: int):
+    """Rows (part, key, units), sorted by part and key: each part trains from `start` and yields its parameters and weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(dim, window, seed, start, classes)
-        squares = [np.full(x.shape, 1e-6, np.float32) for x in net.p]
-        seen, ctx_left, target_left = 0, [], []
-
-        def flush(every: bool):
-            nonlocal ctx_left, target_left, seen
-            if not ctx_left:
-                return
-            ctx, target = np.concatenate(ctx_left), np.concatenate(target_left)
-            perm = np.random.default_rng([seed, seen]).permutation(len(ctx))
-            ctx, target = ctx[perm], target[perm]
-            n = len(ctx) if every else len(ctx) // BATCH * BATCH
-            for k in range(0, n, BATCH):
-                net.train(ctx[k : k + BATCH], target[k : k + BATCH], squares)
-            seen += n
-            ctx_left, target_left = [ctx[n:]], [target[n:]]
+        part, key, training = None, None, None
+
+        def done() -> pa.RecordBatch:
+            training.flush()
+            flat = training.net.flat()
+            values = [flat[k : k + _BLOCK].tobytes() for k in range(0, len(flat), _BLOCK)]
+            n = len(values)
+            return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([float(training.seen)] * n), pa.array(values, pa.binary())], ["part", "block", "n", "v"])
 
         for batch in batches:
-            data, offs = text_buffer(batch.column(0))
-            for i, j in pieces(offs):
-                tokens, wo = _tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], table, ids)
-                row = owners(wo)
-                place = np.arange(len(tokens)) - wo[:-1][row]
-                first = np.concatenate([tokens, [0]])[wo[:-1]] + np.diff(wo) * 8191  # a document's own stream of draws
-                u = mix((place + (first[row] << 24) + seed).astype(np.uint64)) >> np.uint64(11)
-                x = u.astype(np.float64) * 2.0**-53
-                at = np.flatnonzero((x >= rate * part / rounds) & (x < rate * (part + 1) / rounds))
-                if len(at):
-                    ctx_left.append(net.contexts(tokens, wo, at, row[at]))
-                    target_left.append(tokens[at])
-                if sum(map(len, target_left)) >= 1 << 17:
-                    flush(False)
-        flush(True)
-        if seen:
-            flat = net.flat().astype(np.float64) * seen
-            values = [flat[k : k + _BLOCK].astype(np.float32) for k in range(0, len(flat), _BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int32()), pa.array([seen] * len(values), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["block", "n", "v"])
+            for p, k, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    if training is not None:
+                        yield done()
+                    part, key, training = p, None, Training(Network(dim, window, seed, start.value, classes))
+                if k != key:  # equal keys are one document
+                    training.add(packed)
+                key = k
+        if training is not None:
+            yield done()
 
     return run
 
 
-def _sum_blocks(batches: Iterator[pa.Table]) -> pa.Table:
-    total, n = 0.0, 0
-    for row in batches.to_pylist():
-        total, n = total + np.frombuffer(row["v"], np.float32).astype(np.float64), n + row["n"]
-    return pa.Table.from_arrays([batches.column("block")[:1], pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["block", "v"])
+def _averages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted average of each group's blocks; rows (group, block, part, n, v) sorted by group and block."""
+
+    def row(g, block, n, total):
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([block], pa.int32()), pa.array([n]), pa.array([(total / max(n, 1e-9)).astype(np.float32).tobytes()], pa.binary())], ["part", "block", "n", "v"])
+
+    at, n, total = None, 0.0, None
+    for batch in batches:
+        for g, block, _, m, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (g, block) != at:
+                if at is not None:
+                    yield row(*at, n, total)
+                at, n, total = (g, block), 0.0, 0.0
+            n, total = n + m, total + m * np.frombuffer(v, np.float32).astype(np.float64)
+    if at is not None:
+        yield row(*at, n, total)
+
+
+_STATE = "part bigint, block int, n double, v binary"
+#: So many parts' parameters are averaged in one task before the averages are.
+FAN_IN = 256
+
+
+def _mean(local: DataFrame, parts: int) -> dict[int, np.ndarray]:
+    """The average parameters by block, summed in a tree of FAN_IN; only the last average reaches the driver."""
+    while True:
+        grouped = local.select(F.floor(F.col("part") / FAN_IN).alias("g"), "block", "part", "n", "v")
+        local = grouped.repartition("g", "block").sortWithinPartitions("g", "block", "part").mapInArrow(tidy(_averages), _STATE)
+        parts = -(-parts // FAN_IN)
+        if parts == 1:
+            found = local.select("block", "v").toArrow()
+            return {b: np.frombuffer(v, np.float32) for b, v in zip(*(c.to_pylist() for c in found.columns), strict=True)}
 
 
 class Model:
     def __init__(self, table: np.ndarray, ids: np.ndarray, net: Network):
         self.table, self.ids, self.net = table, ids, net
 
+    def totals(self, packed: list[bytes]) -> np.ndarray:
+        """The summed log-probabilities of documents given by their packed units."""
+        w = self.net.window
+        units, begin = _bounded(packed, self.net.vocab, w)
+        lp = np.zeros(len(units))
+        for a in range(w, len(units) - w, 1 << 14):
+            b = min(a + (1 << 14), len(units) - w)
+            lp[a:b] = self.net.log_p(units[None, a - w : b + w])[0]
+        c = np.concatenate([[0.0], np.cumsum(lp)])
+        return c[begin[1:]] - c[begin[:-1]]
+
     def score(self, column) -> tuple[np.ndarray, np.ndarray]:
         """(words, summed log-probabilities) of each text."""
-        data, offs = text_buffer(column)
-        n, total = np.zeros(len(offs) - 1, np.int64), np.zeros(len(offs) - 1)
-        for i, j in pieces(offs):
-            tokens, wo, n[i:j] = _units(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], self.table, self.ids)
-            row, lp = owners(wo), np.zeros(len(tokens))
-            for k in range(0, len(tokens), 1 << 15):
-                at = np.arange(k, min(k + (1 << 15), len(tokens)))
-                lp[at] = self.net.log_p(self.net.contexts(tokens, wo, at, row[at]), tokens[at])
-            total[i:j] = np.bincount(row, weights=lp, minlength=j - i)
-        return n, total
-
-
-def fit(docs: DataFrame, text_col: str = "text", window: int = WINDOW, dim: int = DIM, rate: float = RATE, rounds: int = ROUNDS, seed: int = SEED) -> Model:
-    """Count the words and parts of all documents and train the network over all partitions of them."""
-    need(docs, text_col)
+        batch = pa.RecordBatch.from_arrays([pa.array([None] * len(column), pa.int64()), pa.array([0] * len(column), pa.int64()), column], ["doc_id", "key", "t"])
+        found = pa.Table.from_batches(_sequences(self.table, self.ids, self.net.vocab)(iter([batch])))
+        return found.column("n_words").to_numpy(), self.totals(found.column("units").to_pylist())
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray, int]:
+    """(sorted hashes, their units, classes) from the counts of the words and parts of all documents."""
     text = docs.select(F.col(text_col).alias("t"))
     counts = staged(text.mapInArrow(tidy(_unit_counts), "part boolean, h bigint, c bigint").groupBy("part", "h").agg(F.sum("c").alias("c")), "unit-counts")
     found = counts.where("not part").agg(F.sum("c")).first()[0] or 0
-    frequent = counts.where(F.col("c") >= max(2, SHARE * math.sqrt(found))).select("h", "c").collect()
-    first = counts.where("not part").orderBy(F.desc("c"), "h").limit(FIRST).select("h", "c").collect()
+    frequent = counts.where(F.col("c") >= max(2, SHARE * found ** (2 / 3))).select("h", "c").toArrow().to_pylist()
+    first = counts.where("not part").orderBy(F.desc("c"), "h").limit(FIRST).select("h", "c").toArrow().to_pylist()
     discard(counts)
-    top = sorted({(-r.c, r.h) for r in [*frequent, *first]})
+    top = sorted({(-r["c"], r["h"]) for r in [*frequent, *first]})
     hashes = np.array([h for _, h in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    table, ids = hashes[order], order.astype(np.int64) + BYTES
-    classes = max(CLASSES, math.ceil(math.sqrt(BYTES + len(ids))))
+    return hashes[order], order.astype(np.int64) + BYTES, max(CLASSES, math.ceil(math.sqrt(BYTES + len(order))))
+
+
+def _fitted(docs: DataFrame, id_col: str | None, text_col: str, window: int, dim: int, rounds: int, seed: int) -> tuple[Model, DataFrame]:
+    spark = docs.sparkSession
+    table, ids, classes = vocabulary(docs, text_col)
+    who = F.lit(0) if id_col is None else F.col(id_col)
+    rows = docs.select(who.alias("doc_id"), F.xxhash64(who, row_hash(text_col)).alias("key"), F.col(text_col).alias("t"))
+    kind = dict(rows.dtypes)["doc_id"]
+    sequences = staged(rows.mapInArrow(tidy(_sequences(table, ids, classes * classes)), f"doc_id {kind}, key bigint, once boolean, n_words bigint, n_units bigint, units binary"), "sequences")
+    known = sequences.where("once and n_units > 0")
+    total = known.agg(F.sum("n_units")).first()[0] or 0
+    parts = max(1, math.ceil((total / PART_UNITS) ** (2 / 3)))
     flat = Network(dim, window, seed, classes=classes).flat()
-    for part in range(rounds):
-        local = text.mapInArrow(tidy(_local_training(table, ids, classes, flat, dim, window, rate, part, rounds, seed)), "block int, n bigint, v binary")
-        mean = {r.block: np.frombuffer(r.v, np.float32) for r in local.groupBy("block").applyInArrow(_sum_blocks, "block int, v binary").collect()}
+    for turn in range(rounds):
+        share = known.where(F.pmod(F.xxhash64("key"), F.lit(rounds)) == turn)
+        own = share.select(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(parts)).alias("part"), "key", "units")
+        start = spark.sparkContext.broadcast(flat)
+        local = own.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "key").mapInArrow(tidy(_local_training(start, classes, dim, window, seed)), _STATE)
+        mean = _mean(local, parts)
+        start.unpersist()
         if mean:
             flat = np.concatenate([mean[k] for k in range(len(mean))])
-    return Model(table, ids, Network(dim, window, seed, flat, classes))
+    return Model(table, ids, Network(dim, window, seed, flat, classes)), sequences
+
+
+def fit(docs: DataFrame, text_col: str = "text", window: int = WINDOW, dim: int = DIM, rounds: int = ROUNDS, seed: int = SEED, id_col: str | None = None) -> Model:
+    """Count the words and parts of all documents and train the network on all positions of them."""
+    need(docs, text_col)
+    model, sequences = _fitted(docs, id_col, text_col, window, dim, rounds, seed)
+    discard(sequences)
+    return model
 
 
-def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, dim: int = DIM, rounds: int = ROUNDS, seed: int = SEED) -> DataFrame:
     """(doc_id, n_words, log_likelihood, mean_log_likelihood) of every row; the cases are defined above."""
     need(docs, id_col, text_col)
-    model = fit(docs, text_col, **options)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+    model, sequences = _fitted(docs, id_col, text_col, window, dim, rounds, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, total = model.score(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
+            n, total = batch.column(1).to_numpy(), shared.value.totals(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0)], ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"])
 
-    return rows.mapInArrow(tidy(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_words bigint, log_likelihood double, mean_log_likelihood double")
+    kind = dict(sequences.dtypes)["doc_id"]
+    return sequences.select("doc_id", "n_words", "units").mapInArrow(tidy(run), f"doc_id {kind}, n_words bigint, log_likelihood double, mean_log_likelihood double")

@@ -252,25 +252,89 @@ def test_model_table_finds_every_key():
 
 
 def test_gradients():
-    net = masked_lm.Network(dim=4, window=2)
-    rng = np.random.default_rng(3)
-    ctx, target = rng.integers(0, masked_lm.VOCAB + 1, (64, 4)), rng.integers(0, masked_lm.VOCAB, 64)
-    before, start = net.log_p(ctx, target).mean(), net.flat().astype(np.float64)
-    squares = [np.full(x.shape, 1e12, np.float32) for x in net.p]  # so the step is the gradient, scaled
-    net.train(ctx, target, squares, step=1e6)
-    grad = start - net.flat()
-    for k in np.argsort(-np.abs(grad))[:5]:
-        e = np.zeros_like(start)
-        e[k] = 1e-2
-        up, down = (masked_lm.Network(dim=4, window=2, start=start + s * e).log_p(ctx, target).mean() for s in (1, -1))
-        assert -(up - down) / 2e-2 == pytest.approx(grad[k], rel=0.05, abs=1e-4)
-    assert np.isfinite(before)
+    net, rng = masked_lm.Network(dim=4, window=2, classes=5), np.random.default_rng(3)
+    rows = rng.integers(0, net.vocab + 1, (3, 20))
+    start = net.flat().astype(np.float64)
+    size = sum(x.size for x in net.p)
+    for k, x in enumerate(net.squares):
+        net.squares[k] = np.full_like(x, 1e12)  # so the step is the gradient, scaled
+    n = net.train(rows, step=1e6)
+    grad = (start - net.flat())[:size]
+    assert n == (rows[:, 2:-2] < net.vocab).sum()
+    at = 0
+    for x in net.p:  # the largest gradients of each kind of parameter
+        for k in at + np.argsort(-np.abs(grad[at : at + x.size]))[:2]:
+            e = np.zeros_like(start)
+            e[k] = 1e-2
+            up, down = (masked_lm.Network(dim=4, window=2, start=start + s * e, classes=5).log_p(rows).sum() for s in (1, -1))
+            assert -(up - down) / 2e-2 / math.sqrt(n) == pytest.approx(grad[k], rel=0.05, abs=2e-4)
+        at += x.size
 
 
 def test_probabilities_sum_to_one():
     net = masked_lm.Network()
-    ctx = np.tile(np.array([[1, 2, 3, 4, 5, masked_lm.VOCAB]]), (masked_lm.VOCAB, 1))
-    assert np.exp(net.log_p(ctx, np.arange(masked_lm.VOCAB))).sum() == pytest.approx(1, abs=1e-4)
+    rows = np.tile(np.array([[1, 2, 3, 0, 4, 5, net.vocab]]), (net.vocab, 1))
+    rows[:, 3] = np.arange(net.vocab)
+    assert np.exp(net.log_p(rows)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def slow_log_p(net, units, i):
+    """The log-probability of one position and the gradients of its negative, from loops over plain arrays."""
+    e, pos, b, wc, bc, ww, bw = (x.astype(np.float64) for x in net)
+    classes, window = len(bc), len(pos) // 2
+    ctx = [units[j] if 0 <= j < len(units) else len(e) - 1 for j in [*range(i - window, i), *range(i + 1, i + window + 1)]]
+    z = b + sum(e[u] * pos[k] for k, u in enumerate(ctx))
+    h = z / (1 + np.abs(z))
+    c, w = divmod(int(units[i]), classes)
+    grads, dh, lp = [np.zeros_like(x) for x in (e, pos, b, wc, bc, ww, bw)], np.zeros(len(b)), 0.0
+    for weights, bias, target, g, gb in ((wc, bc, c, grads[3], grads[4]), (ww[c], bw[c], w, grads[5][c], grads[6][c])):
+        f = np.maximum(1 + (h @ weights + bias) / 256, 0) ** 256
+        p = f / f.sum()
+        lp += math.log(p[target])
+        p[target] -= 1
+        g += np.outer(h, p)
+        gb += p
+        dh += weights @ p
+    dz = dh / (1 + np.abs(z)) ** 2
+    grads[2] += dz
+    for k, u in enumerate(ctx):
+        grads[0][u] += dz * pos[k]
+        grads[1][k] += dz * e[u]
+    return lp, grads
+
+
+def test_training_against_loops():
+    """Two steps of a part, and the scores after them, as loops over positions have them."""
+    rng = np.random.default_rng(8)
+    net = masked_lm.Network(dim=4, window=2, classes=4)
+    docs = [rng.integers(0, net.vocab, n).astype(np.uint16) for n in (300, 1, 260, 90)]
+    slow, squares = [x.astype(np.float64) for x in net.p], [x.astype(np.float64) for x in net.squares]
+    part = masked_lm.Training(net)
+    for d in docs:
+        part.add(d.tobytes())
+    part.flush()
+    # the same positions, in the same segments and order
+    units, begin = masked_lm._bounded([d.tobytes() for d in docs], net.vocab, 2)
+    where = [(d, i) for d in range(len(docs)) for i in range(len(docs[d]))]
+    place = {int(begin[d]) + i - 2: (d, i) for d, i in where}
+    segments = np.random.default_rng([net.seed, 0]).permutation(-(-(len(units) - 4) // masked_lm.SEGMENT))
+    per = masked_lm.BATCH // masked_lm.SEGMENT
+    for a in range(0, len(segments), per):
+        own = [place[k] for s in segments[a : a + per] for k in range(s * masked_lm.SEGMENT, (s + 1) * masked_lm.SEGMENT) if k in place]
+        total = [np.zeros_like(x) for x in slow]
+        for d, i in own:
+            for t, g in zip(total, slow_log_p(slow, docs[d].tolist(), i)[1], strict=True):
+                t += g / math.sqrt(len(own))
+        for k, g in enumerate(total):
+            axis = {0: 1, 3: 0, 5: 1}.get(k)
+            squares[k] += g * g if axis is None else (g * g).mean(axis=axis, keepdims=True)
+            slow[k] -= masked_lm.STEP * g / (np.sqrt(squares[k]) + 1e-5)
+    assert part.seen == len(where)
+    for a, b in zip(net.p, slow, strict=True):
+        assert np.allclose(a, b, atol=5e-3)
+    model = masked_lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), net)
+    want = [sum(slow_log_p(net.p, d.tolist(), i)[0] for i in range(len(d))) for d in docs]
+    assert model.totals([d.tobytes() for d in docs]).tolist() == pytest.approx(want, rel=1e-4)
 
 
 def test_training_beats_unigrams_on_held_out(spark):
@@ -285,7 +349,7 @@ def test_training_beats_unigrams_on_held_out(spark):
         return " ".join(out)
 
     train = docs_of(spark, [(i, text(200), "en", "s") for i in range(400)]).repartition(3)
-    model = masked_lm.fit(train, rate=1.0)
+    model = masked_lm.fit(train)
     held = [text(300) for _ in range(20)]
     n, total = model.score(pa.array(held))
     assert list(n) == [300] * 20 and total.sum() / n.sum() > -2.2 > -math.log(40)  # unigrams: about -3.7
@@ -300,16 +364,31 @@ def test_masked_lm_brute_force_and_cases(spark):
     model = masked_lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), masked_lm.Network())
     text = "One two Three 44 five élan"
     data = np.frombuffer(text.encode(), np.uint8)
-    tokens, _ = masked_lm._tokens(data, np.array([0, len(data)]), model.table, model.ids)
-    want = 0.0
-    for i, t in enumerate(tokens):
-        ctx = [tokens[j] if 0 <= j < len(tokens) else masked_lm.VOCAB for j in [i - 3, i - 2, i - 1, i + 1, i + 2, i + 3]]
-        want += float(model.net.log_p(np.array([ctx]), np.array([t]))[0])
+    units = masked_lm._units(data, np.array([0, len(data)]), model.table, model.ids)[0].tolist()
+    want = sum(slow_log_p(model.net.p, units, i)[0] for i in range(len(units)))
     n, total = model.score(pa.array([text, None]))
     assert n.tolist() == [6, 0] and total[0] == pytest.approx(want, rel=1e-5)
     assert masked_lm.pseudo_likelihood(docs_of(spark, [])).count() == 0
 
 
+def test_scores_do_not_depend_on_the_partitions(spark):
+    rng = random.Random(14)
+    rows = [(i if i % 7 else None, prose(rng, rng.randint(1, 60)), "en", "s") for i in range(500)] + [(3, "the same row", "en", "s")] * 300
+    one, many = (sorted((r.n_words, r.log_likelihood) for r in masked_lm.pseudo_likelihood(docs_of(spark, rows).repartition(k)).collect()) for k in (1, 7))
+    assert len(one) == len(rows) and np.allclose(one, many, rtol=1e-5)
+
+
+def test_parts_are_averaged_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(masked_lm, "FAN_IN", 3)
+    rng = np.random.default_rng(5)
+    v, n = rng.random((11, 2, 4)).astype(np.float32), rng.integers(1, 9, 11).astype(float)
+    rows = [(p, b, float(n[p]), v[p, b].tobytes()) for p in range(11) for b in (0, 1) if p != 4]  # an empty part has no row
+    got = masked_lm._mean(spark.createDataFrame(rows, masked_lm._STATE), 11)
+    keep = np.arange(11) != 4
+    for b in (0, 1):
+        assert np.allclose(got[b], np.average(v[keep, b], axis=0, weights=n[keep]), rtol=1e-5)
+
+
 def test_every_word_is_predicted_as_itself(spark):
     rng = random.Random(11)
     vocabulary = list({prose(rng, 1) + str(k) for k in range(3000)})
@@ -317,14 +396,14 @@ def test_every_word_is_predicted_as_itself(spark):
     model = masked_lm.fit(docs_of(spark, rows), rounds=1)
 
     def units(text):
-        return masked_lm._tokens(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), model.table, model.ids)[0].tolist()
+        return masked_lm._units(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), model.table, model.ids)[0].tolist()
 
     words = vocabulary + [w[::-1] for w in vocabulary] + ["日本", "日木", "élan", "elan", "x" * 5000, "x" * 5001, "never", "nevre"]
     assert len({tuple(units(w)) for w in words}) == len(set(words))  # not two words alike, also none of the corpus
     some = rng.sample(words, 60)
     assert units(" ".join(some)) == [u for w in some for u in units(w)] and max(map(max, map(units, words))) < model.net.vocab
     got = masked_lm.Model(np.zeros(0, np.uint64), np.zeros(0, np.int64), masked_lm.Network())
-    assert masked_lm._tokens(np.frombuffer(b"Ab c", np.uint8), np.array([0, 4]), got.table, got.ids)[0].tolist() == [97, 256 + 98, 99]
+    assert masked_lm._units(np.frombuffer(b"Ab c", np.uint8), np.array([0, 4]), got.table, got.ids)[0].tolist() == [97, 256 + 98, 99]
 
 
 def test_units_grow_with_the_corpus(spark):
@@ -334,13 +413,19 @@ def test_units_grow_with_the_corpus(spark):
     assert 976 <= sizes[0] < 1500 <= sizes[1]
 
 
-def test_every_position_is_trained_on():
-    rng = random.Random(13)
+def test_every_position_is_trained_on(spark, monkeypatch):
+    """Over rounds and parts each unit of each document once; equal rows count as one."""
+    rng, seen = random.Random(13), []
     texts = [prose(rng, n) for n in (1, 2, 3, 50, 2000)] + ["one two"] * 20 + ["", None]
-    batch, none = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"]), np.zeros(0, np.int64)
-    total = sum(len(t.replace(" ", "")) for t in texts if t)  # all are spelled
-    seen = []
-    for part in range(masked_lm.ROUNDS):
-        run = masked_lm._local_training(none.view(np.uint64), none, masked_lm.CLASSES, None, 4, 2, masked_lm.RATE, part, masked_lm.ROUNDS, masked_lm.SEED)
-        seen += [out.column("n")[0].as_py() for out in run(iter([batch]))]
-    assert len(seen) == masked_lm.ROUNDS and sum(seen) == total
+    rows = [(min(i, 6), t, "en", "s") for i, t in enumerate(texts)]
+    units, mean = [], masked_lm._mean
+
+    def watched(local, parts):
+        seen.append((parts, [(r.part, r.n) for r in local.where("block = 0").select("part", "n").collect()]))
+        return mean(local, parts)
+
+    monkeypatch.setattr(masked_lm, "_mean", watched)
+    monkeypatch.setattr(masked_lm, "PART_UNITS", 100)
+    model = masked_lm.fit(docs_of(spark, rows), id_col="doc_id")
+    units = sum(len(masked_lm._units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), model.table, model.ids)[0]) for _, t in {r[:2] for r in rows if r[1]})
+    assert len(seen) == masked_lm.ROUNDS and seen[0][0] > 1 and sum(n for _, of in seen for _, n in of) == units
