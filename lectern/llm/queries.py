@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .bagminhash import near_duplicates
 from .bpe import encode_decode
-from .embedding import EMBEDDING_SQL, near_pairs
+from .embedding import EMBEDDING_SQL, QUERY_THRESHOLD, near_classes
 from .exact_dedup import EXACT_SQL, exact_duplicates
 from .kneser_ney import quality
 from .line_dedup import LINE_DEDUP_SQL, line_dedup
@@ -25,7 +25,7 @@ def queries():
         "op3_mix_sources": lambda s, d: mix_sources(_read(s, d, "documents"), WHOLE),
         "op4_exact_dedup": lambda s, d: exact_duplicates(_read(s, d, "documents")),
         "op5_bagminhash": lambda s, d: near_duplicates(_read(s, d, "documents")),
-        "op6_embedding_pairs": lambda s, d: near_pairs(_read(s, d, "embeddings")),
+        "op6_embedding_classes": lambda s, d: near_classes(_read(s, d, "embeddings"), threshold=QUERY_THRESHOLD),
         "op7_masked_lm": lambda s, d: pseudo_likelihood(_read(s, d, "documents")),
         "op8_url_filter": lambda s, d: url_filter(_read(s, d, "pages")),
         "op9_kneser_ney": lambda s, d: quality(_read(s, d, "documents"), _read(s, d, "labels")),
@@ -34,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_line_dedup": LINE_DEDUP_SQL, "op4_exact_dedup": EXACT_SQL, "op6_embedding_pairs": EMBEDDING_SQL, "op8_url_filter": url_sql()}
+    return {"op1_line_dedup": LINE_DEDUP_SQL, "op4_exact_dedup": EXACT_SQL, "op6_embedding_classes": EMBEDDING_SQL, "op8_url_filter": url_sql()}

@@ -130,25 +130,64 @@ def test_bounds_are_rigorous():
     assert (np.abs(exact - approx) <= n[:, None] * e[None, :] + e[:, None] + 1e-12).all()
 
 
-def test_embedding_pairs_against_all(spark):
+def test_products_are_exact_in_many_dimensions():
+    for dim in (64, 1536, 4096):
+        q = np.random.default_rng(dim).integers(-127, 128, (40, dim)).astype(np.int8)
+        q[0], q[1] = 127, -127
+        assert np.array_equal(embedding.products(q, q), (q.astype(np.int64) @ q.astype(np.int64).T).astype(float))
+
+
+def brute_classes(rows, threshold):
+    """(id, class, links) of distinct (id, vector), from all pairs."""
+    rows = list({(i, tuple(v)) for i, v in rows})
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    near = [[b for b in range(len(rows)) if a != b and len(u[a]) == len(u[b]) and (u[a] @ u[b] >= threshold or rows[a][1] == rows[b][1])] for a in range(len(rows))]
+    root = list(range(len(rows)))
+    for _ in rows:
+        new = [min([root[a], *(root[b] for b in near[a])]) for a in range(len(rows))]
+        if new == root:
+            break
+        root = new
+    least = {}
+    for (i, _), r in zip(rows, root, strict=True):
+        least[r] = i if least.get(r) is None else least[r] if i is None else min(i, least[r])
+    return sorted(((i, least[r], len(n)) for (i, _), r, n in zip(rows, root, near, strict=True)), key=str)
+
+
+def test_embedding_classes_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 16))
-    v = np.concatenate([base, base[:60] + rng.normal(size=(60, 16)) * rng.choice([0.05, 0.2, 0.35], (60, 1)), base[:3]]).astype(np.float32)
-    rows = [(int(i), [float(x) for x in r], 0) for i, r in enumerate(v)]
-    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
-    want = {(a, b) for a in range(len(u)) for b in range(a + 1, len(u)) if u[a] @ u[b] >= 0.95}
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("k", "g", "n2", "a", "b")})
-    for tile in (32, 4096):
-        assert {(r.vec_a, r.vec_b) for r in embedding.near_pairs(df, tile=tile).collect()} == want
+    v = np.concatenate([base, base[:60] + rng.normal(size=(60, 16)) * rng.choice([0.05, 0.2, 0.35], (60, 1)), base[:3], np.repeat(base[5:6], 40, axis=0)]).astype(np.float32)
+    rows = [(f"v{i}", [float(x) for x in r], 0) for i, r in enumerate(v)] + [(f"w{i}", [float(x) for x in rng.normal(size=1536) + (i % 3) * 3], 0) for i in range(9)]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("k", "g", "tile", "root", "id", "v")})
+    for threshold, size in ((0.95, 1 << 10), (0.95, 1 << 20), (0.6, 1 << 12)):
+        got = embedding.near_classes(df, threshold=threshold, tile_bytes=size).collect()
+        assert sorted(((r.vec_id, r.class_id, r.n_links) for r in got), key=str) == brute_classes([r[:2] for r in rows], threshold)
+
+
+def test_far_tiles_are_not_compared(spark, monkeypatch):
+    """Vectors in tight bunches: most pairs of tiles are pruned, and the classes are those without pruning."""
+    rng = np.random.default_rng(3)
+    v = np.repeat(np.eye(12), 30, axis=0) + rng.normal(size=(360, 12)) * 0.01
+    rows = [(i, r.tolist()) for i, r in enumerate(v)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    kept, partners = [], embedding._partners
+    monkeypatch.setattr(embedding, "_partners", lambda packed, tiles, t: kept.append((tiles, partners(packed, tiles, t).count())) or partners(packed, tiles, t))
+    one = sorted(embedding.near_classes(df, tile_bytes=1 << 10).collect())
+    monkeypatch.setattr(embedding, "PRUNED_TILES", 0)
+    assert one == sorted(embedding.near_classes(df, tile_bytes=1 << 10).collect()) and {r.class_id for r in one} == set(range(0, 360, 30))
+    (tiles, some), (_, every) = kept
+    assert every == tiles**2 and some < every / 4
 
 
 def test_embedding_cases(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.001])]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    got = sorted(str((r.vec_a, r.vec_b)) for r in embedding.near_pairs(df).collect())
-    assert got == sorted(map(str, [(1, 2), (None, 1), (None, 2), (1, 1), (1, 2), (None, 1)]))
-    assert embedding.near_pairs(df.limit(0)).count() == 0
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [1.0, None]), (9, [1.0, 0.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.001]), (None, None), (10, [1e-200, -1e-200]), (11, [1e300, -1e300])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = Counter((r.vec_id, r.class_id, r.n_links) for r in embedding.near_classes(df).collect())
+    assert got == Counter([(1, 1, 3), (2, 1, 3), (None, 1, 3), (1, 1, 3), *((i, i, 0) for i in (3, 4, 5, 6, 7, 8, 9, None)), (10, 10, 1), (11, 10, 1)])
+    assert embedding.near_classes(df.limit(0)).count() == 0
+    assert embedding.near_classes(df.where("embedding is null")).count() == 2
 
 
 # BPE
