@@ -39,7 +39,8 @@ THRESHOLD, TILE_BYTES = 0.95, 8 << 20
 STRIP, STEP, PAIRS = 1024, 512, 1 << 15
 #: So many tiles at most have their centres sent out for pruning, 8 bytes a dimension each; beyond that all tiles are compared.
 PRUNED_TILES = 20_000
-PIVOTS = 256
+#: So many pivots at most, and no more than tiles are needed, so that tiles stay few and full.
+PIVOTS = 1024
 _SLACK = 1e-5  # covers the float32 arithmetic of scales and norms; the int8 products are exact
 
 
@@ -171,7 +172,8 @@ def _pivots(reps: DataFrame, count: int) -> dict[int, np.ndarray]:
 def _links(reps: DataFrame, threshold: float, tile_bytes: int) -> DataFrame:
     """Staged (k, links, root), one row for each pair of tiles in which the vector k has a link."""
     spark = reps.sparkSession
-    celled = staged(reps.select("k", "m", "v").mapInArrow(tidy(_nearest(_pivots(reps, PIVOTS))), "k bigint, m bigint, dim int, cell int, v array<double>"), "cells")
+    size = reps.agg(F.sum(F.size("v")) * 8).first()[0] or 0
+    celled = staged(reps.select("k", "m", "v").mapInArrow(tidy(_nearest(_pivots(reps, min(PIVOTS, max(1, -(-size // tile_bytes)))))), "k bigint, m bigint, dim int, cell int, v array<double>"), "cells")
     cells = celled.groupBy("dim", "cell").count().collect()  # at most PIVOTS of them a dimension
     first, spans = 0, {}
     for r in sorted(cells, key=lambda r: (r.dim, r.cell)):
