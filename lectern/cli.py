@@ -54,6 +54,10 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("--redistribution", action="store_true")
     i.add_argument("--limit", "-n", type=int)
     i.add_argument("--format", default="jsonl", choices=["jsonl", "parquet"])
+    i.add_argument("--cache", help="folder of fetched archives, shared by all executors")
+    c = sub.add_parser("convert", help="a JSON corpus as Parquet")
+    c.add_argument("corpus")
+    c.add_argument("out")
     return p
 
 
@@ -74,6 +78,7 @@ def _fail(message: str) -> int:
 def _ingest(a, engine) -> int:
     from pyspark.sql import functions as F
 
+    from .plans.cache import ContentCache
     from .plans.ingest import ingest
     from .sources import live, payloads
 
@@ -88,15 +93,22 @@ def _ingest(a, engine) -> int:
         parts = None
         for server in ["biorxiv", "medrxiv"] if a.server == "both" else [a.server]:
             root = f"{a.root}/{server}" if a.server == "both" else a.root
-            files = payloads.archive_keys(payloads.read_archives(spark, root), parse_since(a.since), include_back_content=a.include_back_content).withColumn("server", F.lit(server))
+            since = parse_since(a.since)
+            listed = payloads.list_archives(spark, root, since, a.include_back_content)
+            files = payloads.archive_keys(listed, since, include_back_content=a.include_back_content).withColumn("server", F.lit(server))
             parts = files if parts is None else parts.unionByName(files)
         targets = parts.withColumn("target_id", F.concat_ws(":", "server", "key"))
         targets = targets.orderBy("key").limit(a.limit) if a.limit else targets
 
+        cache = ContentCache(spark, a.cache or settings.cache_dir)
+        downloaded = lambda: cache.bytes_downloaded
+
         def load(df):
             out = None
-            for server in ["biorxiv", "medrxiv"]:
-                rows = payloads.archive_fulltext(df.where(F.col("server") == server).drop("server"), settings.bucket_for(server), server).drop("key")
+            for server in ["biorxiv", "medrxiv"] if a.server == "both" else [a.server]:
+                bucket = settings.bucket_for(server)
+                files = payloads.fetched(cache, df.where(F.col("server") == server).drop("server"), bucket)
+                rows = payloads.archive_fulltext(files, bucket, server).drop("key")
                 out = rows if out is None else out.unionByName(rows)
             return out
     else:
@@ -107,9 +119,9 @@ def _ingest(a, engine) -> int:
             url = f"{live.EPMC}/{ppr}/fullTextXML"
             rows.append((f"doi:{doi}", doi, None, ppr, url, engine._json(url) if ppr else None))
         targets = spark.createDataFrame(rows, "target_id string, doi string, version int, ppr_id string, url string, xml string")
-        load = payloads.epmc_fulltext
+        load, downloaded = payloads.epmc_fulltext, None
     mode = "redistribution" if a.redistribution else "analysis"
-    report = ingest(spark, targets, load, a.out, mode, settings, "json" if a.format == "jsonl" else "parquet", lambda m: print(m, file=sys.stderr))
+    report = ingest(spark, targets, load, a.out, mode, settings, "json" if a.format == "jsonl" else "parquet", lambda m: print(m, file=sys.stderr), downloaded)
     print(json.dumps(report.as_dict()), file=sys.stderr)
     return 0
 
@@ -127,13 +139,19 @@ def main(argv: list[str] | None = None, engine=None) -> int:
         if a.verb == "get":
             archives = None
             if a.archives:
-                from .sources.payloads import read_archives
+                from .sources.payloads import list_archives
 
-                archives = read_archives(engine.spark, a.archives)
+                archives = list_archives(engine.spark, a.archives)
             row, tried, reason = engine.fulltext(a.id, a.version, a.source, archives, server=a.server, allow_html=a.html)
             if row is None:
                 return _fail(f"No full text of {a.id} (tried {', '.join(tried) or 'nothing'}): {reason}")
             _emit(engine.render(row) if a.markdown else json.dumps(plain(row), indent=2, ensure_ascii=False), a.out)
+        elif a.verb == "convert":
+            from .plans.ingest import to_parquet
+
+            if not to_parquet(engine.spark, a.corpus, a.out):
+                return _fail(f"{a.corpus} has no chunks; nothing written")
+            print(f"wrote {a.out}", file=sys.stderr)
         elif a.verb in ("search", "discover"):
             hits = engine.search(a.query, a.source, a.field, a.limit) if a.verb == "search" else engine.discover(a.query, a.category, parse_since(a.since), parse_since(a.to), a.source, a.limit)
             rows = hits.limit(a.limit).toJSON().collect()  # at most `limit` rows, for the terminal

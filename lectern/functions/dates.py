@@ -48,6 +48,14 @@ def folder_since(folder: Column | str, since: dt.date | None) -> Column:
     return month.isNull() | (month >= F.lit(since.replace(day=1)))
 
 
+def parse_month(folder: str) -> dt.date | None:
+    """The first day of the month that a folder is named after, such as June_2025; None for other names."""
+    try:
+        return dt.datetime.strptime(folder, "%B_%Y").date()
+    except ValueError:
+        return None
+
+
 def parse_since(s: str | None) -> dt.date | None:
     """A date from YYYY-MM, taken as the first of the month, or YYYY-MM-DD."""
     if not s:

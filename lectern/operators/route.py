@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ids import clean_doi, identify, short_id
+from ..functions.ids import clean_doi, short_id
 from ..functions.text import strip
 from ..session import written
 
@@ -64,11 +64,6 @@ def version_eligible(wanted: Column, newest: Column) -> Column:
     return wanted.isNull() | newest.isNull() | (wanted == newest)
 
 
-def requests_of(inputs: DataFrame, column: str = "input") -> DataFrame:
-    """Inputs with kind, id and version as identified."""
-    return inputs.withColumn("_i", identify(column)).select("*", "_i.kind", "_i.id", "_i.version").drop("_i")
-
-
 def resolve(inputs: DataFrame, ppr: DataFrame, details: DataFrame, works: DataFrame, column: str = "input") -> DataFrame:
     """(input, doi, openalex_id, ppr_id, server, published_doi) by lookups of (doi, ppr_id), (doi, server, published_doi), (openalex_id, doi)."""
     s = strip(column)

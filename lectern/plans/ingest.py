@@ -1,8 +1,13 @@
 """Resumable ingestion: targets that aren't in the manifest are parsed, gated and chunked; chunks are
 written first, the manifest last, so a run that dies is simply run again.
 
-A chunk is written once: chunks whose id is in the corpus, or comes twice, are left out. The manifest
-counts a document's chunks in the corpus as it is after the write, also those of a run that died.
+A target that comes more than once is done once, and its repetitions count as skipped. A chunk is
+written once: chunks whose id is in the corpus, or comes twice, are left out. The manifest counts a
+document's chunks in the corpus as it is after the write, also those of a run that died.
+
+The corpus is read only where it can hold a new chunk's id: for documents whose DOI the manifest lists
+already, or for all if a run left its mark, that is, died between its two writes. So a stream of
+micro-batches costs what its batches hold, besides the ids and DOIs of the manifest.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from ..config import Settings
 from ..operators.chunk import chunk_fulltext
 from ..operators.gate import gate
 from ..schemas import CHUNK, MANIFEST
-from ..session import file_system
+from ..session import file_system, written
 
 
 @dataclass
@@ -80,32 +85,42 @@ def report_of(manifest_rows: DataFrame, skipped: int, bytes_downloaded: int = 0)
     return Report(r.processed, skipped, r.degraded, r.not_found, r.n_chunks, bytes_downloaded)
 
 
-def ingest(spark: SparkSession, targets: DataFrame, load, corpus: str, mode: str = "analysis", settings: Settings | None = None, fmt: str = "parquet", on_reminder=None) -> Report:
-    """Ingest targets (target_id and what `load` needs). `load` turns them into document rows that keep target_id."""
+def ingest(spark: SparkSession, targets: DataFrame, load, corpus: str, mode: str = "analysis", settings: Settings | None = None, fmt: str = "parquet", on_reminder=None, downloaded=None) -> Report:
+    """Ingest targets (target_id and what `load` needs). `load` turns them into document rows that keep target_id; `downloaded` gives the bytes it fetched."""
     s = settings or Settings()
     manifest = manifest_path(corpus)
     done = read_table(spark, manifest, MANIFEST, fmt)
-    todo = pending(targets, done)
+    todo = pending(targets.dropDuplicates(["target_id"]), done)
     skipped = targets.count() - todo.count()
-    docs = gate(load(todo), mode, on_reminder).persist()
+    docs = written(gate(load(todo), mode, on_reminder), "documents")  # outlives executors
     chunks = chunk_fulltext(docs, s.chunk_tokens, s.chunk_overlap, s.tokenizer, s.cross_section)
-    have = read_table(spark, corpus, CHUNK, fmt)
+    fs, mark = file_system(spark, f"{manifest}_open")
+    again = docs.select("doi").distinct()
+    if not fs.exists(mark) and fs.exists(file_system(spark, manifest)[1]):  # no run died: only documents of a DOI that was ingested before can have chunks in the corpus
+        again = again.join(done.select(F.col("doi").alias("_doi")).distinct(), F.col("doi").eqNullSafe(F.col("_doi")), "left_semi")
+    fs.create(mark, True).close()
+    have = _had(again, read_table(spark, corpus, CHUNK, fmt))
     new_chunks(chunks, have).select(*CHUNK.fieldNames()).write.mode("append").format(fmt).save(corpus)
-    # the chunks of this run's documents are counted in the corpus itself
-    ids = chunks.select("target_id", "chunk_id").distinct()
-    counts = ids.join(read_table(spark, corpus, CHUNK, fmt).select("chunk_id").distinct(), "chunk_id").groupBy("target_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    # all distinct ids of this run's documents are in the corpus now
+    counts = chunks.select("target_id", "chunk_id").distinct().groupBy("target_id").agg(F.count(F.lit(1)).alias("n_chunks"))
     status = F.when(F.col("retrieved_from").isNull(), "not_found").when(F.col("degraded"), "degraded").otherwise("ok")
-    facts = docs.select("target_id", "doi", "version", "degraded", "retrieved_from", F.col("license.spdx_id").alias("license"))
+    facts = docs.select("target_id", "doi", "version", "degraded", "retrieved_from", F.col("license.spdx_id").alias("license")).dropDuplicates(["target_id"])
     rows = todo.select("target_id").join(facts, "target_id", "left").join(counts, "target_id", "left")
     rows = rows.select("target_id", "doi", "version", status.alias("status"), F.coalesce("n_chunks", F.lit(0)).cast("long").alias("n_chunks"), "license", F.col("retrieved_from").alias("source"))
-    rows = rows.persist()
-    report = report_of(rows, skipped)  # before the write, after which these targets are no longer pending
+    rows = written(rows, "manifest")  # before the write, after which these targets are no longer pending
+    report = report_of(rows, skipped, downloaded() if downloaded else 0)
     rows.write.mode("append").format(fmt).save(manifest)
-    rows.unpersist()
-    docs.unpersist()
+    fs.delete(mark, False)
     return report
 
 
+def _had(again: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Chunk ids of the corpus that documents of the DOIs `again` may share; the corpus isn't read if there are none."""
+    if again.isEmpty():
+        return corpus.sparkSession.createDataFrame([], "chunk_id string")
+    return corpus.select("chunk_id")
+
+
 def to_parquet(spark: SparkSession, json_corpus: str, out: str) -> bool:
     """Rewrite a JSON corpus as Parquet; False, and nothing written, if it is empty."""
     rows = read_table(spark, json_corpus, CHUNK, "json")
@@ -113,8 +128,3 @@ def to_parquet(spark: SparkSession, json_corpus: str, out: str) -> bool:
         return False
     rows.write.mode("overwrite").parquet(out)
     return True
-
-
-def write_hits(hits: DataFrame, path: str, limit: int) -> None:
-    """Search hits as JSON lines, the first `limit`."""
-    hits.limit(limit).write.mode("overwrite").json(path)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -20,6 +21,8 @@ from .operators import assemble, chunk, route, search
 from .operators.gate import gate
 from .parse.udfs import parsed
 from .plans import ingest
+from .schemas import CHUNK, MANIFEST
+from .session import file_system, scratch_dir
 from .sources import payloads
 
 QUERIES: dict = {}
@@ -189,7 +192,7 @@ _ARXIV_IN = """CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN concat('2401.', lpad
  WHEN 3 THEN concat('foo/', lpad(k, 7, '9')) WHEN 4 THEN concat('math.GT/', lpad(k, 7, '3')) WHEN 5 THEN concat('10.1101/', d, '.7') WHEN 6 THEN concat('order ', k) ELSE concat('arXiv:bar/', lpad(k, 7, '4')) END"""
 
 
-@query("arxiv_identify", f"""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y.%m.%d') AS d, CAST(o_orderkey AS VARCHAR) AS k FROM orders WHERE o_orderkey < 100000), i AS (SELECT *, {_ARXIV_IN} AS s, CAST(o_orderkey % 8 AS INT) AS c FROM o)
+@query("arxiv_identify", f"""WITH o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y.%m.%d') AS d, CAST(o_orderkey AS VARCHAR) AS k FROM orders), i AS (SELECT *, {_ARXIV_IN} AS s, CAST(o_orderkey % 8 AS INT) AS c FROM o)
 SELECT o_orderkey, CASE WHEN c IN (0, 1, 2, 4, 7) THEN 'arxiv' WHEN c = 5 THEN 'openrxiv' ELSE 'unknown' END AS kind,
  CASE c WHEN 0 THEN '2401.' || lpad(k, 5, '1') WHEN 1 THEN 'hep-th/' || lpad(k, 7, '9') WHEN 2 THEN '2312.' || lpad(k, 5, '0') WHEN 4 THEN s WHEN 7 THEN 'bar/' || lpad(k, 7, '4') ELSE s END AS id,
  CASE c WHEN 0 THEN 3 WHEN 1 THEN 2 END AS version FROM i""")
@@ -270,10 +273,34 @@ def ingest_new_chunks(spark, d):
 @query("ingest_report", """SELECT count(*) AS processed, count(*) FILTER (WHERE NOT (doc_id % 12 IN (0, 1, 2, 4, 5, 7, 10))) AS degraded,
  CAST(sum(CASE WHEN doc_id % 12 IN (0, 1, 2, 4, 5, 7, 10) THEN 1 + CAST(ceil(greatest(len(regexp_extract_all(text, '\\S+')) - 512, 0) / 448.0) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_chunks FROM documents""")
 def ingest_report(spark, d):
-    docs = gate(_papers(spark, d).withColumn("target_id", F.concat(F.lit("biorxiv:"), F.col("doc_id").cast("string"))), "redistribution")
-    chunks = chunk.chunk_fulltext(docs).groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = docs.select("target_id", "degraded").join(chunks, "target_id", "left")
-    return rows.agg(F.count(F.lit(1)).alias("processed"), F.count_if("degraded").alias("degraded"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"))
+    docs = gate(_targets(spark, d), "redistribution")
+    chunks = chunk.chunk_fulltext(docs).groupBy("target_id").agg(F.count(F.lit(1)).alias("n_chunks"))
+    status = F.when(F.col("degraded"), "degraded").otherwise("ok").alias("status")
+    report = ingest.report_of(docs.select("target_id", status).join(chunks, "target_id", "left"), 0)
+    return spark.createDataFrame([(report.processed, report.degraded, report.n_chunks)], "processed bigint, degraded bigint, n_chunks bigint")
+
+
+def _targets(spark, d):
+    return _papers(spark, d).withColumn("target_id", F.concat(F.lit("biorxiv:"), F.col("doc_id").cast("string")))
+
+
+@query("ingest_duplicates", """WITH d AS (SELECT *, doc_id % 12 IN (0, 1, 2, 4, 5, 7, 10) AS whole FROM documents), n AS (SELECT doc_id, whole, CASE WHEN whole THEN CAST(ceil(greatest(len(regexp_extract_all(text, '\\S+')) - 512, 0) / 448.0) AS BIGINT) + CASE WHEN regexp_matches(text, '\\S') THEN 1 ELSE 0 END ELSE 0 END AS c FROM d),
+ t AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 3 = 0) AS twice, count(*) FILTER (WHERE NOT whole) AS cut, CAST(sum(c) AS BIGINT) AS chunks FROM n)
+SELECT CAST(1 AS INTEGER) AS run, n AS processed, twice AS skipped, cut AS degraded, chunks AS n_chunks, chunks AS corpus_chunks, n AS manifest_rows FROM t
+UNION ALL SELECT 2, 0, n + twice, 0, 0, chunks, n FROM t""")
+def ingest_duplicates(spark, d):
+    """Targets of which some come twice, ingested into a corpus of its own, twice: each is done once."""
+    corpus = f"{scratch_dir(spark)}/lectern-corpus-{uuid.uuid4().hex}/corpus"
+    docs = _targets(spark, d)
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    out = []
+    for run in (1, 2):
+        r = ingest.ingest(spark, twice, lambda todo: todo, corpus, "redistribution")
+        kept = [ingest.read_table(spark, path, schema).count() for path, schema in ((corpus, CHUNK), (ingest.manifest_path(corpus), MANIFEST))]
+        out.append((run, r.processed, r.skipped, r.degraded, r.n_chunks, *kept))
+    fs, p = file_system(spark, corpus.rsplit("/", 1)[0])
+    fs.delete(p, True)
+    return spark.createDataFrame(out, "run int, processed bigint, skipped bigint, degraded bigint, n_chunks bigint, corpus_chunks bigint, manifest_rows bigint")
 
 
 @query("chunk_collisions", "SELECT conv_id || ':na' AS chunk_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1")
@@ -394,7 +421,7 @@ def epmc_hits(spark, d):
     return payloads.epmc_hits(pages).select("title", "doi", "has_fulltext")
 
 
-@query("openalex_hits", r"SELECT 'W' || doc_id AS openalex_id, '10.1101/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, 'https://x/' || doc_id AS oa_url, array_to_string(regexp_extract_all(left(text, 200), '\S+'), ' ') AS snippet FROM documents WHERE regexp_matches(left(text, 200), '\S')")
+@query("openalex_hits", r"SELECT 'W' || doc_id AS openalex_id, '10.1101/' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS title, 'https://x/' || doc_id AS oa_url, array_to_string(regexp_extract_all(text, '\S+'), ' ') AS snippet FROM documents WHERE regexp_matches(text, '\S')")
 def openalex_hits(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
     places = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))  # by word, so the index needs no shuffle
@@ -472,10 +499,88 @@ def journal_page_roundtrip(spark, d):
     return _first_sections(_t(spark, d, "documents").select("doc_id", parsed(page, "journal_page").alias("parsed")))
 
 
-@query("html_extract", "SELECT page_id, true AS parsed FROM pages")
+_PLAIN = r"<p>[^<>]*</p>"
+_UNESCAPED = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
+
+
+@query("html_extract", rf"""WITH h AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS head, regexp_extract_all(html, '{_PLAIN}') AS ps FROM pages),
+ u AS (SELECT page_id, trim({_UNESCAPED.format(x="head")}) AS title, list_filter(list_transform(ps, lambda x: {_NORM_SQL.format(x=_UNESCAPED.format(x="substr(x, 4, length(x) - 7)"))}), lambda x: x <> '') AS ps FROM h)
+SELECT page_id, title, CAST(1 AS INTEGER) AS n_sections, md5({_NORM_SQL.format(x="array_to_string(ps, ' ')")}) AS text_md5 FROM u""")
 def html_extract(spark, d):
-    rows = _t(spark, d, "pages").select("page_id", parsed("html", "journal_page").alias("p"))
-    return rows.select("page_id", F.col("p").isNotNull().alias("parsed"))
+    """The well-formed paragraphs of real pages, set as a journal's page, through its parser."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    body = F.array_join(F.regexp_extract_all("html", F.lit(f"({_PLAIN})"), F.lit(1)), "<!-- next -->\n")
+    view = _tag("div", _tag("div", _tag("h2", "Results"), body, class_="section"), class_="fulltext-view")
+    meta = F.concat(F.lit('<meta name="citation_title" content="'), title, F.lit('">'))
+    rows = _t(spark, d, "pages").select("page_id", parsed(_tag("html", _tag("head", meta), _tag("body", view)), "journal_page").alias("p"))
+    text = F.get("p.sections", F.lit(0))["text"]
+    return rows.select("page_id", "p.title", F.size("p.sections").alias("n_sections"), F.md5(text).alias("text_md5"))
+
+
+_NESTED_SQL = f"""SELECT doc_id, CAST(1 AS INTEGER) AS ord, 'methods' AS kind, 'Methods' AS title, md5({_NORM_SQL.format(x='text')}) AS text_md5 FROM documents
+UNION ALL SELECT doc_id, 2, 'methods', 'Setup of ' || source, md5({_NORM_SQL.format(x="source || ' ' || text")}) FROM documents
+UNION ALL SELECT doc_id, 3, 'results', 'Results', md5(source || ' after') FROM documents"""
+
+
+@query("jats_nested", _NESTED_SQL)
+def jats_nested(spark, d):
+    """Nested sections that inherit their kind, footnotes and references left out, a table kept on request."""
+    p = lambda *x: _tag("p", *x)
+    inner = _tag("sec", _tag("title", "Setup of ", F.col("source")), p(F.col("source")), p(_xml_text(F.col("text"))))
+    methods = _tag("sec", _tag("title", "Methods"), p(_xml_text(F.col("text"))), inner)
+    results = _tag("sec", _tag("title", "Results"), _tag("table-wrap", _tag("table", F.col("source"))), p("after"))
+    xml = _tag("article", _tag("body", methods, results), _tag("back", _tag("ref-list", _tag("title", "References"))))
+    return _first_sections(_t(spark, d, "documents").select("doc_id", parsed(xml, "jats", keep_tables=True).alias("parsed")))
+
+
+def _journal_page(*parts):
+    return _tag("html", _tag("body", _tag("div", *parts, class_="fulltext-view")))
+
+
+@query("journal_fulltext", f"""SELECT '10.1101/' || doc_id AS doi, 'biorxiv' AS server, CAST(1 + doc_id % 3 AS INTEGER) AS version, 'biorxiv_html' AS retrieved_from, CASE WHEN doc_id % 2 = 0 THEN lang END AS category, CASE WHEN doc_id % 2 = 0 THEN 'CC-BY' END AS spdx,
+ md5({_NORM_SQL.format(x='text')}) AS text_md5 FROM documents""")
+def journal_fulltext(spark, d):
+    """Pages with the version in their address, enriched by a bibliographic row if there is one."""
+    k = F.col("doc_id").cast("string")
+    doi = F.concat(F.lit("10.1101/"), k)
+    page = _journal_page(_tag("div", _tag("h2", "Results"), _tag("p", _xml_text(F.col("text"))), class_="section"))
+    docs = _t(spark, d, "documents")
+    url = F.concat(F.lit("//x/content/"), doi, F.lit("v"), (1 + F.col("doc_id") % 3).cast("string"), F.lit(".full"))
+    pages = docs.select(doi.alias("doi"), F.lit(None).cast("string").alias("server"), F.lit(None).cast("int").alias("version"), url.alias("url"), page.alias("html"))
+    one = F.struct(doi.alias("doi"), F.lit("1").alias("version"), F.col("lang").alias("category"), F.lit("cc_by").alias("license"))
+    known = docs.where("doc_id % 2 = 0").select(F.to_json(F.struct(F.array(one).alias("collection"))).alias("json"), F.lit("biorxiv").alias("server"))
+    rows = payloads.journal_fulltext(pages, payloads.detail_versions(known))
+    return rows.select("doi", "server", "version", "retrieved_from", "category", F.col("license.spdx_id").alias("spdx"), F.md5(F.col("sections")[0]["text"]).alias("text_md5"))
+
+
+@query("arxiv_fulltext", f"""SELECT '10.48550/arXiv.2401.' || doc_id AS doi, CASE WHEN doc_id % 2 = 0 THEN 'native' ELSE 'ar5iv' END AS backend, CASE WHEN doc_id % 3 = 0 THEN 'CC-BY-4.0' END AS spdx, CAST(len(CASE WHEN doc_id % 2 = 0 THEN ['a'] ELSE ['a', 'b'] END) AS INTEGER) AS n_sections,
+ md5({_NORM_SQL.format(x='text')}) AS text_md5 FROM documents""")
+def arxiv_fulltext(spark, d):
+    """A page of text is taken from the native renderer, another from the mirror; the licence is the abstract page's."""
+    docs = _t(spark, d, "documents").withColumn("aid", F.concat(F.lit("2401."), F.col("doc_id").cast("string")))
+    prose = lambda x: _tag("div", _tag("p", x, class_="ltx_p"), class_="ltx_para")
+    section = lambda title, x: _tag("section", _tag("h2", title, class_="ltx_title"), prose(x), class_="ltx_section")
+    page = lambda *x: _tag("html", _tag("body", *x))
+    native = F.when(F.col("doc_id") % 2 == 0, page(section("Results", _xml_text(F.col("text"))))).otherwise("<html><body>No HTML</body></html>")
+    mirror = page(section("Results", _xml_text(F.col("text"))), section("More", "more"))
+    rows = lambda html: docs.select(F.col("aid").alias("arxiv_id"), F.lit(None).cast("int").alias("version"), F.lit("u").alias("url"), html.alias("html"))
+    abstract = docs.select(F.col("aid").alias("arxiv_id"), F.when(F.col("doc_id") % 3 == 0, '<a href="https://creativecommons.org/licenses/by/4.0/">').otherwise("none").alias("html"))
+    found = payloads.arxiv_fulltext(rows(native), rows(mirror), abstract)
+    return found.select("doi", F.col("provenance")["backend"].alias("backend"), F.col("license.spdx_id").alias("spdx"), F.size("sections").alias("n_sections"), F.md5(F.col("sections")[0]["text"]).alias("text_md5"))
+
+
+@query("epmc_fulltext", f"""WITH n AS (SELECT doc_id, {_NORM_SQL.format(x='text')} AS t FROM documents)
+SELECT '10.1101/' || doc_id AS doi, CAST(doc_id % 4 AS INTEGER) AS version, CASE WHEN doc_id % 3 = 0 THEN 'medrxiv' ELSE 'biorxiv' END AS server, 'PPR' || doc_id AS ppr_id, CAST(CASE WHEN t = '' THEN 0 ELSE 1 END AS INTEGER) AS n_sections, md5(t) AS text_md5 FROM n WHERE doc_id % 5 <> 0""")
+def epmc_fulltext(spark, d):
+    """Full texts by catalog id; every fifth has neither sections nor abstract and is left out (F8)."""
+    k = F.col("doc_id").cast("string")
+    journal = _tag("journal-id", F.when(F.col("doc_id") % 3 == 0, "medRxiv").otherwise("bioRxiv"))
+    abstract = F.when(F.col("doc_id") % 5 != 0, _tag("abstract", _tag("p", "short"))).otherwise("")
+    body = F.when(F.col("doc_id") % 5 != 0, _tag("body", _tag("sec", _tag("p", _xml_text(F.col("text")))))).otherwise("<body/>")
+    xml = _tag("article", _tag("front", journal, _tag("article-meta", abstract)), body)
+    found = payloads.epmc_fulltext(_t(spark, d, "documents").select(F.concat(F.lit("10.1101/"), k).alias("doi"), (F.col("doc_id") % 4).cast("int").alias("version"), F.concat(F.lit("PPR"), k).alias("ppr_id"), F.lit("u").alias("url"), xml.alias("xml")))
+    mine = F.filter("sections", lambda x: x["kind"] != "abstract")
+    return found.select("doi", "version", "server", F.col("provenance")["europepmc_id"].alias("ppr_id"), F.size(mine).alias("n_sections"), F.md5(F.coalesce(F.get(mine, F.lit(0))["text"], F.lit(""))).alias("text_md5"))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -502,6 +607,17 @@ def archive_fulltext(spark, d):
     return rows.select("doi", "server", F.size("sections").alias("n_sections"), "raw_ref", F.md5(F.col("sections")[0]["text"]).alias("text_md5"))
 
 
+@query("archive_lookup", "SELECT '10.1101/' || doc_id AS doi, CAST(doc_id % 5 AS INTEGER) AS version, 's3://b/Current_Content/June_2025/' || doc_id || '.meca' AS raw_ref FROM documents WHERE doc_id % 3 = 0")
+def archive_lookup(spark, d):
+    """Requested DOIs found in the archives by what is in them; half as many requests have no archive."""
+    key = F.concat(F.lit("Current_Content/June_2025/"), F.col("doc_id").cast("string"), F.lit(".meca"))
+    docs = _t(spark, d, "documents")
+    files = docs.select(key.alias("key"), _archive("doc_id", F.coalesce("source", F.lit("x"))).alias("content"))
+    k = F.when(F.col("doc_id") % 6 == 1, F.concat(F.lit("none"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    asked = docs.where("doc_id % 3 = 0 or doc_id % 6 = 1").select(F.concat(F.lit("10.1101/"), k).alias("doi"), (F.col("doc_id") % 5).cast("int").alias("version"))
+    return payloads.archive_lookup(files, asked, "b", "biorxiv").select("doi", "version", "raw_ref")
+
+
 @query("detect_server", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'medrxiv' ELSE 'biorxiv' END AS server FROM pages")
 def detect_server(spark, d):
     xml = F.concat(F.when(F.col("page_id") % 3 == 0, "<journal-id>medRxiv</journal-id>").otherwise(F.repeat(F.lit(" "), 4000)), F.lit("medrxiv"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Callable, Iterator
 
@@ -47,8 +48,8 @@ def openalex_items(get: Get, params: dict, limit: int, settings: Settings) -> It
     return cursor_pages(page, limit, 200)
 
 
-def feed_pages(get: Get, base: str, query: str, limit: int) -> Iterator[str]:
-    """Feed entries of an arXiv search, each as XML."""
+def feed_pages(get: Get, base: str, query: str, limit: int) -> Iterator:
+    """Feed entries of an arXiv search, each as a node."""
     from ..parse.tree import parse_xml
 
     def page(start, size):
@@ -76,7 +77,11 @@ class _Reader(DataSourceReader):
             require_key(options.get("api_key"))
 
     def partitions(self):
-        return [InputPartition(0)]  # a cursor can only be followed in turn
+        o = self.options
+        if o.get("catalog") == "details":  # a day can be read beside another
+            first, last = dt.date.fromisoformat(o["since"]), dt.date.fromisoformat(o["until"])
+            return [InputPartition((first + dt.timedelta(days=k)).isoformat()) for k in range((last - first).days + 1)]
+        return [InputPartition(None)]  # a cursor can only be followed in turn
 
     def read(self, partition):
         o = self.options
@@ -85,7 +90,9 @@ class _Reader(DataSourceReader):
         if o.get("catalog") == "openalex":
             items = openalex_items(get, {"search": query}, limit, s)
         elif o.get("catalog") == "details":
-            items = detail_items(get, o.get("server", "biorxiv"), o["since"], o["until"])
+            items = detail_items(get, o.get("server", "biorxiv"), partition.value, partition.value)
+        elif o.get("catalog") == "arxiv":
+            items = ({c.tag: c.text().strip() for c in entry.nodes()} for entry in feed_pages(get, s.arxiv_api_base, query, limit))
         else:
             items = epmc_items(get, query, limit)
         for item in items:
@@ -93,7 +100,7 @@ class _Reader(DataSourceReader):
 
 
 class PagesDataSource(DataSource):
-    """Options: catalog (europepmc, openalex, details), query, limit, api_key, server, since, until."""
+    """One JSON item a row; options: catalog (europepmc, openalex, arxiv, details), query, limit, api_key, server, since, until."""
 
     @classmethod
     def name(cls):

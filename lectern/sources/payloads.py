@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.dates import doi_posting_date, folder_since, in_window, month_folder
+from ..functions.dates import doi_posting_date, folder_since, in_window, month_folder, parse_month
 from ..functions.ids import arxiv_doi, clean_doi, entry_id, short_id
 from ..functions.licenses import licence_link, parse_license
 from ..functions.text import author_list, collapse, empty_to_null
@@ -17,6 +19,10 @@ from ..operators.assemble import build_fulltext, has_content, provenance, rebuil
 from ..parse.tree import parse_xml
 from ..parse.udfs import article_xml, parsed
 from ..schemas import PREPRINT, SEARCH_HIT, STRINGS, record
+from ..session import file_system
+
+#: So many requested DOIs are broadcast at most to pick their documents; beyond that they are joined by hash.
+BROADCAST_REQUESTS = 100_000
 
 _EPMC = "resultList struct<result: array<struct<id: string, source: string, doi: string, title: string, inEPMC: string, hasTextMinedTerms: string>>>, nextCursorMark string"
 _WORK = (
@@ -173,15 +179,22 @@ def archive_fulltext(files: DataFrame, bucket: str, server: str) -> DataFrame:
 def archive_lookup(files: DataFrame, requests: DataFrame, bucket: str, server: str, max_scan: int | None = None) -> DataFrame:
     """Document rows of requested (doi, version): only archives of the DOIs' posting months are opened.
 
-    DOIs without a date look in all months. `max_scan` limits the archives opened for a single request."""
-    months = [r.m for r in requests.select(month_folder(doi_posting_date("doi")).alias("m")).distinct().collect()]
-    rows = archive_keys(files)
-    if None not in months:
-        rows = rows.where(F.split("key", "/")[1].isin(months))
-    if max_scan is not None:
-        rows = rows.orderBy("key").limit(max_scan)
-    asked = requests.select(F.col("doi").alias("_doi"), F.col("version").alias("_v")).dropDuplicates(["_doi"])
-    found = archive_fulltext(rows, bucket, server).join(F.broadcast(asked) if asked.count() <= 100_000 else asked, F.col("doi") == F.col("_doi"))
+    `files` lists archives, with their bytes or without; such without are pruned before they are opened.
+    DOIs without a date look in all months, those with one in theirs alone. `max_scan` limits the archives
+    opened for a single request."""
+    asked = requests.select(F.col("doi").alias("_doi"), F.col("version").alias("_v"), month_folder(doi_posting_date("doi")).alias("_m")).dropDuplicates(["_doi"])
+    months = [r["_m"] for r in asked.select("_m").distinct().collect()]  # one row a month
+    listed, parts = archive_keys(files), []
+    dated = [m for m in months if m is not None]
+    for wanted, rows in ((asked.where("_m is not null"), listed.where(F.split("key", "/")[1].isin(dated)) if dated else None), (asked.where("_m is null"), listed if None in months else None)):
+        if rows is not None:
+            rows = rows.orderBy("key").limit(max_scan) if max_scan is not None else rows
+            wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_REQUESTS else wanted
+            found = archive_fulltext(opened(rows), bucket, server)
+            parts.append(found.join(wanted, (F.col("doi") == F.col("_doi")) & (F.col("_m").isNull() | F.col("_m").eqNullSafe(F.split("key", "/")[1]))).drop("_m"))
+    if not parts:
+        return archive_fulltext(opened(listed.limit(0)), bucket, server).drop("key")
+    found = reduce(DataFrame.unionByName, parts)
     first = Window.partitionBy("doi").orderBy("key")
     return found.withColumn("_n", F.row_number().over(first)).where("_n = 1").withColumn("version", F.coalesce("_v", "version")).drop("_n", "_doi", "_v", "key")
 
@@ -224,7 +237,49 @@ def journal_fulltext(pages: DataFrame, meta: DataFrame | None = None) -> DataFra
     return out.select(*[c for c in out.columns if not c.startswith("_") and c != "url"])
 
 
+_KEY = r"((?:Current|Back)_Content/.*)$"
+
+
+def list_archives(spark: SparkSession, root: str, since: dt.date | None = None, include_back_content: bool = True) -> DataFrame:
+    """(key, path, length) of the archives below a folder; month folders before `since` aren't even listed, and no archive is opened."""
+    folders = []
+    for top in ("Current_Content", "Back_Content") if include_back_content else ("Current_Content",):
+        fs, p = file_system(spark, f"{root.rstrip('/')}/{top}")
+        for f in fs.listStatus(p) if fs.exists(p) else []:  # one entry a month or batch
+            date = parse_month(f.getPath().getName()) if top == "Current_Content" else None
+            if since is None or date is None or date >= since.replace(day=1):
+                folders.append(f.getPath().toString())
+    if not folders:
+        return spark.createDataFrame([], "key string, path string, length bigint")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.meca").option("recursiveFileLookup", "true").load(folders)
+    return files.select(F.regexp_extract("path", _KEY, 1).alias("key"), "path", "length")
+
+
+def opened(files: DataFrame) -> DataFrame:
+    """The listed archives with their bytes; only these are read. Rows that have `content` are as they are.
+
+    The paths go through the driver, as those of any scan do."""
+    if "content" in files.columns:
+        return files
+    spark = files.sparkSession
+    paths = [r.path for r in files.select("path").distinct().collect()]
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary")).drop("path", "length")
+    escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]
+    content = spark.read.format("binaryFile").load(escaped).select("path", "content")
+    return files.join(content, "path").drop("path", "length")
+
+
+def fetched(cache, files: DataFrame, bucket: str) -> DataFrame:
+    """The listed archives with their bytes, through the cache: only what it hasn't is opened."""
+
+    def fetch(missing: DataFrame) -> DataFrame:
+        return opened(missing.select("_key", "path", "length"))
+
+    return cache.get_or_fetch(files, [F.lit("biorxiv_s3"), F.lit(bucket), "key"], fetch).drop("path", "length")
+
+
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(key, content) of the archives below a folder, by Spark's listing; the key is the path below it."""
+    """(key, content) of all archives below a folder; the key is the path below it."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.meca").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", r"((?:Current|Back)_Content/.*)$", 1).alias("key"), "content")
+    return files.select(F.regexp_extract("path", _KEY, 1).alias("key"), "content")

@@ -20,10 +20,6 @@ class SourceError(Exception):
     """A source can't serve a request for a reason the user can mend, such as a missing key."""
 
 
-class NotSupported(Exception):
-    """A source doesn't have the operation."""
-
-
 @dataclass
 class Response:
     status: int

@@ -29,9 +29,7 @@ def ingest_stream(rows: DataFrame, load, corpus: str, checkpoint: str, mode: str
     `once` processes what there is and ends; else the query goes on until it is stopped."""
 
     def batch(df: DataFrame, _: int) -> None:
-        df.persist()
         ingest(df.sparkSession, df, load, corpus, mode, settings)
-        df.unpersist()
 
     writer = rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer).start()

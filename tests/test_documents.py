@@ -1,3 +1,5 @@
+import shutil
+import datetime as dt
 import json
 
 import pytest
@@ -165,8 +167,6 @@ def test_ingest_resumes(spark, tmp_path, fmt):
 
 def test_ingest_after_a_crash_before_the_manifest(spark, tmp_path):
     """Chunks without manifest rows: the next run writes none twice and still counts them."""
-    import shutil
-
     write_archives(tmp_path / "in", 1)
     out = str(tmp_path / "corpus")
     targets = payloads.read_archives(spark, str(tmp_path / "in")).withColumn("target_id", F.col("key"))
@@ -176,6 +176,97 @@ def test_ingest_after_a_crash_before_the_manifest(spark, tmp_path):
     assert ingest(spark, targets, load, out).n_chunks == 4 and read_table(spark, out, CHUNK).count() == 4
 
 
+def test_repeated_targets_are_done_once(spark, tmp_path):
+    write_archives(tmp_path / "in", 2)
+    out = str(tmp_path / "corpus")
+    listed = payloads.list_archives(spark, str(tmp_path / "in")).withColumn("target_id", F.col("key"))
+    load = lambda df: payloads.archive_fulltext(payloads.opened(df), "b", "biorxiv").drop("key")
+    r = ingest(spark, listed.union(listed).union(listed.where("key like '%/0.meca'")), load, out)
+    assert (r.processed, r.skipped, r.not_found, r.n_chunks) == (2, 4, 1, 8)
+    rows = read_table(spark, manifest_path(out), MANIFEST).collect()
+    assert sorted((r.status, r.n_chunks) for r in rows) == [("not_found", 0), ("ok", 4), ("ok", 4)]
+    # other targets of a DOI that is in the corpus: its chunks aren't written again
+    again = ingest(spark, listed.withColumn("target_id", F.concat(F.lit("x"), "key")), load, out)
+    assert (again.processed, again.skipped, again.n_chunks) == (2, 0, 8) and read_table(spark, out, CHUNK).count() == 8
+
+
+def test_corpus_is_read_only_where_it_can_hold_the_chunks(spark, tmp_path):
+    """A run over new DOIs doesn't open the corpus: it succeeds though the corpus can't be read."""
+    out = tmp_path / "corpus"
+    load = lambda df: payloads.archive_fulltext(payloads.opened(df), "b", "biorxiv").drop("key")
+    write_archives(tmp_path / "in", 2)
+    targets = lambda: payloads.list_archives(spark, str(tmp_path / "in")).where("key not like '%broken%'").withColumn("target_id", F.col("key"))
+    ingest(spark, targets(), load, str(out))
+    for f in out.glob("*.parquet"):
+        f.write_bytes(b"unreadable")
+    for f in out.glob(".*.crc"):
+        f.unlink()
+    write_archives(tmp_path / "in", 1, 7)
+    assert ingest(spark, targets(), load, str(out)).n_chunks == 4
+    (tmp_path / "corpus_manifest_open").write_text("")  # a run that died has left its mark
+    write_archives(tmp_path / "in", 1, 8)
+    with pytest.raises(Exception, match="(?i)parquet"):
+        ingest(spark, targets(), load, str(out))
+
+
+def test_other_months_are_not_touched(spark, tmp_path):
+    write_archives(tmp_path / "in", 3)
+    (tmp_path / "in" / "Current_Content" / "May_2025" / "0.meca").chmod(0)
+    (tmp_path / "in" / "Back_Content" / "Batch_1").mkdir(parents=True)
+    (tmp_path / "in" / "Back_Content" / "Batch_1" / "b.meca").write_bytes(b"no zip")
+    root = str(tmp_path / "in")
+    keys = lambda *a: sorted(r.key.rsplit("/", 1)[1] for r in payloads.list_archives(spark, root, *a).collect())
+    assert keys() == ["0.meca", "1.meca", "2.meca", "b.meca", "broken.meca"]
+    assert keys(dt.date(2025, 6, 15), False) == ["1.meca", "2.meca", "broken.meca"]
+    shutil.rmtree(tmp_path / "in" / "Current_Content" / "May_2025")  # a listing from before, of files that are gone
+    asked = spark.createDataFrame([("10.1101/2025.06.03.2", 3), ("10.1101/2025.06.03.77", None)], "doi string, version int")
+    listed = spark.createDataFrame([(f"Current_Content/May_2025/{i}.meca", f"file:{root}/Current_Content/May_2025/{i}.meca", 5) for i in range(3)], "key string, path string, length bigint").union(payloads.list_archives(spark, root))
+    got = payloads.archive_lookup(listed, asked, "b", "biorxiv").collect()
+    assert [(r.doi, r.version) for r in got] == [("10.1101/2025.06.03.2", 3)]
+    with pytest.raises(Exception, match="(?i)exist"):  # a DOI without a date looks everywhere
+        payloads.archive_lookup(listed, spark.createDataFrame([("10.1101/2", 1)], "doi string, version int"), "b", "biorxiv").collect()
+    # and doesn't make the dated ones do so
+    mixed = spark.createDataFrame([("10.1101/2025.06.03.2", None), ("10.1101/2", None)], "doi string, version int")
+    both = payloads.archive_lookup(payloads.list_archives(spark, root), mixed, "b", "biorxiv").collect()
+    assert [r.doi for r in both] == ["10.1101/2025.06.03.2"]
+
+
+def test_what_was_fetched_is_not_fetched_again(spark, tmp_path):
+    from lectern.plans.cache import ContentCache
+
+    write_archives(tmp_path / "in", 2)
+    root, sizes = str(tmp_path / "in"), 0
+    listed = payloads.list_archives(spark, root)
+    sizes = sum(r.length for r in listed.collect())
+    first = ContentCache(spark, str(tmp_path / "cache"))
+    rows = payloads.fetched(first, listed.union(listed), "b").collect()
+    assert len(rows) == 6 and all(r.content for r in rows) and first.bytes_downloaded == sizes
+    shutil.rmtree(tmp_path / "in")  # nothing is left to fetch from
+    second = ContentCache(spark, str(tmp_path / "cache"))
+    paths = spark.createDataFrame([(r.key, "gone", 1) for r in rows], "key string, path string, length bigint")
+    again = payloads.fetched(second, paths, "b")
+    assert {(r.key, bytes(r.content)) for r in again.collect()} == {(r.key, bytes(r.content)) for r in rows} and second.bytes_downloaded == 0
+    assert payloads.fetched(second, paths.limit(0), "b").count() == 0
+
+
+def test_ingest_from_the_command_line_counts_bytes_and_converts(spark, tmp_path, capsys):
+    from lectern.cli import main
+    from lectern.engine import Engine
+
+    write_archives(tmp_path / "in", 2)
+    size = sum(f.stat().st_size for f in (tmp_path / "in").rglob("*.meca"))
+    engine = Engine(spark, Settings(cache_dir=str(tmp_path / "cache")))
+    run = lambda *a: main([*a], engine)
+    reports = []
+    for out in ("one", "two"):
+        assert run("ingest", str(tmp_path / out), "--root", str(tmp_path / "in")) == 0
+        reports.append(json.loads(capsys.readouterr().err.strip().splitlines()[-1]))
+    assert [(r["processed"], r["not_found"], r["bytes_downloaded"]) for r in reports] == [(2, 1, size), (2, 1, 0)]
+    assert run("convert", str(tmp_path / "one"), str(tmp_path / "pq")) == 0
+    assert spark.read.parquet(str(tmp_path / "pq")).count() == reports[0]["n_chunks"] == 8
+    assert run("convert", str(tmp_path / "none"), str(tmp_path / "pq2")) == 2 and not (tmp_path / "pq2").exists()
+
+
 def test_stream_is_the_same_plan(spark, tmp_path):
     from lectern.streaming.ingest import archive_stream, arrivals, ingest_stream
 

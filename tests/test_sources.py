@@ -232,3 +232,41 @@ def test_epmc(spark):
     assert [(r.doi, r.version, r.server, r.raw_ref, r.provenance["europepmc_id"]) for r in got] == [("10.1/a", 1, "medrxiv", "u", "P1")]
     page = json.dumps({"resultList": {"result": [{"source": "MED", "id": "1", "doi": "10.1/a"}, {"source": "PPR", "id": "P", "doi": "10.1/a"}, {"source": "PPR", "id": "Q", "doi": "10.1/a"}]}})
     assert [(r.doi, r.ppr_id) for r in payloads.epmc_ids(spark.createDataFrame([(page,)], "json string")).collect()] == [("10.1/a", "P")]
+
+
+def test_details_are_read_by_day_and_arxiv_by_entry(spark):
+    asked = []
+
+    def get(url, params):
+        asked.append(url)
+        return Response(200, json.dumps({"collection": [{"doi": url.rsplit("/", 2)[1]}], "messages": [{"total": 1}]}).encode(), {}) if "details" in url else Response(200, fx.FEED.encode(), {})
+
+    reader = live._Reader({"catalog": "details", "since": "2025-01-30", "until": "2025-02-02"}, get)
+    parts = reader.partitions()
+    assert [p.value for p in parts] == ["2025-01-30", "2025-01-31", "2025-02-01", "2025-02-02"]
+    assert [json.loads(x)["doi"] for p in parts for (x,) in reader.read(p)] == [p.value for p in parts] and all("/2025-01-30/2025-01-30/" in u for u in asked[:1])
+    entries = [json.loads(x) for (x,) in live._Reader({"catalog": "arxiv", "query": "all:x", "limit": "1"}, get).read(None)]
+    assert len(entries) == 1 and "2401.10515" in entries[0]["id"]
+
+
+def test_one_work(spark):
+    from lectern.config import Settings
+    from lectern.engine import Engine
+
+    body = {"id": "https://openalex.org/W7", "doi": "https://doi.org/10.1/x", "title": "", "display_name": "Shown", "abstract_inverted_index": {"b": [1], "a": [0]}}
+    engine = Engine(spark, Settings(openalex_api_key="k"), lambda url, params: Response(200 if url.endswith("W7") else 404, json.dumps(body).encode(), {}))
+    r = engine.work("https://openalex.org/W7").first()
+    assert (r.doi, r.title, r.abstract, r.provenance["openalex_id"]) == ("10.1/x", "Shown", "a b", "W7")
+    assert engine.work("W8").count() == 0 and engine.resolve("W7")["doi"] == "10.1/x" and engine.resolve("W8")["doi"] is None
+
+
+def test_scratch_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from lectern.session import scratch_dir
+
+    on = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None, set=lambda *a: None), sparkContext=SimpleNamespace(master=master))
+    for master in ("spark://h:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(on(master))
+    assert scratch_dir(on("local[4]")).startswith("file:/")
