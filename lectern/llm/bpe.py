@@ -3,8 +3,9 @@
 Texts are cut into pre-tokens (contractions; letters, digits or signs with a leading space; white
 space) by numpy on whole blocks of documents, following the vocabulary's public pattern exactly. A
 block's pre-tokens with their positions stay together as one packed sequence of local word numbers;
-its distinct words go, packed, to the shard of their hash. A shard encodes every distinct word it
-gets once, whatever number of blocks ask for it, and answers each block with packed ids. Blocks and
+its distinct words go, packed, to the shard of their hash; there are as many shards as the bytes of
+text need. A shard takes in its blocks' words batch by batch, encodes every distinct word once, whatever
+number of blocks ask for it, and answers each block with packed ids. Blocks and
 answers are joined by block, and documents reassembled by position. A block is named by a hash of its
 content, so both sides name it alike when a lost executor's work is done again; an answer that is
 missing is an error, never a gap. Decoding joins the ids with the token-byte table, whose size is
@@ -15,7 +16,7 @@ Defined cases
 - Decoding null ids gives null; an id outside the table is an error; bytes that aren't UTF-8 become
   U+FFFD (ids made by encoding always are).
 - Special tokens in a text are ordinary text.
-- Every row gets a row, also repeated ones and such without id; a text of any length is one document;
+- Ids are of any type. Every row gets a row, also repeated ones and such without id; a text of any length is one document;
   extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -39,8 +40,10 @@ from .common import need, pieces, release, span_hashes, text_buffer, tidy
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text in a block, and tokens that a worker expands at a time.
-BLOCK = 1 << 23
+BLOCK = 1 << 22
 EXPAND = 1 << 20
+#: Bytes of text whose distinct words make up a shard.
+SHARD_BYTES = 16 << 20
 
 _L, _N, _S, _O = 1, 2, 3, 0
 _SPACES = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -164,46 +167,50 @@ def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = local[code == 255].view(np.uint8).reshape(-1, 4).T
             c = np.where(null[i:j], -1, count).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name]), pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64())), pa.array([_pack(c)], pa.binary()),
+                [pa.array([name]), pa.array([batch.column(0).slice(i, j - i)], pa.list_(batch.column(0).type)), pa.array([_pack(c)], pa.binary()),
                  pa.array([_pack(top)], pa.binary()), pa.array([_pack(code)], pa.binary()), pa.array([_pack(np.ascontiguousarray(rest))], pa.binary())],
                 ["block", "ids", "counts", "top", "code", "rest"],
             )
 
 
 def _encode_shard(path: str):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, _, _ = vocabulary(path)
-        lens = [_unpack(b, np.int32) for b in table.column("lens").to_pylist()]
-        flat = [_unpack(b, np.uint8) for b in table.column("bytes").to_pylist()]
-        hashes = []
-        for n, b in zip(lens, flat, strict=True):
-            end = np.cumsum(n, dtype=np.int64)
-            hashes.append(span_hashes(b, end - n, end))
-        distinct, place, inverse = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
-        bases = np.cumsum([0] + [len(n) for n in lens])
-        row = np.searchsorted(bases, place, side="right") - 1
-        ends = [np.cumsum(n, dtype=np.int64) for n in lens]
-        raw = [b.tobytes() for b in flat]
-        known, single = enc._mergeable_ranks, enc._core_bpe.encode_single_piece
-        ids: list[int] = []
-        sizes = np.zeros(len(distinct), np.int64)
-        for k, (r, p) in enumerate(zip(row.tolist(), (place - bases[row]).tolist(), strict=True)):
-            e = int(ends[r][p])
-            word = raw[r][e - int(lens[r][p]) : e]
-            one = known.get(word)
-            found = single(word) if one is None else (one,)
-            ids.extend(found)
-            sizes[k] = len(found)
-        flat_ids, first = np.array(ids, np.int32), np.cumsum(sizes) - sizes
-        out_n, out_ids = [], []
-        for r in range(len(lens)):
-            w = inverse[bases[r] : bases[r + 1]]
-            n = sizes[w]
-            cum = np.cumsum(n)
-            out_n.append(_pack(n.astype(np.int32)))
-            out_ids.append(_pack(np.ascontiguousarray(flat_ids[np.repeat(first[w] - cum + n, n) + np.arange(int(n.sum()))].view(np.uint8).reshape(-1, 4).T)))
+        ranks, single = enc._mergeable_ranks, enc._core_bpe.encode_single_piece
+        done: dict[bytes, tuple[int, ...]] = {}  # the distinct words of the shard so far
+
+        def tokens(word: bytes) -> tuple[int, ...]:
+            found = done.get(word)
+            if found is None:
+                one = ranks.get(word)
+                found = done[word] = tuple(single(word)) if one is None else (one,)
+            return found
+
+        for table in batches:
+            lens = [_unpack(b, np.int32) for b in table.column("lens").to_pylist()]
+            flat = [_unpack(b, np.uint8) for b in table.column("bytes").to_pylist()]
+            ends = [np.cumsum(n, dtype=np.int64) for n in lens]
+            hashes = np.concatenate([span_hashes(b, e - n, e) for n, b, e in zip(lens, flat, ends, strict=True)])
+            distinct, place, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            bases = np.cumsum([0] + [len(n) for n in lens])
+            row = np.searchsorted(bases, place, side="right") - 1
+            raw, ids = [b.tobytes() for b in flat], []
+            sizes = np.zeros(len(distinct), np.int64)
+            for k, (r, p) in enumerate(zip(row.tolist(), (place - bases[row]).tolist(), strict=True)):
+                e = int(ends[r][p])
+                found = tokens(raw[r][e - int(lens[r][p]) : e])
+                ids.extend(found)
+                sizes[k] = len(found)
+            flat_ids, first = np.array(ids, np.int32), np.cumsum(sizes) - sizes
+            out_n, out_ids = [], []
+            for r in range(len(lens)):
+                w = inverse[bases[r] : bases[r + 1]]
+                n = sizes[w]
+                cum = np.cumsum(n)
+                out_n.append(_pack(n.astype(np.int32)))
+                out_ids.append(_pack(np.ascontiguousarray(flat_ids[np.repeat(first[w] - cum + n, n) + np.arange(int(n.sum()))].view(np.uint8).reshape(-1, 4).T)))
+            yield pa.RecordBatch.from_arrays([table.column("block"), table.column("shard"), pa.array(out_n, pa.binary()), pa.array(out_ids, pa.binary())], ["block", "shard", "sizes", "tokens"])
         release()
-        return pa.Table.from_arrays([table.column("block"), table.column("shard"), pa.array(out_n, pa.binary()), pa.array(out_ids, pa.binary())], ["block", "shard", "sizes", "tokens"])
 
     return run
 
@@ -213,6 +220,7 @@ def _planes(b: bytes) -> np.ndarray:
 
 
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+    kind = left.schema.field("ids").type.value_type
     answers = {r["shard"]: r for r in right.to_pylist()}  # blocks of equal content have equal answers
     order = sorted(answers)
     sizes = np.concatenate([_unpack(answers[k]["sizes"], np.int32) for k in order] or [np.zeros(0, np.int32)]).astype(np.int64)
@@ -238,20 +246,21 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         by = np.concatenate([[0], np.cumsum(np.maximum(count, 0))])
         offs = np.concatenate([[0], cum])[by].astype(np.int32)
         lists.append(pa.ListArray.from_arrays(pa.array(offs), pa.array(flat), mask=pa.array(count < 0)))
-        ids.append(pa.array(row["ids"], pa.int64()))
+        ids.append(pa.array(row["ids"], kind))
     release()
-    return pa.Table.from_arrays([pa.chunked_array(ids, pa.int64()), pa.chunked_array(lists, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
+    return pa.Table.from_arrays([pa.chunked_array(ids, kind), pa.chunked_array(lists, pa.list_(pa.int32()))], ["doc_id", "token_ids"])
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """(doc_id, token_ids) of every row; the cases are defined above."""
     need(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    kind = dict(rows.dtypes)["id"]
+    shards = shards or max(1, -(-(rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // SHARD_BYTES))
     words = rows.mapInArrow(tidy(_words_of(shards)), "shard int, block bigint, lens binary, bytes binary")
     answers = words.groupBy("shard").applyInArrow(_encode_shard(path), "block bigint, shard int, sizes binary, tokens binary")
-    blocks = rows.mapInArrow(tidy(_sequences), "block bigint, ids array<bigint>, counts binary, top binary, code binary, rest binary")
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, "doc_id bigint, token_ids array<int>")
+    blocks = rows.mapInArrow(tidy(_sequences), f"block bigint, ids array<{kind}>, counts binary, top binary, code binary, rest binary")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_reassemble, f"doc_id {kind}, token_ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str = VOCABULARY, ids_col: str = "token_ids", out_col: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, embedding, mixing, url_filter
+from lectern.llm.common import PIECE
 
 from .helpers import AWKWARD, CLASH, docs_of, jaccard, prose, shingle_bag
 
@@ -225,6 +226,20 @@ def test_bpe_matches_the_tokenizer_and_round_trips(spark):
     assert [r.token_ids for r in bpe.encode(docs_of(spark, [(1, "", "en", "s")])).collect()] == [[]]
 
 
+@needs_vocabulary
+def test_bpe_long_texts_string_ids_and_many_shards(spark, monkeypatch):
+    """A text longer than a block and a piece, ids that aren't numbers, and shards that take in several batches."""
+    enc, _, _ = bpe.vocabulary(bpe.VOCABULARY)
+    rng = random.Random(5)
+    long = prose(rng, 300_000) + " x" * 800_000
+    assert len(long) > PIECE and len(long) > 2_000_000
+    texts = [long, "short", long[:100_000], None] + [prose(rng, 40) for _ in range(60)]
+    df = spark.createDataFrame([(f"a{i}", t, 1) for i, t in enumerate(texts)], "doc_id string, text string, id int").repartition(5)
+    monkeypatch.setattr(bpe, "SHARD_BYTES", 1 << 18)
+    got = {r.doc_id: r for r in bpe.encode_decode(df).collect()}
+    assert all(got[f"a{i}"].text == t and got[f"a{i}"].token_ids == (None if t is None else enc.encode_ordinary(t)) for i, t in enumerate(texts)) and len(got) == len(texts)
+
+
 @needs_vocabulary
 def test_decode_cases(spark):
     df = spark.createDataFrame([(1, [50000, 3]), (2, []), (3, None)], "text int, token_ids array<int>")
