@@ -16,11 +16,13 @@ weighted Jaccard of the texts.
 
 Defined cases
 - A row is known by its id and text: rows that repeat both are one document; rows of one id with
-  other texts are different documents. Ids order groups, nulls first, ties by a hash of the text.
+  other texts are different documents. Ids are of any type that has an order; they order groups, nulls
+  first, ties by a hash of the text.
 - A document of one word has that word as its only shingle; one without words (null, empty, only
   punctuation) is never a duplicate.
 - near_duplicates gives (doc_id, duplicate_of), a row for each document but the least of its group.
-- near_dedup returns the rows of its input, all columns, that stay; of repeated rows one stays.
+- near_dedup returns the rows of its input, all columns, that stay; of rows that repeat id and text
+  one stays, also if no other row is like them. Rows without words all stay.
 - Extra columns are kept, whatever their names; an empty table gives an empty result.
 """
 
@@ -159,70 +161,73 @@ def overlap(left, right, size: int = SHINGLE) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, size: int, broadcast_nodes: int) -> DataFrame:
-    """Pairs (a, b) with whether their texts' overlap reaches the threshold: (a, b, same)."""
-    nodes = staged(pairs.select(F.col("a").alias("n")).union(pairs.select("b")).distinct(), "nodes")
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float, size: int, broadcast_nodes: int) -> DataFrame:
+    """Pairs (a, b) of representatives' numbers with whether their texts' overlap reaches the threshold: (a, b, same)."""
+    numbers = pairs.select(F.col("a").alias("u")).union(pairs.select("b")).distinct()
+    nodes = staged(reps.select("u", F.col("r").alias("n")).join(numbers, "u", "left_semi"), "nodes")
     few = nodes.count() <= broadcast_nodes
-    texts = docs.join(F.broadcast(nodes) if few else nodes, "n", "left_semi").dropDuplicates(["n"])
+    texts = docs.join(F.broadcast(nodes) if few else nodes, "n").select("u", "t").dropDuplicates(["u"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = overlap(batch.column(2), batch.column(3), size) >= threshold
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same)], ["a", "b", "same"])
 
-    left = texts.select(F.col("n").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("n").alias("b"), F.col("t").alias("tb"))
+    left = texts.select(F.col("u").alias("a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("u").alias("b"), F.col("t").alias("tb"))
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    node = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(tidy(check), f"a {node}, b {node}, same boolean")
+    return joined.mapInArrow(tidy(check), "a bigint, b bigint, same boolean")
 
 
 def duplicate_nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m: int = M, rows: int = ROWS, size: int = SHINGLE, threshold: float = THRESHOLD, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """(a, b): each document but the least of its group, and that least one, as structs of id and text hash."""
+    """(n, least, times): each document that is repeated or in a group, the least of its group, and its number of rows; documents are structs of id and text hash."""
     need(docs, id_col, text_col)
     if m % rows:
         raise ValueError("m must be a multiple of rows")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("th"), F.col(text_col).alias("t"))
+    base = docs.select(F.col(id_col).alias("id"), row_hash(text_col).alias("th"), F.col(text_col).alias("t"))
+    kind = dict(base.dtypes)["id"]
     texts = base.select(F.struct("id", "th").alias("n"), "t")
-    signed = staged(base.mapInArrow(tidy(_sign(m, rows, size)), "id bigint, th bigint, f1 bigint, f2 bigint, bands array<bigint>").select(F.struct("id", "th").alias("n"), "f1", "f2", "bands"), "signed")
+    signed = staged(base.mapInArrow(tidy(_sign(m, rows, size)), f"id {kind}, th bigint, f1 bigint, f2 bigint, bands array<bigint>").select(F.struct("id", "th").alias("n"), "f1", "f2", "bands"), "signed")
     reps = signed.groupBy("f1", "f2").agg(F.min("n").alias("r"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("k"))
-    reps = staged(reps, "reps")
-    copies = signed.select("n", "f1", "f2").join(reps.where("k > 1").select("f1", "f2", "r"), ["f1", "f2"]).where("n != r").select(F.col("n").alias("a"), F.col("r").alias("b"))
-    exploded = reps.select("r", F.explode("bands").alias("h"))
-    shared = exploded.groupBy("h").agg(F.min("r").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "hub")
-    members = staged(exploded.join(shared, "h").select("h", F.col("r").alias("n"), "hub"), "members")
-    stars = members.where("n != hub").select(F.col("n").alias("a"), F.col("hub").alias("b")).distinct()
-    star = staged(_verified(staged(stars, "stars"), texts, threshold, size, broadcast_nodes), "verified")
+    reps = staged(reps.withColumn("u", F.monotonically_increasing_id()), "reps")  # numbers, so that what follows joins and sorts longs
+    exploded = reps.select("u", F.explode("bands").alias("h"))
+    shared = exploded.groupBy("h").agg(F.min("u").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "hub")
+    members = staged(exploded.join(shared, "h").select("h", "u", "hub"), "members")
+    stars = members.where("u != hub").select(F.col("u").alias("a"), F.col("hub").alias("b")).distinct()
+    star = staged(_verified(staged(stars, "stars"), reps, texts, threshold, size, broadcast_nodes), "verified")
     edges = star.where("same").select("a", "b")
     failed = star.where("not same")
     if not failed.isEmpty():
         labels = components(edges)  # what the stars already connect needs no further look
-        open_ = members.join(failed.select(F.col("a").alias("n"), F.col("b").alias("hub")), ["n", "hub"], "left_semi").select("h", F.col("n").alias("u"))
+        open_ = members.join(failed.select(F.col("a").alias("u"), F.col("b").alias("hub")), ["u", "hub"], "left_semi").select("h", "u")
         label = lambda of: labels.select(F.col("a").alias(of), F.col("b").alias(f"{of}_l"))
-        pairs = open_.join(members.where("n != hub").select("h", F.col("n").alias("v")), "h").where("u != v")
+        pairs = open_.join(members.where("u != hub").select("h", F.col("u").alias("v")), "h").where("u != v")
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        pairs = pairs.join(label("u"), "u", "left").join(label("v"), "v", "left").where(~F.coalesce("u_l", "u").eqNullSafe(F.coalesce("v_l", "v")))
+        pairs = pairs.join(label("u"), "u", "left").join(label("v"), "v", "left").where(F.coalesce("u_l", "u") != F.coalesce("v_l", "v"))
         pairs = pairs.select(F.col("u").alias("a"), F.col("v").alias("b")).join(star.select("a", "b"), ["a", "b"], "left_anti")
-        more = _verified(staged(pairs, "pairs"), texts, threshold, size, broadcast_nodes)
+        more = _verified(staged(pairs, "pairs"), reps, texts, threshold, size, broadcast_nodes)
         edges = edges.union(more.where("same").select("a", "b"))
-    return components(edges.union(copies))
+    linked = components(edges)
+    roots = linked.select(F.col("a").alias("u"), F.col("b").alias("root")).union(linked.select(F.col("b").alias("u"), F.col("b").alias("root")).distinct())
+    grouped = reps.select("u", "f1", "f2", "k").join(roots, "u", "left").where("k > 1 or root is not null").select("f1", "f2", F.coalesce("root", "u").alias("root"))
+    found = staged(signed.select("n", "f1", "f2").join(grouped, ["f1", "f2"]).groupBy("root", "n").agg(F.count(F.lit(1)).alias("times")), "grouped")
+    return found.join(found.groupBy("root").agg(F.min("n").alias("least")), "root").select("n", "least", "times")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, duplicate_of) of the documents that near_dedup drops; options as of duplicate_nodes."""
-    found = duplicate_nodes(docs, id_col, text_col, **options)
-    return found.select(F.col("a.id").alias("doc_id"), F.col("b.id").alias("duplicate_of"))
+    found = duplicate_nodes(docs, id_col, text_col, **options).where("n != least")
+    return found.select(F.col("n.id").alias("doc_id"), F.col("least.id").alias("duplicate_of"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_nodes: int = BROADCAST_NODES, **options) -> DataFrame:
     """The documents without near copies: the least of each group stays, all columns."""
-    found = duplicate_nodes(docs, id_col, text_col, broadcast_nodes=broadcast_nodes, **options)
-    drop = found.select(F.col("a").alias("zn"))
-    drop = F.broadcast(drop) if drop.count() <= broadcast_nodes else drop
-    heads = found.select(F.col("b").alias("zn")).distinct()
-    heads = F.broadcast(heads) if heads.count() <= broadcast_nodes else heads
-    node = F.struct(F.col(id_col).cast("long").alias("id"), row_hash(text_col).alias("th"))
+    found = staged(duplicate_nodes(docs, id_col, text_col, broadcast_nodes=broadcast_nodes, **options), "found")
+    hinted = lambda df: F.broadcast(df) if df.count() <= broadcast_nodes else df
+    drop = hinted(found.where("n != least").select(F.col("n").alias("zn")))
+    often = hinted(found.where("n = least and times > 1").select(F.col("n").alias("zn")))
+    node = F.struct(F.col(id_col).alias("id"), row_hash(text_col).alias("th"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("zr"), node.alias("zn")).join(drop, "zn", "left_anti")
-    rows = rows.join(heads.withColumn("zk", F.lit(True)), "zn", "left")
-    once = rows.where("zk").groupBy("zn").agg(F.first("zr").alias("zr")).select("zr")  # a repeated least row stays once
+    rows = rows.join(often.withColumn("zk", F.lit(True)), "zn", "left")
+    once = rows.where("zk").groupBy("zn").agg(F.first("zr").alias("zr")).select("zr")  # a repeated row stays once
     return rows.where("zk is null").select("zr").unionByName(once).select("zr.*")
