@@ -10,10 +10,10 @@ seen n-gram adds what it changes against backing off, and a context the log of i
 scoring is a join of document n-gram counts with the model, too. While the model has at most
 BROADCAST_NGRAMS n-grams (counted first; characters keep it far smaller than the text) its table is
 sent to the workers and scoring is one pass over the text; beyond that the document counts are joined
-with the sharded table.
+with the sharded table. Both have the same weights in double precision.
 
 A document is kept if its perplexity is at most its language's quantile among trusted documents that
-were held out of the counts (a tenth, by a hash of the id), with a margin. A language with fewer than
+were held out of the counts (a tenth, by a hash of the id). A language with fewer than
 `least` held-out documents takes the quantile over all languages.
 
 Defined cases
@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from .common import mix, need, pieces, row_hash, staged, text_buffer, tidy
 
 ORDER, BITS, SYMBOLS = 5, 12, 4096
-QUANTILE, MARGIN, LEAST = 0.995, 1.1, 50
-BROADCAST_NGRAMS = 8_000_000
+QUANTILE, LEAST = 0.995, 50
+#: So many n-grams are sent to the workers at most, where a slot of the table takes 24 bytes and a third of the slots are filled at least.
+BROADCAST_NGRAMS = 2_000_000
 #: So many trusted ids, 8 bytes each, are broadcast at most to pick their documents.
 BROADCAST_IDS = 4_000_000
 _PAD = ORDER - 1
@@ -150,7 +151,7 @@ class Table:
         (k, d, b), self.rows = self.rows, None
         self.bits = max(4, math.ceil(math.log2(max(len(k), 1) * 3)))
         self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.values = np.zeros((1 << self.bits, 2), np.float32)
+        self.values = np.zeros((1 << self.bits, 2))
         left, slot = np.arange(len(k)), self._slot(k)
         while len(left):
             free = self.keys[slot] < 0
@@ -253,7 +254,7 @@ class Classifier:
         self.model, self.base, self.trained = model, base, trained
         self.shared = None
         if model.count() <= broadcast_ngrams:
-            rows = model.select("k", F.col("d").cast("float"), F.col("b").cast("float")).toArrow()
+            rows = model.select("k", "d", "b").toArrow()
             self.shared = model.sparkSession.sparkContext.broadcast(Table(*(rows.column(c).to_numpy() for c in "kdb")))
         self.limits: dict = {}
         self.default = math.inf
@@ -289,7 +290,7 @@ class Classifier:
         return F.coalesce(perplexity <= limit, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", good: int = 1, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Classifier:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", good: int = 1, quantile: float = QUANTILE, least: int = LEAST, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Classifier:
     """Train on all trusted documents and set the thresholds on the held-out ones."""
     need(docs, id_col, text_col, lang_col)
     need(labels, id_col, label_col)
@@ -306,9 +307,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     by = sample.rollup("zl").agg(at, F.count(F.lit(1)).alias("n"), F.grouping("zl").alias("all")).collect()  # one row a language
     for r in by:
         if r["all"] and r.q is not None:
-            out.default = r.q * margin
+            out.default = r.q
         elif r.n >= least:
-            out.limits[r.zl] = r.q * margin
+            out.limits[r.zl] = r.q
     return out
 
 
