@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import mix, need, row_hash
 
-ALPHA, BLOCK_DOCS, SHARD_BLOCKS, SEED = 0.7, 4, 1024, 20_231
+ALPHA, BLOCK_DOCS, SHARD_BLOCKS, SEED = 0.7, 4, 64, 20_231
+#: Shards at most, as each worker holds a number for each source and shard; those of larger corpora hold more blocks.
+MOST_SHARDS = 1 << 16
 #: The draws take fewer than 10^9 blocks; blocks of larger corpora hold more documents.
 MOST_BLOCKS = 900_000_000
 #: Weights that take every document.
@@ -102,7 +104,7 @@ def _placed(docs: DataFrame, weights, alpha, block_docs, shard_blocks, seed, id_
     blocks = {s: max(1, round(sizes[s] / block_docs)) for s in names}
     quota = quotas(blocks, {s: sizes[s] ** alpha for s in names} if weights is None else blocks if isinstance(weights, str) and weights == WHOLE else weights)
     total = sum(quota.values())
-    shards = max(1, math.ceil(total / shard_blocks))
+    shards = min(MOST_SHARDS, max(1, math.ceil(total / shard_blocks)))
     q, nb = tuple(quota[s] for s in names), np.array([blocks[s] for s in names] or [1], np.int64)
 
     @F.pandas_udf("int")
