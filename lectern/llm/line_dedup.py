@@ -8,7 +8,7 @@ corrected from the partitions' edge rows, two to a partition. No text is shuffle
 document comes back as the run lengths of its keep bitmap.
 
 Defined cases
-- Documents are ordered by id, nulls first, then by a hash of their text. Rows that repeat both id
+- Ids are of any type that has an order. Documents are ordered by id, nulls first, then by a hash of their text. Rows that repeat both id
   and text are one document and give one row.
 - A line that is blank (white space only) is always kept and is never a first occurrence of anything.
 - A null text has no lines: n_lines 0 and an empty bitmap. An empty text is one blank line.
@@ -30,18 +30,19 @@ from pyspark.sql import types as T
 
 from .common import need, row_hash, staged, tidy
 
-_FLAGS = "doc bigint, th bigint, pos int, keep boolean, part int, edge string, h1 bigint, h2 bigint"
+_FLAGS = "doc {kind}, th bigint, pos int, keep boolean, part int, edge string, h1 bigint, h2 bigint"
 
 
 def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     last: tuple[int, int] | None = None
-    began = False
+    began, ids = False, pa.int64()
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         doc, th, pos, c1, c2 = (batch.column(k) for k in range(5))
+        ids = doc.type
         live = c1.is_valid().to_numpy(zero_copy_only=False)
         h1 = c1.fill_null(0).to_numpy()
         h2 = c2.fill_null(0).to_numpy()
@@ -62,7 +63,7 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         )
     if last is not None:
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.bool_()),
+            [pa.array([None], ids), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.bool_()),
              pa.array([part], pa.int32()), pa.array(["tail"]), pa.array([last[0]], pa.int64()), pa.array([last[1]], pa.int64())],
             ["doc", "th", "pos", "keep", "part", "edge", "h1", "h2"],
         )
@@ -71,7 +72,7 @@ def _first_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keep bitmaps of the documents: (doc_id, n_lines, n_kept, keep_runs); the cases are defined above."""
     need(docs, id_col, text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc"), row_hash(text_col).alias("th"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    base = docs.select(F.col(id_col).alias("doc"), row_hash(text_col).alias("th"), F.split(F.col(text_col), "\n", -1).alias("lines"))
     line = F.col("line")
     live = line.rlike(r"[^\s]")
     lines = base.select("doc", "th", F.posexplode_outer("lines").alias("pos", "line")).select(
@@ -79,7 +80,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     key = ["h1", "h2", "doc", "th", "pos"]
     ordered = lines.repartitionByRange(*key).sortWithinPartitions(*key)
-    flags = staged(ordered.select("doc", "th", "pos", "h1", "h2").mapInArrow(tidy(_first_occurrences), _FLAGS), "lines")
+    flags = staged(ordered.select("doc", "th", "pos", "h1", "h2").mapInArrow(tidy(_first_occurrences), _FLAGS.format(kind=dict(base.dtypes)["doc"])), "lines")
     edges = flags.where("edge is not null").select("part", "edge", "h1", "h2").collect()  # two rows a partition
     heads = {r.part: (r.h1, r.h2) for r in edges if r.edge == "head"}
     tails = {r.part: (r.h1, r.h2) for r in edges if r.edge == "tail"}

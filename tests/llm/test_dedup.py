@@ -166,3 +166,15 @@ def test_components(spark):
     df = spark.createDataFrame(pairs, "a bigint, b bigint")
     assert {(r.a, r.b) for r in components.components(df).collect()} == groups([p for p in pairs if p[0] != p[1]])
     assert components.components(df.where(F.lit(False))).count() == 0
+
+
+def test_ids_of_any_type_and_lone_repeated_rows(spark):
+    rng = random.Random(31)
+    same, other = prose(rng, 40), prose(rng, 40)
+    rows = [("b", same, 1), ("a", same + " more", 2), ("c", other, 3), ("c", other, 3), (None, prose(rng, 30), 4), ("d", None, 5), ("d", None, 5)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, n int")
+    assert [(r.doc_id, r.duplicate_of) for r in bagminhash.near_duplicates(df).collect()] == [("b", "a")]
+    kept = sorted((str(r.doc_id), r.n) for r in bagminhash.near_dedup(df).collect())
+    assert kept == [("None", 4), ("a", 2), ("c", 3), ("d", 5), ("d", 5)]  # rows without words all stay
+    lines = {r.doc_id: r.keep_runs for r in line_dedup(spark.createDataFrame([("z", "one\ntwo"), ("y", "two\nthree"), (None, "one")], "doc_id string, text string")).collect()}
+    assert lines == {None: "1", "y": "2", "z": "0,2"}
