@@ -13,7 +13,8 @@ sent to the workers and scoring is one pass over the text; beyond that the docum
 with the sharded table. Both have the same weights in double precision.
 
 A document is kept if its perplexity is at most its language's quantile among trusted documents that
-were held out of the counts (a tenth, by a hash of the id). A language with fewer than
+were held out of the counts (a tenth, by a hash of the id), with a margin that keeps clean documents where few
+are held out. A language with fewer than
 `least` held-out documents takes the quantile over all languages.
 
 Defined cases
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import mix, need, pieces, row_hash, staged, text_buffer, tidy
 
 ORDER, BITS, SYMBOLS = 5, 12, 4096
-QUANTILE, LEAST = 0.995, 50
+QUANTILE, MARGIN, LEAST = 0.995, 1.1, 50
 #: So many n-grams are sent to the workers at most, where a slot of the table takes 24 bytes and a third of the slots are filled at least.
 BROADCAST_NGRAMS = 2_000_000
 #: So many trusted ids, 8 bytes each, are broadcast at most to pick their documents.
@@ -290,7 +291,7 @@ class Classifier:
         return F.coalesce(perplexity <= limit, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", good: int = 1, quantile: float = QUANTILE, least: int = LEAST, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Classifier:
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality", good: int = 1, quantile: float = QUANTILE, margin: float = MARGIN, least: int = LEAST, broadcast_ngrams: int = BROADCAST_NGRAMS) -> Classifier:
     """Train on all trusted documents and set the thresholds on the held-out ones."""
     need(docs, id_col, text_col, lang_col)
     need(labels, id_col, label_col)
@@ -307,9 +308,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     by = sample.rollup("zl").agg(at, F.count(F.lit(1)).alias("n"), F.grouping("zl").alias("all")).collect()  # one row a language
     for r in by:
         if r["all"] and r.q is not None:
-            out.default = r.q
+            out.default = r.q * margin
         elif r.n >= least:
-            out.limits[r.zl] = r.q
+            out.limits[r.zl] = r.q * margin
     return out
 
 
