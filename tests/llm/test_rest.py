@@ -308,3 +308,22 @@ def test_op3_and_the_pipeline_keep_all_sources_whole(spark, tmp_path):
     got = llm.queries()["op3_mix_sources"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.source or "") for r in got) == [(i, s or "") for i, s in enumerate(sources)]
     assert sorted(r.doc_id for r in corpus_pipeline.mix_stage(spark, docs, str(tmp_path)).collect()) == list(range(len(rows)))
+
+
+@needs_vocabulary
+def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 20), "en", rng.choice(["a", "a", "b"])) for i in range(3000)]
+    corpus_pipeline.mix_stage(spark, docs_of(spark, rows), str(tmp_path)).write.parquet(f"{tmp_path}/mix")
+    written = [r.doc_id for f in sorted(tmp_path.glob("mix/part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert sorted(written) == list(range(3000)) != written
+    corpus_pipeline.tokens_stage(spark, spark.read.parquet(f"{tmp_path}/mix"), str(tmp_path)).write.parquet(f"{tmp_path}/tokens")
+    out = [r for f in sorted(tmp_path.glob("tokens/part-*")) for r in spark.read.parquet(str(f)).collect()]
+    assert [r.doc_id for r in out] == written
+    assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.position))] == written
+    texts = {i: t for i, t, *_ in rows}
+    assert all(r.text == texts[r.doc_id] and r.n_tokens == len(r.token_ids) for r in out)
+    loose = corpus_pipeline.tokens_stage(spark, docs_of(spark, rows[:50] + [(None, None, None, None)]), str(tmp_path)).collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in loose) == sorted([(i or -1, t) for i, t, *_ in rows[:50]] + [(-1, "")])
