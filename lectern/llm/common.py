@@ -77,7 +77,7 @@ def tidy(run: Callable) -> Callable:
     def tidied(batches):
         for k, out in enumerate(run(batches)):
             yield out
-            if k % 16 == 15:
+            if k % 4 == 3:
                 release()
         release()
 

@@ -43,7 +43,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of rows that go to a Python worker at a time; its kernels need a few times as much.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:

@@ -327,3 +327,15 @@ def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path):
     assert all(r.text == texts[r.doc_id] and r.n_tokens == len(r.token_ids) for r in out)
     loose = corpus_pipeline.tokens_stage(spark, docs_of(spark, rows[:50] + [(None, None, None, None)]), str(tmp_path)).collect()
     assert sorted((r.doc_id or -1, r.text or "") for r in loose) == sorted([(i or -1, t) for i, t, *_ in rows[:50]] + [(-1, "")])
+
+
+def test_workers_give_memory_back_every_few_batches(monkeypatch):
+    from lectern import session
+    from lectern.llm import common
+
+    given, seen = [], []
+    monkeypatch.setattr(common, "release", lambda: given.append(len(seen)))
+    for x in common.tidy(lambda batches: batches)(iter(range(16))):
+        seen.append(x)
+    between = np.diff([0, *given]) * session.BATCH_BYTES  # bytes that workers get between two releases
+    assert len(seen) == 16 and between.max() <= 16 << 20
