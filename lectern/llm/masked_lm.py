@@ -43,6 +43,8 @@ BYTES, FIRST, PART, SHARE = 512, 976, 3, 0.002  # units of single bytes; words t
 WINDOW, DIM, ROUNDS, STEP, SEED = 3, 24, 2, 0.4, 20_231
 #: Positions in a training step, at first and at last; positions that are shuffled together, in segments.
 BATCH, LARGE, SHUFFLED, SEGMENT = 512, 8192, 1 << 18, 64
+#: Floats that are worked on together, so that they stay in a core's cache from one numpy call to the next.
+CACHED = 1 << 16
 #: Units of one part of a corpus of a million units.
 PART_UNITS = 1_000_000
 
@@ -97,6 +99,12 @@ def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarra
     return out, at[wo], np.diff(wo)
 
 
+def _cached(rows: int, wide: int) -> list[tuple[int, int]]:
+    """Row ranges [i, j) of about CACHED floats, at least one row each."""
+    n = max(1, CACHED // max(1, wide))
+    return [(i, min(i + n, rows)) for i in range(0, rows, n)]
+
+
 class Network:
     """Parameters, their running squares, and the steps on them; float32 throughout."""
 
@@ -126,15 +134,23 @@ class Network:
         """Where the words of a context begin in a row that has `window` words more on either side."""
         return [k for k in range(2 * self.window + 1) if k != self.window]
 
-    def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(embeddings, sums, hidden layer) for all positions of rows [n, size + 2 * window] but the outer ones."""
-        x = np.take(self.p[0], rows, axis=0)
-        size = rows.shape[1] - 2 * self.window
-        z = np.empty((len(rows), size, self.dim), np.float32)
-        z[:] = self.p[2]
-        for j, k in enumerate(self._around()):
-            z += x[:, k : k + size] * self.p[1][j]
-        return x, z, z / (1 + np.abs(z))
+    def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(embeddings, hidden layer) for all positions of rows [n, size + 2 * window] but the outer ones; rows of floats."""
+        x = np.take(self.p[0], rows, axis=0).reshape(len(rows), -1)
+        wide = x.shape[1] - 2 * self.window * self.dim
+        size = wide // self.dim
+        pos, b = np.tile(self.p[1], (1, size)), np.tile(self.p[2], size)
+        h = np.empty((len(rows), wide), np.float32)
+        for i, j in _cached(len(rows), wide):
+            z, t = h[i:j], np.empty((j - i, wide), np.float32)
+            z[:] = b
+            for p, k in zip(pos, self._around(), strict=True):
+                np.multiply(x[i:j, k * self.dim : k * self.dim + wide], p, out=t)
+                z += t
+            np.abs(z, out=t)
+            t += 1
+            z /= t
+        return x, h
 
     @staticmethod
     def _weights(y: np.ndarray) -> np.ndarray:
@@ -144,82 +160,123 @@ class Network:
             np.multiply(y, y, out=y)
         return y @ np.ones(y.shape[1], np.float32)
 
-    def _outputs(self, h: np.ndarray, c: np.ndarray, cuts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(numerators of the classes, sums, numerators in the class, sums) for hidden rows sorted by class."""
-        wc, bc, ww, bw = self.p[3:]
-        y = h @ (wc / 256)
-        y += 1 + bc / 256
-        u = np.take(1 + bw / 256, c, axis=0)
-        for k, i, j in cuts:
-            u[i:j] += h[i:j] @ (ww[k] / 256)
-        return y, self._weights(y), u, self._weights(u)
-
-    def _by_class(self, target: np.ndarray):
-        """(order of the targets by class, classes in that order, places in their class, (class, from, to) of each class that occurs)."""
-        c, w = np.divmod(target, self.classes)
+    def _sorted(self, rows: np.ndarray, hidden: np.ndarray):
+        """(places, hidden rows with a 1 after them, classes, places in their class, the classes that occur, blocks) of the units in rows, by class.
+
+        A block is a list of (number of the class among those that occur, from, to), of CACHED rows in all."""
+        target = rows[:, self.window : rows.shape[1] - self.window].ravel()
+        real = np.flatnonzero(target < self.vocab)
+        c, w = np.divmod(target[real], self.classes)
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        c, w = c[order], w[order]
+        c, w, at = c[order], w[order], real[order]
+        h = np.ones((len(at), self.dim + 1), np.float32)
+        h[:, : self.dim] = np.take(hidden.reshape(-1, self.dim), at, axis=0)
         cut = np.searchsorted(c, np.arange(self.classes + 1))
-        return order, c, w, [(k, cut[k], cut[k + 1]) for k in np.flatnonzero(np.diff(cut)).tolist()]
+        used = np.flatnonzero(np.diff(cut))
+        most = max(1, CACHED // self.classes)
+        blocks, left = [], 0
+        for k, i, j in zip(range(len(used)), cut[used].tolist(), cut[used + 1].tolist(), strict=True):
+            while i < j:
+                if not left:
+                    blocks.append([])
+                    left = most
+                n = min(left, j - i)
+                blocks[-1].append((k, i, i + n))
+                i, left = i + n, left - n
+        return at, h, c, w, used, blocks
+
+    def _scaled(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Output vectors of the classes, and of the units in the classes `used`, over 256, with 1 + bias / 256 after them."""
+        one, each = np.empty((self.dim + 1, self.classes), np.float32), np.empty((len(used), self.dim + 1, self.classes), np.float32)
+        for out, weights, bias in ((one, self.p[3], self.p[4]), (each, self.p[5][used], self.p[6][used])):
+            np.multiply(weights, np.float32(1 / 256), out=out[..., :-1, :])
+            out[..., -1, :] = 1 + bias / 256
+        return one, each
+
+    @staticmethod
+    def _outputs(h: np.ndarray, block, one: np.ndarray, each: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numerators of the classes, then those in the class; their sums) for the hidden rows of a block, which stay in the processor's cache."""
+        start, n = block[0][1], block[-1][2] - block[0][1]
+        np.matmul(h[start : start + n], one, out=both[:n])
+        for k, i, j in block:
+            np.matmul(h[i:j], each[k], out=both[n + i - start : n + j - start])
+        return both[: 2 * n], Network._weights(both[: 2 * n])
 
     def log_p(self, rows: np.ndarray) -> np.ndarray:
         """Log-probabilities of all positions of rows but the outer ones; 0 where the boundary word stands."""
-        target = rows[:, self.window : rows.shape[1] - self.window].ravel()
-        out = np.zeros(len(target))
-        real = np.flatnonzero(target < self.vocab)
-        order, c, w, cuts = self._by_class(target[real])
-        h = self.hidden(rows)[2].reshape(-1, self.dim)[real[order]]
-        y, ys, u, us = self._outputs(h, c, cuts)
-        n = np.arange(len(c))
+        at, h, c, w, used, blocks = self._sorted(rows, self.hidden(rows)[1])
+        out = np.zeros((len(rows), rows.shape[1] - 2 * self.window))
+        one, each = self._scaled(used)
+        both = np.empty((2 * max(1, CACHED // self.classes), self.classes), np.float32)
+        lp = np.empty(len(at))
         log = lambda x: np.log(np.maximum(x, 1e-37).astype(np.float64))
-        out[real[order]] = log(y[n, c]) - log(ys) + log(u[n, w]) - log(us)
-        return out.reshape(len(rows), -1)
+        for block in blocks:
+            i, j = block[0][1], block[-1][2]
+            f, total = self._outputs(h, block, one, each, both)
+            p = log(f[np.arange(len(f)), np.concatenate([c[i:j], w[i:j]])]) - log(total)
+            lp[i:j] = p[: j - i] + p[j - i :]
+        out.ravel()[at] = lp
+        return out
 
     def train(self, rows: np.ndarray, step: float | None = None) -> int:
         """One Adagrad step on all positions of rows but the outer ones; the number of them that hold a unit."""
-        pos, wc, ww = self.p[1], self.p[3], self.p[5]
-        x, z, hidden = self.hidden(rows)
-        size = z.shape[1]
-        target = rows[:, self.window : self.window + size].ravel()
-        real = np.flatnonzero(target < self.vocab)
-        if not len(real):
+        x, hidden = self.hidden(rows)
+        at, h, c, w, used, blocks = self._sorted(rows, hidden)
+        if not len(at):
             return 0
-        order, c, w, cuts = self._by_class(target[real])
-        at = real[order]
-        h = hidden.reshape(-1, self.dim)[at]
         scale = np.float32(1 / math.sqrt(len(at)))
-        n = np.arange(len(at))
-        y, ys, u, us = self._outputs(h, c, cuts)
-        for numerators, total, place in ((y, ys, c), (u, us, w)):
-            numerators *= (scale / total)[:, None]
-            numerators[n, place] -= scale
-        dh = y @ wc.T
-        used = np.array([k for k, _, _ in cuts])
-        inner = np.empty((len(used), self.dim, self.classes), np.float32)
-        for place, (k, i, j) in enumerate(cuts):
-            np.matmul(h[i:j].T, u[i:j], out=inner[place])
-            dh[i:j] += u[i:j] @ ww[k].T
-        dz = np.zeros((len(rows) * size, self.dim), np.float32)
-        dz[at] = dh
-        dz = dz.reshape(z.shape)
-        dz /= (1 + np.abs(z)) ** 2
-        g = np.zeros_like(x)
-        dpos = np.empty_like(pos)
-        for j, k in enumerate(self._around()):
-            g[:, k : k + size] += dz * pos[j]
-            dpos[j] = np.einsum("nsd,nsd->d", dz, x[:, k : k + size])
+        one, each = self._scaled(used)
+        both = np.empty((2 * max(1, CACHED // self.classes), self.classes), np.float32)
+        outer, inner = np.zeros_like(one), np.empty_like(each)
+        dh, back = np.empty((len(at), self.dim), np.float32), np.empty((len(both) // 2, self.dim), np.float32)
+        last = -1  # the class whose gradient has been begun
+        for block in blocks:
+            i, j = block[0][1], block[-1][2]
+            n = j - i
+            f, total = self._outputs(h, block, one, each, both)
+            f *= (scale / total)[:, None]
+            f[np.arange(2 * n), np.concatenate([c[i:j], w[i:j]])] -= scale
+            outer += h[i:j].T @ f[:n]
+            np.matmul(f[:n], one[:-1].T, out=dh[i:j])
+            for k, a, b in block:
+                own = f[n + a - i : n + b - i]
+                if k == last:
+                    inner[k] += h[a:b].T @ own
+                else:
+                    np.matmul(h[a:b].T, own, out=inner[k])
+                last = k
+                np.matmul(own, each[k, :-1].T, out=back[a - i : b - i])
+            dh[i:j] += back[:n]
+        dz = np.zeros(hidden.shape, np.float32)
+        dz.reshape(-1, self.dim)[at] = dh
+        g, dpos, db = np.zeros_like(x), np.zeros((2 * self.window, dz.shape[1]), np.float32), np.zeros(dz.shape[1], np.float32)
+        pos = np.tile(self.p[1], (1, dz.shape[1] // self.dim))
+        for i, j in _cached(*dz.shape):
+            d, t = dz[i:j], np.abs(hidden[i:j])
+            np.subtract(1, t, out=t)  # the slope of z / (1 + |z|) is (1 - |its value|)^2
+            t *= t
+            d *= t
+            d *= 256
+            db += d.sum(axis=0)
+            for p, to, k in zip(pos, dpos, self._around(), strict=True):
+                own = np.s_[i:j, k * self.dim : k * self.dim + d.shape[1]]
+                np.multiply(d, p, out=t)
+                g[own] += t
+                np.multiply(d, x[own], out=t)
+                to += t.sum(axis=0)
         ids = rows.ravel()
         by = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
         ids = ids[by]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         step = STEP if step is None else step
-        self._descend(0, ids[first], np.add.reduceat(g.reshape(-1, self.dim)[by], first, axis=0), step)
-        self._descend(1, slice(None), dpos, step)
-        self._descend(2, slice(None), dz.sum(axis=(0, 1)), step)
-        self._descend(3, slice(None), h.T @ y, step)
-        self._descend(4, slice(None), y.sum(axis=0), step)
-        self._descend(5, used, inner, step)
-        self._descend(6, used, np.add.reduceat(u, [i for _, i, _ in cuts], axis=0), step)
+        self._descend(0, ids[first], np.add.reduceat(np.take(g.reshape(-1, self.dim), by, axis=0), first, axis=0), step)
+        self._descend(1, slice(None), dpos.reshape(2 * self.window, -1, self.dim).sum(axis=1), step)
+        self._descend(2, slice(None), db.reshape(-1, self.dim).sum(axis=0), step)
+        self._descend(3, slice(None), outer[:-1], step)
+        self._descend(4, slice(None), outer[-1], step)
+        where = slice(None) if len(used) == self.classes else used
+        self._descend(5, where, inner[:, :-1], step)
+        self._descend(6, where, inner[:, -1], step)
         return len(at)
 
     def _descend(self, k: int, where, grad: np.ndarray, step: float) -> None:
@@ -399,9 +456,9 @@ class Model:
         w = self.net.window
         units, begin = _bounded(packed, self.net.vocab, w)
         lp = np.zeros(len(units))
-        for a in range(w, len(units) - w, 1 << 14):
-            b = min(a + (1 << 14), len(units) - w)
-            lp[a:b] = self.net.log_p(units[None, a - w : b + w])[0]
+        for a in range(w, len(units) - w, 1 << 15):
+            b = min(a + (1 << 15), len(units) - w)
+            lp[a:b] = self.net.log_p(_segments(units[a - w : b + w], self.net.vocab, w)).ravel()[: b - a]
         c = np.concatenate([[0.0], np.cumsum(lp)])
         return c[begin[1:]] - c[begin[:-1]]
 

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -429,3 +430,23 @@ def test_every_position_is_trained_on(spark, monkeypatch):
     model = masked_lm.fit(docs_of(spark, rows), id_col="doc_id")
     units = sum(len(masked_lm._units(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), model.table, model.ids)[0]) for _, t in {r[:2] for r in rows if r[1]})
     assert len(seen) == masked_lm.ROUNDS and seen[0][0] > 1 and sum(n for _, of in seen for _, n in of) == units
+
+
+def test_outputs_are_worked_on_in_blocks(monkeypatch):
+    """Blocks change neither steps nor scores, and no array of all positions by all classes is made."""
+    rng = np.random.default_rng(5)
+    nets, scores = [], []
+    rows = rng.integers(0, 30 * 30 + 1, (12, 70)) // rng.integers(1, 40, (12, 70))
+    for size in (1, 100, 1 << 20):
+        monkeypatch.setattr(masked_lm, "CACHED", size)
+        nets.append(masked_lm.Network(dim=6, classes=30))
+        assert [nets[-1].train(rows) for _ in range(3)] == [int((rows[:, 3:-3] < 900).sum())] * 3
+        scores.append(nets[-1].log_p(rows))
+    for net, lp in zip(nets, scores, strict=True):
+        assert np.allclose(net.flat(), nets[0].flat(), atol=1e-3) and np.allclose(lp, scores[0], atol=1e-2)
+    monkeypatch.undo()
+    net, rows = masked_lm.Network(classes=200), rng.integers(0, 200 * 200, (256, 70))
+    tracemalloc.start()
+    net.log_p(rows)
+    assert tracemalloc.get_traced_memory()[1] - net.p[5].nbytes * 2 < 256 * 64 * 200 * 4
+    tracemalloc.stop()
