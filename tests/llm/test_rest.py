@@ -311,9 +311,13 @@ def test_op3_and_the_pipeline_keep_all_sources_whole(spark, tmp_path):
 
 
 @needs_vocabulary
-def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path):
+def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path, request):
     import corpus_pipeline
 
+    for key, value in {"spark.sql.execution.arrow.maxRecordsPerBatch": "200", "spark.sql.adaptive.coalescePartitions.enabled": "false"}.items():  # many blocks and files
+        request.addfinalizer(lambda key=key, old=spark.conf.get(key): spark.conf.set(key, old))
+        spark.conf.set(key, value)
+
     rng = random.Random(14)
     rows = [(i, prose(rng, 20), "en", rng.choice(["a", "a", "b"])) for i in range(3000)]
     corpus_pipeline.mix_stage(spark, docs_of(spark, rows), str(tmp_path)).write.parquet(f"{tmp_path}/mix")
@@ -323,6 +327,7 @@ def test_tokens_come_in_the_order_of_the_mix(spark, tmp_path):
     out = [r for f in sorted(tmp_path.glob("tokens/part-*")) for r in spark.read.parquet(str(f)).collect()]
     assert [r.doc_id for r in out] == written
     assert [r.doc_id for r in sorted(out, key=lambda r: (r.shard, r.position))] == written
+    assert len({r.shard for r in out}) > 1
     texts = {i: t for i, t, *_ in rows}
     assert all(r.text == texts[r.doc_id] and r.n_tokens == len(r.token_ids) for r in out)
     loose = corpus_pipeline.tokens_stage(spark, docs_of(spark, rows[:50] + [(None, None, None, None)]), str(tmp_path)).collect()
