@@ -69,10 +69,25 @@ def _parts(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _find(h: np.ndarray, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The unit of each hash, -1 if there is none."""
+    out = np.full(len(h), -1, np.int64)
     if not len(table) or not len(h):
-        return np.full(len(h), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return np.where(table[at] == h, ids[at], -1)
+        return out
+    # hashes are spread evenly, so their upper bits lead to the few of the sorted table that share them
+    bits = min(24, len(table).bit_length() + 2)
+    shift = np.uint64(64 - bits)
+    first = np.zeros((1 << bits) + 1, np.int32)
+    np.cumsum(np.bincount((table >> shift).astype(np.int64), minlength=1 << bits), out=first[1:])
+    of = (h >> shift).astype(np.int64)
+    at, end = first[of], first[of + 1]
+    rows = np.flatnonzero(at < end)
+    at, end = at[rows], end[rows]
+    while len(rows):
+        same = table[at] == h[rows]
+        out[rows[same]] = ids[at[same]]
+        at += 1
+        more = ~same & (at < end)
+        rows, at, end = rows[more], at[more], end[more]
+    return out
 
 
 def _units(data: np.ndarray, offs: np.ndarray, table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,46 +121,61 @@ def _cached(rows: int, wide: int) -> list[tuple[int, int]]:
 
 
 class Network:
-    """Parameters, their running squares, and the steps on them; float32 throughout."""
+    """Parameters, their running squares, and the steps on them; float32 throughout.
+
+    Output vectors, their biases and a row of ones are held together, so that one product with a hidden
+    row over 256, 1 / 256 and 1 gives 1 + y / 256; p has views of them."""
 
     def __init__(self, dim: int = DIM, window: int = WINDOW, seed: int = SEED, start: np.ndarray | None = None, classes: int = CLASSES):
         self.dim, self.window, self.seed, self.classes, self.vocab = dim, window, seed, classes, classes * classes
         rng = np.random.default_rng(seed)
         shapes = [(self.vocab + 1, dim), (2 * window, dim), (dim,), (dim, classes), (classes,), (classes, dim, classes), (classes, classes)]
         scales = [0.3, 0.0, 0.0, 0.1, 0.0, 0.1, 0.0]
-        self.p = [rng.normal(0, s, x).astype(np.float32) if s else np.zeros(x, np.float32) for x, s in zip(shapes, scales, strict=True)]
+        self.one, self.each = np.ones((dim + 2, classes), np.float32), np.ones((classes, dim + 2, classes), np.float32)
+        self.p = [np.zeros(x, np.float32) for x in shapes[:3]] + [self.one[:dim], self.one[dim], self.each[:, :dim], self.each[:, dim]]
+        for held, x, scale in zip(self.p, shapes, scales, strict=True):
+            held[...] = rng.normal(0, scale, x) if scale and start is None else 0
         self.p[1] += 0.5
         # embeddings and output vectors have one running square each, the others one for every entry
         self.squares = [np.full(x, 1e-3, np.float32) for x in [(self.vocab + 1, 1), (2 * window, dim), (dim,), (1, classes), (classes,), (classes, 1, classes), (classes, classes)]]
+        self.inner = np.empty((classes, dim + 1, classes), np.float32)  # for the gradients of a step; new memory each time costs more than some of the work on it
         if start is not None:
             self.load(start)
 
+    def __reduce__(self):
+        return Network, (self.dim, self.window, self.seed, self.flat(), self.classes)
+
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (*self.p, *self.squares)])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for held in (self.p, self.squares):
-            for k, x in enumerate(held):
-                held[k] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
-                at += x.size
+        for x in (*self.p, *self.squares):
+            x[...] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
 
     def _around(self) -> list[int]:
-        """Where the words of a context begin in a row that has `window` words more on either side."""
+        """Where the words of a context begin, from the first of `window` words before a position."""
         return [k for k in range(2 * self.window + 1) if k != self.window]
 
+    def _runs(self, floats: int) -> tuple[int, list[tuple[int, int]]]:
+        """(longest, ranges [i, j)) of so many floats, cut between positions, of which a few arrays fit a core's cache."""
+        most = max(1, CACHED // 4 // self.dim) * self.dim
+        return min(most, floats), [(i, min(i + most, floats)) for i in range(0, floats, most)]
+
     def hidden(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(embeddings, hidden layer) for all positions of rows [n, size + 2 * window] but the outer ones; rows of floats."""
-        x = np.take(self.p[0], rows, axis=0).reshape(len(rows), -1)
-        wide = x.shape[1] - 2 * self.window * self.dim
-        size = wide // self.dim
-        pos, b = np.tile(self.p[1], (1, size)), np.tile(self.p[2], size)
-        h = np.empty((len(rows), wide), np.float32)
-        for i, j in _cached(len(rows), wide):
-            z, t = h[i:j], np.empty((j - i, wide), np.float32)
-            z[:] = b
+        """(embeddings of all units of rows, hidden layer of all but the outer ones), one row after another.
+
+        The hidden layer goes on over the ends of the rows, where nothing reads it, so all work is on plain runs of floats."""
+        x = np.take(self.p[0], rows.ravel(), axis=0).ravel()
+        h = np.empty(len(x) - 2 * self.window * self.dim, np.float32)
+        most, runs = self._runs(len(h))
+        pos, b, t = np.tile(self.p[1], (1, most // self.dim)), np.tile(self.p[2], most // self.dim), np.empty(most, np.float32)
+        for i, j in runs:
+            z, t = h[i:j], t[: j - i]
+            z[:] = b[: j - i]
             for p, k in zip(pos, self._around(), strict=True):
-                np.multiply(x[i:j, k * self.dim : k * self.dim + wide], p, out=t)
+                np.multiply(x[i + k * self.dim : j + k * self.dim], p[: j - i], out=t)
                 z += t
             np.abs(z, out=t)
             t += 1
@@ -155,25 +185,28 @@ class Network:
     @staticmethod
     def _weights(y: np.ndarray) -> np.ndarray:
         """From 1 + y / 256 the softmax's numerators (1 + y / 256)^256, in place; their sums by row."""
-        np.maximum(y, 0, out=y)
+        if y.min() < 0:
+            np.maximum(y, 0, out=y)
         for _ in range(8):
             np.multiply(y, y, out=y)
         return y @ np.ones(y.shape[1], np.float32)
 
-    def _sorted(self, rows: np.ndarray, hidden: np.ndarray):
-        """(places, hidden rows with a 1 after them, classes, places in their class, the classes that occur, blocks) of the units in rows, by class.
+    def _sorted(self, rows: np.ndarray, hidden: np.ndarray, most: int):
+        """(places in hidden, hidden rows over 256 with 1 / 256 and 1 after them, classes, places in their class, the classes that occur, blocks) of the units in rows, by class.
 
-        A block is a list of (number of the class among those that occur, from, to), of CACHED rows in all."""
-        target = rows[:, self.window : rows.shape[1] - self.window].ravel()
+        A block is a list of (number of the class among those that occur, from, to), of `most` rows in all."""
+        inner = rows[:, self.window : rows.shape[1] - self.window]
+        target = inner.ravel()
         real = np.flatnonzero(target < self.vocab)
         c, w = np.divmod(target[real], self.classes)
         order = np.argsort(c.astype(np.uint16), kind="stable")
         c, w, at = c[order], w[order], real[order]
-        h = np.ones((len(at), self.dim + 1), np.float32)
-        h[:, : self.dim] = np.take(hidden.reshape(-1, self.dim), at, axis=0)
+        at += at // max(1, inner.shape[1]) * (2 * self.window)
+        h = np.ones((len(at), self.dim + 2), np.float32)
+        np.multiply(np.take(hidden.reshape(-1, self.dim), at, axis=0), np.float32(1 / 256), out=h[:, : self.dim])
+        h[:, self.dim] = 1 / 256
         cut = np.searchsorted(c, np.arange(self.classes + 1))
         used = np.flatnonzero(np.diff(cut))
-        most = max(1, CACHED // self.classes)
         blocks, left = [], 0
         for k, i, j in zip(range(len(used)), cut[used].tolist(), cut[used + 1].tolist(), strict=True):
             while i < j:
@@ -185,112 +218,123 @@ class Network:
                 i, left = i + n, left - n
         return at, h, c, w, used, blocks
 
-    def _scaled(self, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Output vectors of the classes, and of the units in the classes `used`, over 256, with 1 + bias / 256 after them."""
-        one, each = np.empty((self.dim + 1, self.classes), np.float32), np.empty((len(used), self.dim + 1, self.classes), np.float32)
-        for out, weights, bias in ((one, self.p[3], self.p[4]), (each, self.p[5][used], self.p[6][used])):
-            np.multiply(weights, np.float32(1 / 256), out=out[..., :-1, :])
-            out[..., -1, :] = 1 + bias / 256
-        return one, each
-
-    @staticmethod
-    def _outputs(h: np.ndarray, block, one: np.ndarray, each: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(numerators of the classes, then those in the class; their sums) for the hidden rows of a block, which stay in the processor's cache."""
+    def _outputs(self, h: np.ndarray, c: np.ndarray, w: np.ndarray, used: list[int], block, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numerators of the classes, then those in the class; their sums; where those of the units are) for the hidden rows of a block, which stay in the processor's cache."""
         start, n = block[0][1], block[-1][2] - block[0][1]
-        np.matmul(h[start : start + n], one, out=both[:n])
+        np.matmul(h[start : start + n], self.one, out=both[:n])
         for k, i, j in block:
-            np.matmul(h[i:j], each[k], out=both[n + i - start : n + j - start])
-        return both[: 2 * n], Network._weights(both[: 2 * n])
+            np.matmul(h[i:j], self.each[used[k]], out=both[n + i - start : n + j - start])
+        own = np.concatenate([c[start : start + n], w[start : start + n]])
+        own += np.arange(0, 2 * n * self.classes, self.classes)
+        return both[: 2 * n], self._weights(both[: 2 * n]), own
 
     def log_p(self, rows: np.ndarray) -> np.ndarray:
         """Log-probabilities of all positions of rows but the outer ones; 0 where the boundary word stands."""
-        at, h, c, w, used, blocks = self._sorted(rows, self.hidden(rows)[1])
-        out = np.zeros((len(rows), rows.shape[1] - 2 * self.window))
-        one, each = self._scaled(used)
-        both = np.empty((2 * max(1, CACHED // self.classes), self.classes), np.float32)
+        most = max(1, CACHED // self.classes)
+        at, h, c, w, used, blocks = self._sorted(rows, self.hidden(rows)[1], most)
+        used = used.tolist()
+        out = np.zeros(rows.shape)
+        both = np.empty((2 * most, self.classes), np.float32)
         lp = np.empty(len(at))
         log = lambda x: np.log(np.maximum(x, 1e-37).astype(np.float64))
         for block in blocks:
             i, j = block[0][1], block[-1][2]
-            f, total = self._outputs(h, block, one, each, both)
-            p = log(f[np.arange(len(f)), np.concatenate([c[i:j], w[i:j]])]) - log(total)
+            f, total, own = self._outputs(h, c, w, used, block, both)
+            p = log(f.ravel()[own]) - log(total)
             lp[i:j] = p[: j - i] + p[j - i :]
         out.ravel()[at] = lp
-        return out
+        return out[:, : rows.shape[1] - 2 * self.window]
 
     def train(self, rows: np.ndarray, step: float | None = None) -> int:
         """One Adagrad step on all positions of rows but the outer ones; the number of them that hold a unit."""
         x, hidden = self.hidden(rows)
-        at, h, c, w, used, blocks = self._sorted(rows, hidden)
+        most = max(1, CACHED // 2 // self.classes)  # outputs are gone over more often than for scores
+        at, h, c, w, used, blocks = self._sorted(rows, hidden, most)
         if not len(at):
             return 0
+        dim, numbers = self.dim, used.tolist()
+        both, back, scaled = (np.empty((2 * most, k), np.float32) for k in (self.classes, dim, dim + 1))
+        outer, inner = np.zeros((dim + 1, self.classes), np.float32), self.inner[: len(used)]
+        dh, plain = np.empty((len(at), dim), np.float32), 256 * h[:, : dim + 1]
         scale = np.float32(1 / math.sqrt(len(at)))
-        one, each = self._scaled(used)
-        both = np.empty((2 * max(1, CACHED // self.classes), self.classes), np.float32)
-        outer, inner = np.zeros_like(one), np.empty_like(each)
-        dh, back = np.empty((len(at), self.dim), np.float32), np.empty((len(both) // 2, self.dim), np.float32)
         last = -1  # the class whose gradient has been begun
         for block in blocks:
             i, j = block[0][1], block[-1][2]
             n = j - i
-            f, total = self._outputs(h, block, one, each, both)
-            f *= (scale / total)[:, None]
-            f[np.arange(2 * n), np.concatenate([c[i:j], w[i:j]])] -= scale
-            outer += h[i:j].T @ f[:n]
-            np.matmul(f[:n], one[:-1].T, out=dh[i:j])
+            f, total, own = self._outputs(h, c, w, numbers, block, both)
+            f.ravel()[own] -= total  # gradients times total, which is taken out of the narrow factors and products
+            by = (scale / total)[:, None]
+            for to, each in ((scaled[:n], by[:n]), (scaled[n : 2 * n], by[n:])):
+                np.multiply(plain[i:j], each, out=to)
+            outer += scaled[:n].T @ f[:n]
+            np.matmul(f[:n], self.one[:dim].T, out=back[:n])
             for k, a, b in block:
-                own = f[n + a - i : n + b - i]
+                a, b = a - i + n, b - i + n
                 if k == last:
-                    inner[k] += h[a:b].T @ own
+                    inner[k] += scaled[a:b].T @ f[a:b]
                 else:
-                    np.matmul(h[a:b].T, own, out=inner[k])
+                    np.matmul(scaled[a:b].T, f[a:b], out=inner[k])
                 last = k
-                np.matmul(own, each[k, :-1].T, out=back[a - i : b - i])
-            dh[i:j] += back[:n]
-        dz = np.zeros(hidden.shape, np.float32)
-        dz.reshape(-1, self.dim)[at] = dh
-        g, dpos, db = np.zeros_like(x), np.zeros((2 * self.window, dz.shape[1]), np.float32), np.zeros(dz.shape[1], np.float32)
-        pos = np.tile(self.p[1], (1, dz.shape[1] // self.dim))
-        for i, j in _cached(*dz.shape):
-            d, t = dz[i:j], np.abs(hidden[i:j])
+                np.matmul(f[a:b], self.each[numbers[k], :dim].T, out=back[a:b])
+            back[: 2 * n] *= by
+            np.add(back[:n], back[n : 2 * n], out=dh[i:j])
+        dz = np.zeros(len(hidden), np.float32)
+        dz.reshape(-1, dim)[at] = dh
+        g = np.zeros_like(x)
+        longest, runs = self._runs(len(dz))
+        pos, dpos, db, t = np.tile(self.p[1], (1, longest // dim)), np.zeros((2 * self.window, longest), np.float32), np.zeros(longest, np.float32), np.empty(longest, np.float32)
+        for i, j in runs:
+            d, t = dz[i:j], t[: j - i]
+            np.abs(hidden[i:j], out=t)
             np.subtract(1, t, out=t)  # the slope of z / (1 + |z|) is (1 - |its value|)^2
             t *= t
             d *= t
-            d *= 256
-            db += d.sum(axis=0)
+            db[: j - i] += d
             for p, to, k in zip(pos, dpos, self._around(), strict=True):
-                own = np.s_[i:j, k * self.dim : k * self.dim + d.shape[1]]
-                np.multiply(d, p, out=t)
+                own = np.s_[i + k * dim : j + k * dim]
+                np.multiply(d, p[: j - i], out=t)
                 g[own] += t
                 np.multiply(d, x[own], out=t)
-                to += t.sum(axis=0)
+                to[: j - i] += t
         ids = rows.ravel()
         by = np.argsort(ids.astype(np.uint16) if self.vocab < 1 << 16 else ids, kind="stable")
         ids = ids[by]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         step = STEP if step is None else step
-        self._descend(0, ids[first], np.add.reduceat(np.take(g.reshape(-1, self.dim), by, axis=0), first, axis=0), step)
-        self._descend(1, slice(None), dpos.reshape(2 * self.window, -1, self.dim).sum(axis=1), step)
-        self._descend(2, slice(None), db.reshape(-1, self.dim).sum(axis=0), step)
+        self._descend(0, ids[first], np.add.reduceat(np.take(g.reshape(-1, dim), by, axis=0), first, axis=0), step)
+        self._descend(1, slice(None), dpos.reshape(2 * self.window, -1, dim).sum(axis=1), step)
+        self._descend(2, slice(None), db.reshape(-1, dim).sum(axis=0), step)
         self._descend(3, slice(None), outer[:-1], step)
         self._descend(4, slice(None), outer[-1], step)
-        where = slice(None) if len(used) == self.classes else used
-        self._descend(5, where, inner[:, :-1], step)
-        self._descend(6, where, inner[:, -1], step)
+        self._descend_classes(used, inner, step)
         return len(at)
 
     def _descend(self, k: int, where, grad: np.ndarray, step: float) -> None:
-        """The step of parameters p[k][where]; those without a gradient stay as they are."""
-        axis = {0: 1, 3: 0, 5: 1}.get(k)  # embeddings and output vectors share a running square
-        square = grad * grad if axis is None else np.einsum({0: "vd,vd->v", 3: "dc,dc->c", 5: "kdc,kdc->kc"}[k], grad, grad)[{0: np.s_[:, None], 3: np.s_[None], 5: np.s_[:, None]}[k]] / self.dim
+        """The step of parameters p[k][where], of all but the units in their classes; those without a gradient stay as they are."""
+        axis = {0: 1, 3: 0}.get(k)  # embeddings and output vectors share a running square
+        square = grad * grad if axis is None else np.einsum({0: "vd,vd->v", 3: "dc,dc->c"}[k], grad, grad)[{0: np.s_[:, None], 3: np.s_[None]}[k]] / self.dim
         held = self.squares[k][where] + square
         self.squares[k][where] = held
         self.p[k][where] -= grad * (np.float32(step) / (np.sqrt(held) + np.float32(1e-5)))
 
+    def _descend_classes(self, used: np.ndarray, grad: np.ndarray, step: float) -> None:
+        """The same for output vectors and biases of the units in the classes `used`, in ranges of classes without a gap."""
+        dim, at = self.dim, 0
+        for run in np.split(used, np.flatnonzero(np.diff(used) > 1) + 1):
+            for i, j in _cached(len(run), grad[0].size):
+                g, to = grad[at + i : at + j], np.s_[run[0] + i : run[0] + j]
+                vectors, biases = g[:, :dim], g[:, dim]
+                for held, square, part in ((self.squares[5][to, 0], np.einsum("kdc,kdc->kc", vectors, vectors) / dim, vectors), (self.squares[6][to], biases * biases, biases)):
+                    held += square
+                    rate = np.float32(step) / (np.sqrt(held) + np.float32(1e-5))
+                    part *= rate[:, None] if part is vectors else rate
+                self.each[to, : dim + 1] -= g
+            at += len(run)
+
 
 def _summed(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes and the sums of their counts."""
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     h, c = h[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
     return h[first], np.add.reduceat(c, first).astype(np.int64) if len(first) else c
@@ -304,7 +348,10 @@ def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in pieces(offs, 1 << 22):
             own = data[offs[i] : offs[j]]
             h, start, end, _ = words(own, offs[i : j + 1] - offs[i])
-            h, at, c = np.unique(h, return_index=True, return_counts=True)
+            order = np.argsort(h)  # any place of a word will do
+            h = h[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            h, at, c = h[first], order[first], np.diff(first, append=len(h))
             word, ps, pe, first = _parts(start[at], end[at])
             found.append((h, c, *(_summed(_part_hashes(folded(own), ps, pe, first), c[word]) if len(word) else (h, c))))
         for part in (0, 1) if found else ():

@@ -1,6 +1,7 @@
 """Toxicity, quality and language-model scoring."""
 
 import math
+import pickle
 import random
 import tracemalloc
 from collections import Counter, defaultdict
@@ -450,3 +451,34 @@ def test_outputs_are_worked_on_in_blocks(monkeypatch):
     net.log_p(rows)
     assert tracemalloc.get_traced_memory()[1] - net.p[5].nbytes * 2 < 256 * 64 * 200 * 4
     tracemalloc.stop()
+
+
+def test_a_training_step_works_in_place():
+    """No copy of the output vectors is made in a step, whatever the classes that occur."""
+    net, rng = masked_lm.Network(classes=200), np.random.default_rng(6)
+    rows = rng.integers(0, 200 * 200, (8, 70))
+    rows[:, ::9] %= 3 * 200
+    net.train(rows)
+    held = net.p[5]
+    tracemalloc.start()
+    assert net.train(rows) == 8 * 64
+    assert tracemalloc.get_traced_memory()[1] < net.p[5].size * 4 / 2
+    tracemalloc.stop()
+    assert net.p[5] is held
+    # views and what they are of stay one also in a copy on a worker
+    other = pickle.loads(pickle.dumps(net))
+    assert np.array_equal(net.log_p(rows), other.log_p(rows))
+    assert net.train(rows) == other.train(rows) and np.array_equal(net.flat(), other.flat())
+    assert np.array_equal(net.log_p(rows), other.log_p(rows))
+
+
+def test_units_of_hashes_against_a_dictionary():
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 2, 5000):
+        table = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        table = np.unique(np.concatenate([table, table[:20] ^ np.uint64(1), np.array([0, 2**64 - 1] if n else [], np.uint64)]))  # some with equal upper bits, and the ends
+        ids = rng.permutation(len(table))
+        h = np.concatenate([table, rng.integers(0, 1 << 64, 300, np.uint64), table[::-1], table + np.uint64(2)])
+        units = dict(zip(table.tolist(), ids.tolist(), strict=True))
+        assert masked_lm._find(h, table, ids).tolist() == [units.get(x, -1) for x in h.tolist()]
+    assert len(masked_lm._find(np.zeros(0, np.uint64), table, ids)) == 0
