@@ -7,7 +7,6 @@ ASCII and the Latin-1 letters. Words are known by a 64-bit hash.
 
 from __future__ import annotations
 
-import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import file_system, scratch_dir
+from ..session import file_system, release, scratch_dir
 
 #: Text is worked on in pieces of about so many bytes; a longer document is one piece.
 PIECE = 1 << 20
@@ -61,16 +60,6 @@ def need(df: DataFrame, *columns: str) -> None:
 
 # memory of the Python workers
 
-_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def release() -> None:
-    """Give freed memory back to the system; workers live on between tasks, beside the executor's heap."""
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
-
-
 def tidy(run: Callable) -> Callable:
     """The function of an Arrow map, releasing memory now and then and at its end."""
 

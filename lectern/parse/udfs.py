@@ -1,4 +1,8 @@
-"""The parsers as Arrow-batched column functions; the record comes back as one struct."""
+"""The parsers as Arrow-batched column functions; the record comes back as one struct.
+
+To the optimizer they aren't deterministic: else it copies a parser into each filter on what was parsed,
+and every copy parses all payloads again, in a Python worker of its own.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import PARSED
+from ..session import release
 from .articles import PARSERS, archive_article, parse_jats
 
 
@@ -21,16 +26,22 @@ def parsed(payload: Column | str, form: str, keep_tables: bool = False) -> Colum
     @F.pandas_udf(PARSED)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.DataFrame([parse(x) for x in s], columns=PARSED.fieldNames())
+            yield _records(s, parse)
+
+    return run.asNondeterministic()(payload)
 
-    return run(payload)
 
+def _records(payloads: pd.Series, parse) -> pd.DataFrame:
+    found = pd.DataFrame([parse(x) for x in payloads], columns=PARSED.fieldNames())
+    release()
+    return found
 
-def article_xml(payload: Column | str) -> Column:
-    """The article XML in a column of zipped archives; null where there is none."""
 
-    @F.pandas_udf("binary")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(archive_article)
+def parsed_archive(payload: Column | str) -> Column:
+    """The record of the JATS article in a column of zipped archives, an empty one where there is none; unpacked and parsed in one worker."""
+
+    @F.pandas_udf(PARSED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return _records(s, lambda x: parse_jats(archive_article(x)))
 
-    return run(payload)
+    return run.asNondeterministic()(payload)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
@@ -42,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 #: Bytes of rows that go to a Python worker at a time; its kernels need a few times as much.
 BATCH_BYTES = 4 << 20
 

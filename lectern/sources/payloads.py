@@ -17,7 +17,7 @@ from ..functions.licenses import licence_link, parse_license
 from ..functions.text import author_list, collapse, empty_to_null
 from ..operators.assemble import build_fulltext, has_content, provenance, rebuilt_abstract
 from ..parse.tree import parse_xml
-from ..parse.udfs import article_xml, parsed
+from ..parse.udfs import parsed, parsed_archive
 from ..schemas import PREPRINT, SEARCH_HIT, STRINGS, record
 from ..session import file_system
 
@@ -170,10 +170,9 @@ def archive_keys(files: DataFrame, since: dt.date | None = None, key: str = "key
 
 def archive_fulltext(files: DataFrame, bucket: str, server: str) -> DataFrame:
     """Document rows of archives (key, content); such without article, or with neither DOI nor sections, are left out."""
-    rows = files.withColumn("xml", article_xml("content")).where("xml is not null and length(xml) > 0").drop("content")
-    rows = rows.withColumn("parsed", parsed("xml", "jats")).where("(parsed.doi is not null and parsed.doi != '') or size(parsed.sections) > 0")
+    rows = files.withColumn("parsed", parsed_archive("content")).drop("content").where("(parsed.doi is not null and parsed.doi != '') or size(parsed.sections) > 0")
     meta = {"server": F.lit(server), "raw_ref": F.concat(F.lit(f"s3://{bucket}/"), "key"), "provenance": provenance(source="biorxiv_s3", s3_key=F.col("key"))}
-    return build_fulltext(rows, source="biorxiv_s3", **meta).drop("xml")
+    return build_fulltext(rows, source="biorxiv_s3", **meta)
 
 
 def archive_lookup(files: DataFrame, requests: DataFrame, bucket: str, server: str, max_scan: int | None = None) -> DataFrame:
