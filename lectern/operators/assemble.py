@@ -61,7 +61,8 @@ def has_content(sections: Column | str, abstract: Column | str) -> Column:
 def rebuilt_abstract(index: Column | str) -> Column:
     """Text from an inverted index of word -> positions, by position then word; null if it is empty."""
     entries = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.when(F.size(entries) > 0, F.array_join(F.transform(F.array_sort(entries), lambda x: x["w"]), " "))
+    some = F.exists(F.map_values(index), lambda v: F.size(v) > 0)  # not by the entries, which would be made twice
+    return F.when(some, F.array_join(F.transform(F.sort_array(entries), lambda x: x["w"]), " "))
 
 
 def markdown(df: DataFrame) -> DataFrame:
