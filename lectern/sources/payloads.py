@@ -128,8 +128,15 @@ def arxiv_hits(feeds: DataFrame, column: str = "xml") -> DataFrame:
 
 def detail_versions(pages: DataFrame, column: str = "json", server: str = "server") -> DataFrame:
     """Bibliographic rows of all versions, `place` being their order as served."""
+    return _details(_served(pages, column, server).select(server, F.posexplode("c").alias("place", "e")), server)
+
+
+def _served(pages: DataFrame, column: str, server: str) -> DataFrame:
+    return pages.select(server, F.from_json(column, f"collection array<struct<{_DETAIL}>>")["collection"].alias("c"))
+
+
+def _details(rows: DataFrame, server: str) -> DataFrame:
     e = F.col("e")
-    rows = pages.select(server, F.posexplode(F.from_json(column, f"collection array<struct<{_DETAIL}>>")["collection"]).alias("place", "e"))
     published = F.when(~F.coalesce(e["published"], F.lit("")).isin("", "NA", "na"), e["published"])
     found = {
         "doi": F.coalesce(e["doi"], F.lit("")), "version": F.when(e["version"].rlike(r"^\d+$"), e["version"].try_cast("int")), "server": F.col(server),
@@ -142,8 +149,26 @@ def detail_versions(pages: DataFrame, column: str = "json", server: str = "serve
 
 def latest_details(versions: DataFrame) -> DataFrame:
     """The version of each DOI served last; biorxiv's if both servers have it."""
-    w = Window.partitionBy("doi").orderBy(F.col("server") != "biorxiv", F.desc("place"))
-    return versions.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "place")
+    return _served_last(versions).drop("place")
+
+
+def _served_last(rows: DataFrame, server: str = "server") -> DataFrame:
+    w = Window.partitionBy("doi").orderBy(F.col(server) != "biorxiv", F.desc("place"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: In pages of up to so many entries, those with a later one of their DOI are left out before anything is moved.
+CUT_ENTRIES = 200
+
+
+def latest_of_pages(pages: DataFrame, column: str = "json", server: str = "server") -> DataFrame:
+    """latest_details(detail_versions(pages)), but what is derived from an entry is derived for the last ones only."""
+    doi = lambda e: F.coalesce(e["doi"], F.lit(""))
+    entries = F.transform("c", lambda e, i: F.struct(i.alias("place"), e.alias("e")))
+    again = lambda x: F.exists(F.slice("c", x["place"] + 2, F.size("c")), lambda e: doi(e) == doi(x["e"]))
+    last = F.filter(entries, lambda x: (F.size("c") > CUT_ENTRIES) | ~again(x))
+    rows = _served(pages, column, server).select(server, F.explode(last).alias("x")).select(server, "x.*").withColumn("doi", doi(F.col("e")))
+    return _details(_served_last(rows, server).drop("doi"), server).drop("place")
 
 
 def details_window(versions: DataFrame, server: str, since: dt.date, until: dt.date) -> DataFrame:
